@@ -46,16 +46,22 @@ def stream(seed: int, var: str, *keys) -> Column:
     return F.struct(*[(_hex32(d, i) % F.lit(PRIME)).alias(f"c{i}") for i in range(4)])
 
 
-def at(stream_col: str, draw="draw") -> Column:
+def at(stream_col, draw="draw") -> Column:
     """The stream's uniform in (0, 1) at a draw id."""
+    c = _c(stream_col)
     x = _c(draw) + F.lit(1)
     p = F.lit(PRIME)
-    h = F.col(f"{stream_col}.c3")
+    h = c["c3"]
     for i in (2, 1, 0):
-        h = (h * x + F.col(f"{stream_col}.c{i}")) % p
+        h = (h * x + c[f"c{i}"]) % p
     return (h + F.lit(0.5)) / F.lit(float(PRIME))
 
 
+def with_streams(df, seed: int, keys, variables):
+    """One stream column `u_<variable>` per variable, hashed once per row."""
+    return df.withColumns({f"u_{v}": stream(seed, v, *keys) for v in variables})
+
+
 def uniform(u, lo, hi) -> Column:
     return _c(lo) + _c(u) * (_c(hi) - _c(lo))
 

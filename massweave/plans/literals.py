@@ -81,6 +81,21 @@ TIER_SHARES = {
 # Ranging sensors carried at each tier.
 TIER_RANGING = {"H0": 1.0, "H1": 2.0, "H2": 4.0, "H3": 5.3, "H4": 7.0}
 
+# Sensors carried per segment and tier,
+# (camera min, max, radar min, max, ultrasonic min, max, lidar min, max).
+TIER_COUNTS = {
+    ("AB", "H0"): (2, 3, 1, 1, 1, 3, 0, 0), ("AB", "H1"): (2, 4, 1, 3, 3, 8, 0, 0),
+    ("AB", "H2"): (4, 6, 2, 5, 4, 8, 0, 0), ("AB", "H3"): (5, 6, 3, 5, 4, 8, 0, 1),
+    ("AB", "H4"): (5, 6, 3, 5, 4, 8, 1, 3),
+    ("CD", "H0"): (2, 5, 1, 1, 2, 3, 0, 0), ("CD", "H1"): (2, 7, 1, 3, 7, 9, 0, 0),
+    ("CD", "H2"): (4, 10, 2, 5, 8, 10, 0, 0), ("CD", "H3"): (5, 10, 3, 5, 8, 10, 0, 1),
+    ("CD", "H4"): (5, 10, 3, 5, 8, 10, 1, 3),
+    ("EF", "H0"): (2, 5, 1, 1, 2, 4, 0, 0), ("EF", "H1"): (4, 7, 2, 3, 7, 11, 0, 0),
+    ("EF", "H2"): (7, 10, 4, 5, 8, 12, 0, 0), ("EF", "H3"): (8, 11, 5, 5, 8, 12, 0, 1),
+    ("EF", "H4"): (8, 11, 5, 5, 8, 12, 1, 3),
+}
+TIER_COUNT_TYPES = ("camera", "radar", "ultrasonic", "lidar")
+
 # Lidar-equipped share, (year, min, mode, max).
 LIDAR_SHARE = [
     (2025, 0.00, 0.01, 0.02), (2030, 0.03, 0.12, 0.30), (2035, 0.08, 0.28, 0.55), (2040, 0.12, 0.45, 0.70),

@@ -5,10 +5,9 @@ from pyspark.sql import functions as F
 from massweave.functions import draws as dr
 from massweave.operators import curves as cv
 from massweave.operators import groupwise as gw
-from massweave.operators.joins import expand_draws
 from massweave.plans import literals as lit
-from massweave.queries._base import (ANCHORS_SQL, RANGES_SQL, STATES, anchors, components, query, r, ranges, sql_at,
-                                     sql_keyed, sql_md5, sql_norm, table)
+from massweave.queries._base import (ANCHORS_SQL, RANGES_SQL, STATES, anchors, query, r, ranges, sql_keyed, sql_norm,
+                                     table)
 
 Y0, Y1 = 1993, 2004          # grid of the queries: two years beyond the anchors on both sides
 
@@ -48,8 +47,7 @@ def e01(spark, sf):
     return cv.monotone_curve(anchors(spark, sf), ["segment", "state"], "year", "share", Y0, Y1).withColumn("share", r("share", 9))
 
 
-N_SHIFT = 40
-TRUCKS_SQL = f"""vehicles AS (SELECT CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'AB' WHEN 'BUILDING' THEN 'AB' WHEN 'FURNITURE' THEN 'CD'
+VEHICLES_SQL = f"""vehicles AS (SELECT CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'AB' WHEN 'BUILDING' THEN 'AB' WHEN 'FURNITURE' THEN 'CD'
      WHEN 'HOUSEHOLD' THEN 'CD' ELSE 'EF' END AS segment, c_custkey AS vehicle,
    {sql_keyed(42, 'arch', 'c_custkey')} AS u,
    {sql_norm(sql_keyed(42, 'd1', 'c_custkey'), sql_keyed(42, 'd2', 'c_custkey'), '0.0::DOUBLE', '5.0::DOUBLE')} AS delta FROM customer)"""
@@ -67,7 +65,7 @@ def vehicles(spark, sf):
 WIDE_SQL = SHARES_SQL + ", wide AS (SELECT segment, year, " + ", ".join(
     f"coalesce(max(CASE WHEN state = '{s}' THEN share END), 0.0::DOUBLE) AS {s}" for s in STATES) + " FROM shares GROUP BY ALL), wide2 AS (SELECT *, " + ", ".join(
     f"coalesce(lead({s}) OVER (PARTITION BY segment ORDER BY year), {s}) AS {s}_next" for s in STATES) + " FROM wide)"
-SHIFT_SQL = WIDE_SQL + ", " + TRUCKS_SQL + f""", pos AS (SELECT v.segment, vehicle, u, CAST(y AS INTEGER) AS year, least(greatest(y - delta, {Y0}), {Y1}) - {Y0} AS pos
+SHIFT_SQL = WIDE_SQL + ", " + VEHICLES_SQL + f""", pos AS (SELECT v.segment, vehicle, u, CAST(y AS INTEGER) AS year, least(greatest(y - delta, {Y0}), {Y1}) - {Y0} AS pos
    FROM vehicles v, range({Y0}, {Y1 + 1}) t(y)),
  ix AS (SELECT *, least(floor(pos), {Y1 - Y0 - 1}) AS i, pos - least(floor(pos), {Y1 - Y0 - 1}) AS f FROM pos),
  raw AS (SELECT ix.segment, vehicle, u, ix.year, """ + ", ".join(f"greatest({s} * (1 - f) + {s}_next * f, 0) AS {s}" for s in STATES) + f""" FROM ix JOIN wide2 w ON ix.segment = w.segment AND w.year = {Y0} + i),

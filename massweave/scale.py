@@ -36,12 +36,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Redistribute a parameter table before it is expanded.
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan; nothing is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-    A small table sits in one or two input splits; without this the expansion
-    into draws would run in as many tasks. Only parameter rows are shuffled.
+
+def spread(df: DataFrame, below_bytes: int = 256 << 20) -> DataFrame:
+    """Redistribute a small parameter table before it is expanded.
+
+    A small table sits in one or two input splits; without this its expansion
+    into draws would run in as many tasks. A large table already has its splits
+    and is left alone, so the fact side is never shuffled for this.
     """
-    spark = df.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, 1)
-    return df.repartition(n, *keys) if keys else df.repartition(n)
+    if estimated_bytes(df) > below_bytes:
+        return df
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1))
