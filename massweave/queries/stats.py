@@ -264,7 +264,7 @@ def yearly_stats(spark, sf):
     return hg.year_stats(h, st.moments(p, key, "v").select(*key, "n", "mean", "std"), key)
 
 
-YCOLS = {"mean": 5, "std": 5, "p025": 7, "median": 7, "p975": 7, "mode": 7}
+YCOLS = {"mean": 5, "std": 5, "p025": 6, "median": 6, "p975": 6, "mode": 7}
 
 
 @query("g22_year_stats", "WITH " + Y_SQL + " SELECT segment, name, year, n, " + ", ".join(f"round({c}, {n}) AS {c}" for c, n in YCOLS.items()) + " FROM ys")
