@@ -4,7 +4,7 @@ from importlib import import_module
 
 from massweave.queries._base import ORACLES, QUERIES
 
-for _m in ("sources", "cleaning", "reshape", "joins", "curves", "draws", "stats", "ranking", "tables"):
+for _m in ("sources", "cleaning", "reshape", "joins", "curves", "draws", "stats", "ranking", "tables", "checks", "streaming"):
     import_module(f"massweave.queries.{_m}")
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -231,3 +231,118 @@ def wiring_rows(spark, sf):
 def k09(spark, sf):
     w = tb.build_wiring(wiring_rows(spark, sf), J_SEGMENTS)
     return w.select("segment", "year", "level", "code", "functional_group", "metric", "n_iter", r("mean").alias("mean"))
+
+
+# ---- composition -----------------------------------------------------------------
+SIZE_CASE = "CASE p_size % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'medium' ELSE 'large' END"
+ELEM_CASE = "CASE l_linenumber % 2 WHEN 0 THEN 'Cu' ELSE 'Au' END"
+K10_SQL = K08_SQL + ", " + RANGES_SQL + f""",
+ kw AS (SELECT segment, domain AS code, year, avg(mode) AS mean, avg(lo) AS lo, avg(hi) AS hi FROM ranges GROUP BY ALL),
+ kp AS (SELECT segment, domain AS category, {SIZE_CASE} AS size, {ELEM_CASE} AS element, year, avg(mode) AS mean, avg(lo) AS lo, avg(hi) AS hi FROM ranges GROUP BY ALL),
+ km0 AS (SELECT segment, year, avg(mode) AS mean, avg(lo) AS lo, avg(hi) AS hi FROM ranges GROUP BY ALL),
+ km AS (SELECT *, max(CASE WHEN year = 1997 THEN mean END) OVER (PARTITION BY segment) AS b FROM km0),
+ ks AS (SELECT segment, sensor_type, year, avg(mode) AS mean, avg(lo) AS lo, avg(hi) AS hi FROM ranges GROUP BY ALL),
+ kc AS (SELECT p_brand AS sensor_type, p_type AS element, (avg(p_size) - 24) * 0.001::DOUBLE AS mg FROM part GROUP BY ALL),
+ comp0 AS (SELECT year, segment, 'Wiring' AS domain, code AS ctype, 'Cu' AS element, mean * 1000 AS mean, lo * 1000 AS lo, hi * 1000 AS hi, 'modelled' AS basis, 'full model band' AS band, 'wiring/histograms' AS hist FROM kw
+  UNION ALL SELECT year, segment, 'PCB', category || ' / ' || size, element, mean, lo, hi, 'modelled', 'full model band', 'pcb/histogram_' || segment || '_' || category || '_' || size || '_area' FROM kp
+  UNION ALL SELECT year, e.segment, 'Motors', stream, element, mean_mass_kg * 1000 * mean / b, mean_mass_kg * 1000 * lo / b, mean_mass_kg * 1000 * hi / b, 'scaled', 'motor count/mass only; composition fixed', 'motors/hist_' || e.segment || '_' || stream || '_mass' FROM stream_elements e JOIN km ON km.segment = e.segment
+  UNION ALL SELECT year, segment, 'Sensors', sensor_type, element, mean * mg, lo * mg, hi * mg, 'modelled', 'sensor count only; composition fixed', 'sensors/year_stats' FROM ks JOIN kc USING (sensor_type) WHERE mg > 0),
+ comp1 AS (SELECT year, segment, domain, ctype, element, basis, band, hist, sum(mean) AS mean, sum(lo) AS lo, sum(hi) AS hi FROM comp0 GROUP BY ALL),
+ kcomp AS (SELECT year, segment, domain, ctype, element, basis, band, hist, mean, least(lo, mean) AS lo, greatest(hi, mean) AS hi, lo > mean OR hi < mean AS clipped FROM comp1)"""
+
+
+def composition(spark, sf):
+    x = ranges(spark, sf)
+    band = [F.avg(a).alias(b) for a, b in (("mode", "mean"), ("lo", "lo"), ("hi", "hi"))]
+    w = x.groupBy("segment", F.col("domain").alias("code"), "year").agg(*band).withColumns({"level": F.lit("Group"), "metric": F.lit("Cu (kg)")})
+    p = x.groupBy("segment", F.col("domain").alias("category"), F.expr(SIZE_CASE).alias("size"), F.expr(ELEM_CASE).alias("element"), "year").agg(*band)
+    m = x.groupBy("segment", "year").agg(*band)
+    e = stream_elements(spark, sf).withColumnRenamed("stream", "motor")
+    s = x.groupBy("segment", "sensor_type", "year").agg(*band)
+    c = table(spark, sf, "part").groupBy(F.col("p_brand").alias("sensor_type"), F.col("p_type").alias("element")).agg((F.avg("p_size") - 24).alias("mg"))
+    return tb.build_composition(w, p, m, e, s, c, 1997)
+
+
+@query("k10_composition", "WITH " + K10_SQL + """ SELECT year AS "Year", segment AS "Segment", domain AS "Domain", ctype AS "Component_Type", element AS "Element", round(mean, 8) AS "Mass_g_per_vehicle", round(lo, 8) AS "P2_5_g", round(hi, 8) AS "P97_5_g",
+ basis AS "Basis", band AS "Band_meaning", hist AS "Histogram_File", clipped FROM kcomp""")
+def k10(spark, sf):
+    return composition(spark, sf).withColumns({c: r(c, 8) for c in ("Mass_g_per_vehicle", "P2_5_g", "P97_5_g")})
+
+
+def lower(df):
+    return df.select(F.col("Year").alias("year"), F.col("Segment").alias("segment"), F.col("Domain").alias("domain"), F.col("Component_Type").alias("ctype"),
+                     F.col("Element").alias("element"), F.col("Mass_g_per_vehicle").alias("mean"), F.col("P2_5_g").alias("lo"), F.col("P97_5_g").alias("hi"))
+
+
+@query("k11_overview", "WITH " + K10_SQL + """, o AS (SELECT segment, domain, sum(CASE WHEN year = 1997 THEN mean ELSE 0 END) AS g_base, sum(CASE WHEN year = 1997 THEN lo ELSE 0 END) AS lo_base, sum(CASE WHEN year = 1997 THEN hi ELSE 0 END) AS hi_base,
+  sum(CASE WHEN year = 2001 THEN mean ELSE 0 END) AS g_end, count(DISTINCT ctype) AS n_types FROM kcomp GROUP BY ALL)
+SELECT segment, domain, round(g_base, 5) AS g_base, round(lo_base, 5) AS lo_base, round(hi_base, 5) AS hi_base, round(g_end, 5) AS g_end, n_types, round((g_end / g_base - 1) * 100, 7) AS change_pct, round((hi_base - lo_base) / g_base * 100, 7) AS band_pct FROM o""")
+def k11_overview(spark, sf):
+    o = st.overview(lower(composition(spark, sf)), ["segment", "domain"], 1997, 2001, "ctype", "mean", "lo", "hi")
+    return o.withColumns({**{c: r(c, 5) for c in ("g_base", "lo_base", "hi_base", "g_end")}, "change_pct": r("change_pct", 7), "band_pct": r("band_pct", 7)})
+
+
+@query("k11_snapshot", "WITH " + K10_SQL + " SELECT year, segment, domain, round(sum(mean), 4) AS mean, round(sum(lo), 4) AS lo, round(sum(hi), 4) AS hi FROM kcomp WHERE year IN (1997, 1999, 2001) GROUP BY ALL")
+def k11_snapshot(spark, sf):
+    return st.rollup_rounded(lower(composition(spark, sf)), ["year", "segment", "domain"], ["mean", "lo", "hi"], [1997, 1999, 2001], 4)
+
+
+@query("k11_detail", "WITH " + K10_SQL + " SELECT year, segment, domain, ctype, element, round(sum(mean), 6) AS mean FROM kcomp WHERE year IN (1997, 2001) GROUP BY ALL")
+def k11_detail(spark, sf):
+    return st.rollup_rounded(lower(composition(spark, sf)), ["year", "segment", "domain", "ctype", "element"], ["mean"], [1997, 2001], 6)
+
+
+@query("k11_change", "WITH " + K10_SQL + """, d AS (SELECT domain, ctype, round(sum(CASE WHEN year = 1997 THEN mean ELSE 0 END), 5) AS value_a, round(sum(CASE WHEN year = 2001 THEN mean ELSE 0 END), 5) AS value_b,
+  round(sum(CASE WHEN year = 2001 THEN mean ELSE 0 END) - sum(CASE WHEN year = 1997 THEN mean ELSE 0 END), 5) AS delta FROM kcomp WHERE segment = 'EF' AND year IN (1997, 2001) GROUP BY ALL)
+SELECT * FROM d ORDER BY abs(delta) DESC, domain, ctype LIMIT 16""")
+def k11_change(spark, sf):
+    d = jn.period_delta(lower(composition(spark, sf)).filter("segment = 'EF'"), ["domain", "ctype"], "year", "mean", 1997, 2001)
+    return rk.top_changes(d.withColumns({c: r(c, 5) for c in ("value_a", "value_b", "delta")}), "delta", 16, ["domain", "ctype"])
+
+
+# ---- consolidated templates ------------------------------------------------------
+@query("k12_board_template", """
+WITH src AS (SELECT p_partkey, p_type, p_name, CASE WHEN contains(upper(p_brand), '#1') THEN 'AB' WHEN contains(upper(p_brand), '#2') THEN 'CD' ELSE 'EF' END AS segment FROM part),
+ s AS (SELECT p_type, CASE WHEN contains(upper(p_brand), '#1') THEN 'AB' WHEN contains(upper(p_brand), '#2') THEN 'CD' ELSE 'EF' END AS segment, avg(p_size) AS m, stddev_pop(p_size) AS u FROM part WHERE p_type <> 'LARGE' GROUP BY ALL)
+SELECT 'Electronics' AS system, segment, p_type, p_name, coalesce(printf('%.4f', m), 'N/A') AS value, coalesce(printf('%.4f', 2 * u), 'N/A') AS uncertainty, CAST(NULL AS VARCHAR) AS remark, CAST(p_partkey AS VARCHAR) AS part
+FROM src LEFT JOIN s USING (p_type, segment)""")
+def k12_boards(spark, sf):
+    from massweave.functions import text as tx
+    p = table(spark, sf, "part").withColumn("segment", F.coalesce(tx.segment_from_text("p_brand", [("#1", "AB"), ("#2", "CD")]), F.lit("EF")))
+    s = p.filter("p_type <> 'LARGE'").groupBy("p_type", "segment").agg(F.avg("p_size").alias("mean"), F.stddev_pop("p_size").alias("std"))
+    src = p.select("p_type", "p_name", "segment", F.col("p_partkey").cast("string").alias("part"))
+    return tb.build_consolidated(src, s, ["p_type", "segment"], ["mean"], ["system", "segment", "p_type", "p_name", "value", "uncertainty", "remark", "part"],
+                                 {"system": "Electronics"}, ["p_name", "part"])
+
+
+@query("k12_motor_template", """
+WITH src AS (SELECT c_custkey, c_mktsegment, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'AB' WHEN 'BUILDING' THEN 'AB' WHEN 'FURNITURE' THEN 'CD' WHEN 'MACHINERY' THEN 'EF' END AS segment FROM customer),
+ s AS (SELECT CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'AB' WHEN 'BUILDING' THEN 'AB' WHEN 'FURNITURE' THEN 'CD' ELSE 'EF' END AS segment, avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS u FROM customer WHERE c_mktsegment <> 'HOUSEHOLD' GROUP BY 1)
+SELECT 'Motors' AS system, coalesce(segment, 'N/A') AS segment, c_mktsegment, printf('%.2f', m) AS value, printf('%.2f', 2 * u) AS uncertainty, CAST(c_custkey AS VARCHAR) AS part FROM src JOIN s USING (segment)""".replace("%.2f", "%.4f"))
+def k12_motors(spark, sf):
+    from massweave.operators import cleaning as cl
+    m = {"AUTOMOBILE": "AB", "BUILDING": "AB", "FURNITURE": "CD", "MACHINERY": "EF"}
+    c = cl.map_code(table(spark, sf, "customer"), "c_mktsegment", m, "segment").filter(F.col("segment").isNotNull())       # unknown codes are skipped
+    s = c.groupBy("segment").agg(F.avg("c_acctbal").alias("mean"), F.stddev_pop("c_acctbal").alias("std"))
+    src = c.select("segment", "c_mktsegment", F.col("c_custkey").cast("string").alias("part"))
+    return tb.build_consolidated(src, s, ["segment"], ["mean"], ["system", "segment", "c_mktsegment", "value", "uncertainty", "part"], {"system": "Motors"}, ["part"])
+
+
+TIER_SQL = qc.SHARES_SQL + ", tw AS (SELECT segment, year, " + ", ".join(f"coalesce(sum(CASE WHEN state = '{t}' THEN share END), 0.0::DOUBLE) AS {t}" for t in lit.TIERS) + " FROM shares GROUP BY ALL)"
+
+
+@query("k13_tier_table", "WITH " + TIER_SQL + " SELECT segment, year, " + ", ".join(f"round({t}, 9) AS \"{t}\"" for t in lit.TIERS) + ", round(" + " + ".join(lit.TIERS) + ", 9) AS sum, round(" + " + ".join(f"{t} * {lit.TIER_RANGING[t]}::DOUBLE" for t in lit.TIERS) + ", 9) AS ranging_derived FROM tw")
+def k13(spark, sf):
+    t = tb.build_tier_table(qc.shares(spark, sf).withColumnRenamed("state", "tier"))
+    return t.withColumns({c: r(c, 9) for c in [*lit.TIERS, "sum", "ranging_derived"]})
+
+
+@query("k13_scenario_table", "WITH " + qc.SCEN_SQL + " scen2 AS (SELECT * FROM scen WHERE year >= 1998), " + qc.sql_curve("scen2", "scenario", "year", "mult", "curve", clip=False) + """,
+ wts AS (SELECT o_orderpriority AS scenario, count(*) / sum(count(*)) OVER () AS weight FROM orders GROUP BY o_orderpriority)
+SELECT scenario, """ + ", ".join(f"max(CASE WHEN year = {y} THEN CASE WHEN year <= 1998 THEN 1.0 ELSE round(greatest(mult, 0), 9) END END) AS m{y}" for y in (1998, 2000, 2002)) + ", any_value(round(weight, 9)) AS weight FROM curve JOIN wts USING (scenario) GROUP BY 1")
+def k13_scenarios(spark, sf):
+    from massweave.operators import reshape as rs
+    m = rs.to_wide(qc.scenario_multiplier(spark, sf).filter("year IN (1998, 2000, 2002)"), ["scenario"], "year", "mult", [1998, 2000, 2002])
+    n = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("scenario")).agg(F.count("*").cast("double").alias("n"))
+    w = gw.share_of(n, [], "n", "weight").select("scenario", r("weight", 9).alias("weight"))
+    return m.select("scenario", *[r(F.col(str(y)), 9).alias(f"m{y}") for y in (1998, 2000, 2002)]).join(w, "scenario")
