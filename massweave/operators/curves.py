@@ -65,7 +65,7 @@ def monotone_curve(anchors: DataFrame, by: Sequence[str], x: str, y: str, first:
 def share_curves(anchors: DataFrame, by: Sequence[str], state: str, x: str, band: str, first: int, last: int) -> DataFrame:
     """Curves of all states, renormalised to sum to 1 in every year."""
     cv = monotone_curve(anchors, [*by, state], x, band, first, last)
-    return share_of(cv, [*by, "year"], band, "share", floor=1e-12).select(*by, state, "year", "share")
+    return share_of(cv, [*by, "year"], band, "share", floor=1e-12, bounded=True).select(*by, state, "year", "share")
 
 
 def wide_curve(curve: DataFrame, by: Sequence[str], state: str, val: str, states: Sequence[str]) -> DataFrame:
@@ -151,8 +151,7 @@ def anchor_to_base(df: DataFrame, val: str, base_year: int, mode: str, ensemble:
             e = c(share) * c(level) if e is None else e + c(share) * c(level)
         return df.withColumn(val, c(val) / F.greatest(e, F.lit(1e-12)))
     if mode == "ensemble":
-        m = F.avg(F.when(c("year") == base_year, c(val))).alias("_mean")
-        t = with_group(df, ensemble, [m])
+        t = with_group(df, ensemble, {"_mean": F.avg(F.when(c("year") == base_year, c(val)))})
         return t.withColumn(val, c(val) * c(target) / F.greatest(c("_mean"), F.lit(1e-9))).drop("_mean")
     if mode == "row":
         t = at_base(df, [*ensemble, *draw], "year", val, base_year, "_base")

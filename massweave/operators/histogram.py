@@ -22,13 +22,27 @@ def pilot_range(df: DataFrame, by: Sequence[str], val: str, pilot: Column | None
     """Bin range per series: min/max of the pilot rows widened by `pad` of the span."""
     src = df if pilot is None else df.filter(pilot)
     g = src.groupBy(*by).agg(F.min(val).cast("double").alias("_mn"), F.max(val).cast("double").alias("_mx"))
+    return _widen(g, by, pad, bins)
+
+
+def _widen(g: DataFrame, by: Sequence[str], pad: float, bins: int, keep: Sequence[str] = ()) -> DataFrame:
     g = g.withColumn("_span", F.when(F.col("_mx") - F.col("_mn") <= 0, F.lit(1.0)).otherwise(F.col("_mx") - F.col("_mn")))
     half = F.lit(pad) * F.col("_span") / F.lit(2.0)
-    g = g.select(*by, (F.col("_mn") - half).alias("lo"), (F.col("_mx") + half).alias("hi"))
+    g = g.select(*by, *keep, (F.col("_mn") - half).alias("lo"), (F.col("_mx") + half).alias("hi"))
     w = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     return g.withColumn("width", F.when(w <= 0, F.lit(1.0)).otherwise(w))
 
 
+def moments_and_range(df: DataFrame, by: Sequence[str], val: str, pilot: Column | None = None, pad: float = PILOT_PAD,
+                      bins: int = N_FINE_BINS) -> DataFrame:
+    """Exact moments of all rows and the pilot's bin range, in one aggregation; kept, since the bin pass reads it too."""
+    v = F.col(val).cast("double")
+    pv = v if pilot is None else F.when(pilot, v)
+    g = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+                            F.min(pv).alias("_mn"), F.max(pv).alias("_mx"))
+    return _widen(g, by, pad, bins, ["n", "mean", "std", "min", "max"]).persist()
+
+
 def exact_range(df: DataFrame, by: Sequence[str], val: str, bins: int) -> DataFrame:
     """Bin range from min to max; a constant series gets a unit range around it."""
     g = df.groupBy(*by).agg(F.min(val).cast("double").alias("lo"), F.max(val).cast("double").alias("hi"))

@@ -128,9 +128,11 @@ def derive_segments(df: DataFrame, mapping: Mapping[str, str], vals: Sequence[st
     """Add the derived segments: the base segment times 1 + tri(...) per vehicle."""
     names = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
     add = dr.triangular(dr.keyed_uniform(seed, "height", *vehicle), *[F.lit(float(x)) for x in triple])
-    d = df.filter(F.col("segment").isin(list(mapping))).withColumn("_f", F.lit(1.0) + add)
-    d = d.withColumns({v: F.col(v) * F.col("_f") for v in vals}).drop("_f")
-    return df.unionByName(d.withColumn("segment", F.try_element_at(names, F.col("segment"))))
+    # one pass: every row emits itself and, where it has one, its derived twin
+    own = F.struct(F.col("segment").alias("s"), F.lit(1.0).alias("f"))
+    twin = F.struct(F.try_element_at(names, F.col("segment")).alias("s"), (F.lit(1.0) + F.col("_add")).alias("f"))
+    t = df.withColumn("_add", add).withColumn("_e", F.explode(F.array(own, twin))).filter("_e.s IS NOT NULL")
+    return t.withColumns({"segment": F.col("_e.s"), **{v: F.col(v) * F.col("_e.f") for v in vals}}).select(*df.columns)
 
 
 def calibrated_presence(state: Column, t: Sequence[Column], base_shares: Sequence[Column], observed: Column,

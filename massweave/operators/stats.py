@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from massweave.operators import histogram as hg
 from massweave.operators.groupwise import join_on, share_of
-from massweave.scale import checked_broadcast, written
+from massweave.scale import checked_broadcast
 
 
 def moments(df: DataFrame, by: Sequence[str], val: str) -> DataFrame:
@@ -43,33 +43,38 @@ def series_totals(draws: DataFrame, sets: Mapping[str, Sequence[str]], base: Seq
 
 
 # ---- exact order statistics ------------------------------------------------------
-def _depth_bins(values: DataFrame, by: Sequence[str], val: str, parts: int) -> DataFrame:
-    """Attach `_bin`: equal-depth ranges of the values of each series.
+def _ordered_bins(vc: DataFrame, by: Sequence[str], val: str, bins: int = 4096, per_bin: int = 200_000) -> DataFrame:
+    """Attach (`_bin`, `_sub`), ordered like the values and of limited size.
 
-    The split points come from a sketch, so they are written once; ranks do not
-    depend on where they lie, only on every stage seeing the same ones.
+    Equal-width bins over the range of a series; a bin that still holds many
+    distinct values is cut again over its own range. Both levels come from
+    min, max and counts, which do not change when a task is run again.
     """
-    qs = [i / parts for i in range(1, parts)]
-    splits = written(values.groupBy(*by).agg(F.percentile_approx(val, qs, 1000).alias("_s")), "splits")
-    t = join_on(values, checked_broadcast(splits), by, "inner")
-    return t.withColumn("_bin", F.size(F.filter("_s", lambda s: s < F.col(val)))).drop("_s")
+    c = F.col
+    x = c(val).cast("double")
+    lim = checked_broadcast(vc.groupBy(*by).agg(F.min(x).alias("_mn"), F.max(x).alias("_mx")))
+    cell = lambda lo, hi, k: F.when(hi > lo, F.least(F.floor((x - lo) / (hi - lo) * k), k - 1)).otherwise(F.lit(0)).cast("bigint")
+    t = join_on(vc, lim, by, "inner").withColumn("_bin", cell(c("_mn"), c("_mx"), F.lit(bins))).drop("_mn", "_mx")
+    b = t.groupBy(*by, "_bin").agg(F.min(x).alias("_bl"), F.max(x).alias("_bh"), F.ceil(F.count("*") / per_bin).alias("_k"))
+    t = join_on(t, checked_broadcast(b), [*by, "_bin"], "inner")
+    return t.withColumn("_sub", cell(c("_bl"), c("_bh"), c("_k"))).drop("_bl", "_bh", "_k")
 
 
-def value_ranks(df: DataFrame, by: Sequence[str], val: str, weight: str | None = None, parts: int = 64) -> DataFrame:
+def value_ranks(df: DataFrame, by: Sequence[str], val: str) -> DataFrame:
     """Distinct values with their count, the rows before them, and the average-tie rank.
 
     A `rank()` over a whole series would sort it in one task. Copies collapse
-    first (value counts), then values are ranked within equal-depth ranges and
-    shifted by the totals of the ranges before.
+    first (value counts), then values are ranked within ordered bins and shifted
+    by the totals of the bins before.
     """
-    n = F.count("*") if weight is None else F.sum(weight)
-    vc = df.filter(F.col(val).isNotNull()).groupBy(*by, val).agg(n.alias("count"))
-    vc = _depth_bins(vc, by, val, parts)
-    tot = vc.groupBy(*by, "_bin").agg(F.sum("count").alias("_c"))
-    before = F.sum("_c").over(W.partitionBy(*by).orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")
-    tot = tot.select(*by, "_bin", before.alias("_off"))
-    cum = F.sum("count").over(W.partitionBy(*by, "_bin").orderBy(val).rowsBetween(W.unboundedPreceding, 0))
-    t = join_on(vc.withColumn("_cum", cum), checked_broadcast(tot), [*by, "_bin"], "inner")
+    vc = df.filter(F.col(val).isNotNull()).groupBy(*by, val).agg(F.count("*").alias("count")).persist()
+    vc = _ordered_bins(vc, by, val)
+    cell = [*by, "_bin", "_sub"]
+    tot = vc.groupBy(*cell).agg(F.sum("count").alias("_c"))
+    before = F.sum("_c").over(W.partitionBy(*by).orderBy("_bin", "_sub").rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")
+    tot = tot.select(*cell, before.alias("_off"))
+    cum = F.sum("count").over(W.partitionBy(*cell).orderBy(val).rowsBetween(W.unboundedPreceding, 0))
+    t = join_on(vc.withColumn("_cum", cum), checked_broadcast(tot), cell, "inner")
     b = F.col("_off") + F.col("_cum") - F.col("count")
     return t.select(*by, val, "count", b.alias("before"), (b + (F.col("count") + 1) / 2.0).alias("rank"))
 
@@ -132,27 +137,38 @@ def variance_share(df: DataFrame, by: Sequence[str], parts: Sequence[str], total
     return one.unpivot(list(by), list(parts), "part", "share")
 
 
-def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, out: str = "rho") -> DataFrame:
-    """Correlation of average-tie ranks. Equal (x, y) pairs collapse to one weighted row first."""
-    w = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("_w"))
-    rx = value_ranks(w, by, x, "_w").select(*by, x, F.col("rank").alias("_rx"))
-    ry = value_ranks(w, by, y, "_w").select(*by, y, F.col("rank").alias("_ry"))
-    n = checked_broadcast(w.groupBy(*by).agg(F.sum("_w").alias("_n")))
-    j = join_on(join_on(join_on(w, rx, [*by, x], "inner"), ry, [*by, y], "inner"), n, by, "inner")
+def _rho(df: DataFrame, by: Sequence[str], x: str, y: str, ry: DataFrame, out: str) -> DataFrame:
+    """Equal (x, y) pairs collapse to one weighted row before the ranks are joined on."""
+    w = df.groupBy(*by, x, y).agg(F.count("*").alias("_w"))
+    rx = value_ranks(df, by, x).select(*by, x, F.col("rank").alias("_rx"))
+    j = join_on(join_on(w, rx, [*by, x], "inner"), ry, [*by, y], "inner")
+    n = checked_broadcast(df.groupBy(*by).agg(F.count("*").alias("_n")))
+    j = join_on(j, n, by, "inner")
     mid = (F.col("_n") + 1) / 2.0
     dx, dy, wt = F.col("_rx") - mid, F.col("_ry") - mid, F.col("_w")
     den = F.sqrt(F.sum(wt * dx * dx) * F.sum(wt * dy * dy))
     return j.groupBy(*by).agg((F.sum(wt * dx * dy) / F.nullif(den, F.lit(0.0))).alias(out))
 
 
+def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, out: str = "rho") -> DataFrame:
+    """Correlation of average-tie ranks over the rows where both values are known."""
+    df = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return _rho(df, by, x, y, value_ranks(df, by, y).select(*by, y, F.col("rank").alias("_ry")), out)
+
+
 def rho_shares(df: DataFrame, by: Sequence[str], drivers: Sequence[str], result: str) -> DataFrame:
-    """Spearman rho of each driver with the result, and rho^2 over the sum of rho^2."""
+    """Spearman rho of each driver with the result, and rho^2 over the sum of rho^2.
+
+    The result is ranked once for all drivers, over rows where all are known.
+    """
+    df = df.select(*by, *drivers, result).na.drop(subset=[*drivers, result])
+    ry = value_ranks(df, by, result).select(*by, result, F.col("rank").alias("_ry"))
     t = None
     for d in drivers:
-        s = spearman(df, by, d, result).withColumn("driver", F.lit(d))
+        s = _rho(df, by, d, result, ry, "rho").withColumn("driver", F.lit(d))
         t = s if t is None else t.unionByName(s)
     t = t.withColumn("_r2", F.coalesce(F.col("rho") * F.col("rho"), F.lit(0.0)))
-    return share_of(t, by, "_r2", "share").drop("_r2")
+    return share_of(t, by, "_r2", "share", bounded=True).drop("_r2")
 
 
 # ---- tables ----------------------------------------------------------------------

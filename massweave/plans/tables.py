@@ -80,10 +80,11 @@ def build_sensor_counts(rows: DataFrame, presence: DataFrame, volt: DataFrame, n
     return _year_stats(s, ["segment", "level", "name", "year"], "value", pilot)
 
 
-def _year_stats(s: DataFrame, key: Sequence[str], val: str, pilot: int) -> DataFrame:
-    rng = hg.pilot_range(s, key, val, pilot=F.col("draw") < pilot)
-    h = hg.hist_acc(s, key, val, rng)
-    return hg.year_stats(h, st.moments(s, key, val).select(*key, "n", "mean", "std"), key)
+def _year_stats(s: DataFrame, key: Sequence[str], val: str, pilot: int | None = None, n: str = "n") -> DataFrame:
+    """Two passes over the draws: moments and range together, then the bin counts."""
+    m = hg.moments_and_range(s, key, val, None if pilot is None else F.col("draw") < pilot)
+    h = hg.hist_acc(s, key, val, m)
+    return hg.year_stats(h, m.select(*key, F.col("n").alias(n), "mean", "std"), key)
 
 
 def build_sensor_elements(masses: DataFrame) -> DataFrame:
@@ -98,7 +99,7 @@ def build_sensor_elements(masses: DataFrame) -> DataFrame:
     m = st.moments(s, ["segment", "element", "sensor_type"], "value")
     p = st.exact_percentiles(s, ["segment", "element", "sensor_type"], "value", {"p025": 2.5, "p50": 50, "p975": 97.5})
     t = gw.join_on(m, p, ["segment", "element", "sensor_type"])
-    t = gw.with_group(t, ["segment", "element"], [F.max(F.when(F.col("sensor_type") == "ALL", F.col("var"))).alias("_tv")])
+    t = gw.with_group(t, ["segment", "element"], {"_tv": F.max(F.when(F.col("sensor_type") == "ALL", F.col("var")))}, bounded=True)
     loc = masses.groupBy("segment", "element", "sensor_type").agg(F.countDistinct("comp_id").alias("n_locations"))
     t = gw.join_on(t, loc, ["segment", "element", "sensor_type"])
     return t.withColumn("variance_share", F.col("var") / F.nullif(F.col("_tv"), F.lit(0.0))).drop("_tv", "var")
@@ -175,7 +176,7 @@ def wiring_rows(vehicles: DataFrame, states: DataFrame, cats: DataFrame, sensor_
     depth = dr.triangular(k(seed, "depth", "vehicle"), F.lit(0.4), F.lit(0.7), F.lit(1.0))
     y = states.select("segment", "vehicle", "year", "state").join(
         sensor_len.select("segment", "vehicle", "year", "length_m"), ["segment", "vehicle", "year"])
-    y = gw.with_group(y, ["segment"], [F.avg(F.when(c("year") == base_year, c("length_m"))).alias("_lm")])
+    y = gw.with_group(y, ["segment"], {"_lm": F.avg(F.when(c("year") == base_year, c("length_m")))})
     y = y.join(checked_broadcast(volt), ["segment", "year"]).withColumn("hv", F.lit(1.0))
     y = sp.apply_reduction(y, "hv", c("share"), c("base"), lit.HV_CU_REDUCTION, ["vehicle"], seed)
     y = y.withColumn("sensor_scale", c("length_m") / F.greatest(c("_lm"), F.lit(1e-9)))
@@ -220,9 +221,7 @@ def build_wiring(rows: DataFrame, derived: Mapping[str, str], seed: int = 42) ->
                                    F.struct(F.lit("Cu (kg)").alias("metric"), c("copper").alias("value")))).alias("m"))
     t = t.select(*key, "level", "code", "functional_group", "m.*")
     by = ["level", "segment", "code", "functional_group", "metric", "year"]
-    rng = hg.pilot_range(t, by, "value")
-    h = hg.hist_acc(t, by, "value", rng)
-    return hg.year_stats(h, st.moments(t, by, "value").select(*by, F.col("n").alias("n_iter"), "mean"), by)
+    return _year_stats(t, by, "value", n="n_iter")
 
 
 COMPOSITION = ["Year", "Segment", "Domain", "Component_Type", "Element", "Mass_g_per_vehicle", "P2_5_g", "P97_5_g", "Basis",

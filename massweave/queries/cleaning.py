@@ -6,6 +6,7 @@ from massweave.functions import text as tx
 from massweave.operators import cleaning as cl
 from massweave.plans import literals as lit
 from massweave.queries._base import COMPONENTS_SQL, components, query, r, table
+from massweave.scale import spread
 
 SP = tx.SPACE_CLASS
 
@@ -15,7 +16,7 @@ SELECT doc_id, trim(regexp_replace(text, '{SP}', ' ', 'g')) AS text,
   md5(lower(trim(regexp_replace(replace(text, ' ', chr(160)), '{SP}', ' ', 'g')))) AS key_md5 FROM documents""")
 def b01(spark, sf):
     # the second column swaps every space for a non-breaking one first
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id", tx.norm_text("text").alias("text"),
         F.md5(tx.norm_key(F.translate("text", " ", " "))).alias("key_md5"))
 
@@ -84,7 +85,7 @@ def classify_sql(domain: str, component: str) -> str:
 SELECT doc_id, {classify_sql('d', 'c')} AS category FROM (SELECT doc_id, d, c, d || ' ' || c AS b FROM (
   SELECT doc_id, lower(trim(source)) AS d, lower(trim(trim(regexp_replace(text, '{SP}', ' ', 'g')))) AS c FROM documents))""")
 def b08(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", tx.norm_text("text").alias("text"))
+    d = spread(table(spark, sf, "documents")).select("doc_id", "source", tx.norm_text("text").alias("text"))
     return cl.classify(d, "source", "text", lit.CLASSIFICATION_RULES, lit.CLASSIFICATION_DEFAULT).select("doc_id", "category")
 
 

@@ -8,6 +8,7 @@ from massweave.operators import groupwise as gw
 from massweave.plans import literals as lit
 from massweave.queries._base import (ANCHORS_SQL, RANGES_SQL, STATES, anchors, query, r, ranges, sql_keyed, sql_norm,
                                      table)
+from massweave.scale import spread
 
 Y0, Y1 = 1993, 2004          # grid of the queries: two years beyond the anchors on both sides
 
@@ -55,7 +56,7 @@ VEHICLES_SQL = f"""vehicles AS (SELECT CASE c_mktsegment WHEN 'AUTOMOBILE' THEN
 
 def vehicles(spark, sf):
     """Every customer is one vehicle, with its own timing offset and state uniform."""
-    return table(spark, sf, "customer").select(
+    return spread(table(spark, sf, "customer")).select(
         F.expr("CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'AB' WHEN 'BUILDING' THEN 'AB' WHEN 'FURNITURE' THEN 'CD' "
                "WHEN 'HOUSEHOLD' THEN 'CD' ELSE 'EF' END").alias("segment"),
         F.col("c_custkey").alias("vehicle"), dr.keyed_uniform(42, "arch", "c_custkey").alias("u"),

@@ -243,7 +243,7 @@ def arch_shares(spark, sf):
         F.expr("CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'AB' WHEN 'BUILDING' THEN 'AB' WHEN 'FURNITURE' THEN 'CD' WHEN 'HOUSEHOLD' THEN 'CD' ELSE 'EF' END").alias("segment"),
         F.expr("CASE o_orderstatus WHEN 'F' THEN 'Conventional' WHEN 'O' THEN 'Transitional' ELSE 'SDV_Zonal' END").alias("state"),
         F.year("o_orderdate").alias("year")).agg(F.count("*").cast("double").alias("n")))
-    a = gw.share_of(n, ["segment", "year"], "n", "share")
+    a = gw.share_of(n, ["segment", "year"], "n", "share", bounded=True)
     return cv.share_curves(a, ["segment"], "state", "year", "share", Y0, Y1)
 
 

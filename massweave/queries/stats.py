@@ -260,8 +260,8 @@ Y_SQL = PRICES_SQL + ", " + hist_sql("prices", "segment, name, year", "v") + ",
 
 def yearly_stats(spark, sf):
     p, key = prices(spark, sf), [*KEY, "year"]
-    h = hg.hist_acc(p, key, "v", hg.pilot_range(p, key, "v"))
-    return hg.year_stats(h, st.moments(p, key, "v").select(*key, "n", "mean", "std"), key)
+    m = hg.moments_and_range(p, key, "v")
+    return hg.year_stats(hg.hist_acc(p, key, "v", m), m.select(*key, "n", "mean", "std"), key)
 
 
 YCOLS = {"mean": 5, "std": 5, "p025": 6, "median": 6, "p975": 6, "mode": 7}

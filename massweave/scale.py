@@ -52,13 +52,3 @@ def spread(df: DataFrame, below_bytes: int = 256 << 20) -> DataFrame:
         return df
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1))
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a small intermediate once and read it back.
-
-    For results that may differ slightly when recomputed (sketches): every later
-    stage, retried tasks included, then reads the same rows.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
