@@ -32,7 +32,8 @@ def _digest(seed: int, var: str, keys) -> Column:
 
 
 def _hex32(digest: Column, i: int) -> Column:
-    return F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint")
+    # never NULL, and said so: without the null checks the generated code stays small
+    return F.coalesce(F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def keyed_uniform(seed: int, var: str, *keys) -> Column:
@@ -62,6 +63,16 @@ def with_streams(df, seed: int, keys, variables):
     return df.withColumns({f"u_{v}": stream(seed, v, *keys) for v in variables})
 
 
+def draw_uniforms(df, variables: dict[str, tuple], drop: bool = True):
+    """Uniforms as columns: {name: (stream column, draw id)}.
+
+    A transform reads its uniform several times. As a column it is computed once
+    per row, and the generated method stays below the size the JIT compiles.
+    """
+    out = df.withColumns({n: at(s, d) for n, (s, d) in variables.items()})
+    return out.drop(*{s for s, _ in variables.values()}) if drop else out
+
+
 def uniform(u, lo, hi) -> Column:
     return _c(lo) + _c(u) * (_c(hi) - _c(lo))
 

@@ -182,9 +182,9 @@ def broadcast_year(base: DataFrame, delta: DataFrame, by: Sequence[str], val: st
     The base is already aggregated without the year; only the rows a driver
     touches carry one. Neither side is multiplied out before it is summed.
     """
-    grid = base.select(*by, F.col(val).alias("_b"), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("year"))
-    j = grid.join(delta.select(*by, "year", F.col(val).alias("_d")), [*by, "year"], "left")
-    return j.select(*by, "year", (F.col("_b") + F.coalesce(F.col("_d"), F.lit(0.0))).alias(val))
+    grid = base.select(*by, F.explode(F.sequence(F.lit(first), F.lit(last))).alias("year"), F.col(val))
+    both = grid.unionByName(delta.select(*by, "year", val))
+    return both.groupBy(*by, "year").agg(F.sum(val).alias(val))
 
 
 __all__ = ["monotone_curve", "share_curves", "wide_curve", "shift_curve", "presence_long", "substitute_marker",

@@ -41,12 +41,13 @@ def area_draws(df: DataFrame, n: int, keys: Sequence[str], sizes: Mapping[str, t
     """
     names = [f"{s}_{v}" for s in sizes for v in ("n", "l", "w")]
     t = expand_draws(spread(dr.with_streams(df, seed, keys, names)), n)
-    t = t.withColumns({f"n_{s}": dr.uniform(dr.at(f"u_{s}_n"), F.coalesce(F.col(a), F.lit(0.0)), F.coalesce(F.col(b), F.lit(0.0)))
+    t = dr.draw_uniforms(t, {f"_{v}": (f"u_{v}", "draw") for v in names})
+    t = t.withColumns({f"n_{s}": dr.uniform(f"_{s}_n", F.coalesce(F.col(a), F.lit(0.0)), F.coalesce(F.col(b), F.lit(0.0)))
                        for s, (a, b, _, _) in sizes.items()})
-    tri = lambda v, p: dr.triangular(dr.at(f"u_{v}"), *[F.lit(float(x)) for x in p])
+    tri = lambda v, p: dr.triangular(f"_{v}", *[F.lit(float(x)) for x in p])
     t = t.withColumns({f"area_{s}": F.when(F.col(f"n_{s}") > 0, F.col(f"n_{s}") * tri(f"{s}_l", ln) * tri(f"{s}_w", wd))
                        .otherwise(F.lit(0.0)) for s, (_, _, ln, wd) in sizes.items()})
-    return t.drop(*[f"u_{v}" for v in names])
+    return t.drop(*[f"_{v}" for v in names])
 
 
 def count_times_mass(df: DataFrame, composition: DataFrame, on: Sequence[str], n: int, keys: Sequence[str],
@@ -58,25 +59,24 @@ def count_times_mass(df: DataFrame, composition: DataFrame, on: Sequence[str], n
     """
     j = dr.with_streams(df, seed, keys, ["count"]).join(composition.filter(F.col("mass_hi") > 0), list(on))
     j = j.withColumn("u_mass", dr.stream(seed, "mass", *keys, element))
-    t = expand_draws(spread(j), n)
-    m = dr.triangular(dr.at("u_mass"), "mass_lo", "mass_mode", "mass_hi")
-    return t.withColumn("value", dr.uniform(dr.at("u_count"), "lo", "hi") * m).drop("u_count", "u_mass")
+    t = dr.draw_uniforms(expand_draws(spread(j), n), {"_uc": ("u_count", "draw"), "_um": ("u_mass", "draw")})
+    m = dr.triangular("_um", "mass_lo", "mass_mode", "mass_hi")
+    return t.withColumn("value", dr.uniform("_uc", "lo", "hi") * m).drop("_uc", "_um")
 
 
 def apply_uplift(df: DataFrame, target: Column, share: Column, triple: Sequence[float], vehicle: Sequence[str],
                  val: str = "value", seed: int = 42) -> DataFrame:
     """Selected rows times (1 + flag x (uplift - 1)); flag and uplift belong to the vehicle."""
-    up = dr.triangular(dr.keyed_uniform(seed, "uplift", *vehicle), *[F.lit(float(x)) for x in triple])
-    flag = dr.bernoulli(dr.keyed_uniform(seed, "volt", *vehicle), share)
-    return df.withColumn(val, F.when(target, dr.uplift(val, flag, up)).otherwise(F.col(val)))
+    t = df.withColumns({"_uu": dr.keyed_uniform(seed, "uplift", *vehicle), "_uv": dr.keyed_uniform(seed, "volt", *vehicle)})
+    up = dr.triangular("_uu", *[F.lit(float(x)) for x in triple])
+    return t.withColumn(val, F.when(target, dr.uplift(val, dr.bernoulli("_uv", share), up)).otherwise(F.col(val))).drop("_uu", "_uv")
 
 
 def apply_reduction(df: DataFrame, rate: str, share: Column, base_share: Column, triple: Sequence[float],
                     vehicle: Sequence[str], seed: int = 42) -> DataFrame:
     """Unit rate x (1 - red x flag(year)), over the vehicle's own base-year value."""
-    red = dr.triangular(dr.keyed_uniform(seed, "red", *vehicle), *[F.lit(float(x)) for x in triple])
-    u = dr.keyed_uniform(seed, "volt", *vehicle)
-    t = df.withColumns({"_red": red, "_u": u})
+    t = df.withColumns({"_ur": dr.keyed_uniform(seed, "red", *vehicle), "_u": dr.keyed_uniform(seed, "volt", *vehicle)})
+    t = t.withColumn("_red", dr.triangular("_ur", *[F.lit(float(x)) for x in triple])).drop("_ur")
     now = dr.reduction(F.lit(1.0), F.col("_u") < share, "_red")
     base = dr.reduction(F.lit(1.0), F.col("_u") < base_share, "_red")
     return t.withColumn(rate, F.col(rate) * now / F.greatest(base, F.lit(1e-12))).drop("_red", "_u")
@@ -99,39 +99,54 @@ def variability(vehicle: Sequence[str], category: Sequence[str], seed: int = 42)
 
 
 def tier_counts(spark) -> DataFrame:
-    """Sensors per (segment, tier index, type) as triangular triples (a fixed table)."""
+    """Sensors per segment and tier index, one triangular triple per type (a fixed table of 15 rows)."""
     rows = []
     for (seg, tier), v in lit.TIER_COUNTS.items():
-        for i, st in enumerate(lit.TIER_COUNT_TYPES):
+        row = [seg, lit.TIERS.index(tier)]
+        for i in range(len(lit.TIER_COUNT_TYPES)):
             lo, hi = float(v[2 * i]), float(v[2 * i + 1])
-            rows.append((seg, lit.TIERS.index(tier), st, lo, (lo + hi) / 2, max(hi, lo + 1e-9)))
-    return spark.createDataFrame(rows, "segment string, tier int, sensor string, n_lo double, n_mode double, n_hi double")
+            row += [lo, (lo + hi) / 2, max(hi, lo + 1e-9)]
+        rows.append(tuple(row))
+    cols = ", ".join(f"n_{s}_{b} double" for s in lit.TIER_COUNT_TYPES for b in ("lo", "mode", "hi"))
+    return spark.createDataFrame(rows, f"segment string, tier int, {cols}")
 
 
-def sensor_length(states: DataFrame, counts: DataFrame, metres: DataFrame, vehicle: str = "vehicle", seed: int = 42) -> DataFrame:
-    """Metres of sensor wiring per vehicle and year.
+def sensor_streams(vehicles: DataFrame, vehicle: str = "vehicle", seed: int = 42) -> DataFrame:
+    """Hash a vehicle once per sensor type, before its years are laid out."""
+    return vehicles.withColumns({f"u_{v}_{s}": dr.stream(seed, v, vehicle, F.lit(s)) for s in lit.TIER_COUNT_TYPES for v in ("sensors", "metres")})
 
-    `states` holds one row per vehicle and year: segment, tier, mult, arch_mult,
-    equipped. Count and metres are drawn once per vehicle and held over years.
+
+def sensor_length(states: DataFrame, counts: DataFrame, metres: DataFrame) -> DataFrame:
+    """Metres of sensor wiring per vehicle and year, as row arithmetic.
+
+    `states`: one row per vehicle and year with segment, tier, mult, arch_mult,
+    equipped and the sensor streams; `metres`: a row per segment with a triple
+    per sensor type. Count and metres are drawn once per vehicle and held over
+    years. The types are columns, so nothing is multiplied out or shuffled.
     """
-    j = states.join(F.broadcast(counts), ["segment", "tier"]).join(checked_broadcast(metres), ["segment", "sensor"])
-    j = dr.with_streams(j, seed, [vehicle, "sensor"], ["sensors", "metres"])
-    n = dr.triangular(dr.at("u_sensors", F.col("tier")), "n_lo", "n_mode", "n_hi")
-    n = n * F.when(F.col("sensor") == "lidar", F.col("equipped")).otherwise(F.lit(1.0))
-    m = dr.triangular(dr.at("u_metres", F.lit(0)), "m_lo", "m_mode", "m_hi")
-    j = j.withColumn("_len", n * F.col("mult") * m * F.col("arch_mult"))
-    return j.groupBy("segment", vehicle, "year").agg(F.sum("_len").alias("length_m"))
+    j = states.join(F.broadcast(counts), ["segment", "tier"]).join(checked_broadcast(metres), "segment")
+    types = lit.TIER_COUNT_TYPES
+    j = dr.draw_uniforms(j, {**{f"_un_{s}": (f"u_sensors_{s}", "tier") for s in types}, **{f"_um_{s}": (f"u_metres_{s}", F.lit(0)) for s in types}})
+    tri = lambda u, p, s: dr.triangular(f"{u}_{s}", *[f"{p}_{s}_{b}" for b in ("lo", "mode", "hi")])
+    j = j.withColumns({f"_n_{s}": tri("_un", "n", s) for s in types}).withColumns({f"_m_{s}": tri("_um", "m", s) for s in types})
+    total = None
+    for s in types:
+        n = F.col(f"_n_{s}") * F.col("equipped") if s == "lidar" else F.col(f"_n_{s}")
+        e = n * F.col("mult") * F.col(f"_m_{s}") * F.col("arch_mult")
+        total = e if total is None else total + e
+    drop = [f"{p}_{s}_{b}" for p in ("n", "m") for s in types for b in ("lo", "mode", "hi")]
+    return j.withColumn("length_m", total).drop(*drop, *[f"_{p}_{s}" for p in ("n", "m", "un", "um") for s in types])
 
 
 def derive_segments(df: DataFrame, mapping: Mapping[str, str], vals: Sequence[str], vehicle: Sequence[str],
                     triple: Sequence[float] = lit.HEIGHT_ADDER, seed: int = 42) -> DataFrame:
     """Add the derived segments: the base segment times 1 + tri(...) per vehicle."""
     names = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-    add = dr.triangular(dr.keyed_uniform(seed, "height", *vehicle), *[F.lit(float(x)) for x in triple])
+    add = dr.triangular("_uh", *[F.lit(float(x)) for x in triple])
     # one pass: every row emits itself and, where it has one, its derived twin
     own = F.struct(F.col("segment").alias("s"), F.lit(1.0).alias("f"))
     twin = F.struct(F.try_element_at(names, F.col("segment")).alias("s"), (F.lit(1.0) + F.col("_add")).alias("f"))
-    t = df.withColumn("_add", add).withColumn("_e", F.explode(F.array(own, twin))).filter("_e.s IS NOT NULL")
+    t = df.withColumn("_uh", dr.keyed_uniform(seed, "height", *vehicle)).withColumn("_add", add).withColumn("_e", F.explode(F.array(own, twin))).filter("_e.s IS NOT NULL")
     return t.withColumns({"segment": F.col("_e.s"), **{v: F.col(v) * F.col("_e.f") for v in vals}}).select(*df.columns)
 
 
@@ -179,13 +194,14 @@ def material_draws(df: DataFrame, n: int, keys: Sequence[str], materials: Sequen
     normalisation is row arithmetic: no window and no shuffle over the draws.
     """
     t = expand_draws(spread(dr.with_streams(df, seed, keys, materials)), n)
-    t = t.withColumns({f"_r_{m}": dr.triangular(dr.at(f"u_{m}"), f"{m}_lo", f"{m}_mode", f"{m}_hi") for m in materials})
+    t = dr.draw_uniforms(t, {f"_u_{m}": (f"u_{m}", "draw") for m in materials})
+    t = t.withColumns({f"_r_{m}": dr.triangular(f"_u_{m}", f"{m}_lo", f"{m}_mode", f"{m}_hi") for m in materials})
     total = None
     for m in materials:
         total = F.col(f"_r_{m}") if total is None else total + F.col(f"_r_{m}")
     t = t.withColumn("_t", F.when(total == 0, F.lit(1.0)).otherwise(total))
     parts = F.explode(F.array(*[F.struct(F.lit(m).alias("material"), (F.col(f"_r_{m}") / F.col("_t")).alias("ratio")) for m in materials]))
-    drop = [f"u_{m}" for m in materials] + [f"_r_{m}" for m in materials] + ["_t"] + [f"{m}_{s}" for m in materials for s in ("lo", "mode", "hi")]
+    drop = [f"_u_{m}" for m in materials] + [f"_r_{m}" for m in materials] + ["_t"] + [f"{m}_{s}" for m in materials for s in ("lo", "mode", "hi")]
     t = t.withColumn("_p", parts)
     return t.select("*", "_p.*").drop("_p", *drop).withColumn("mass_kg", F.col(mass) * F.col("ratio"))
 

@@ -71,9 +71,9 @@ def build_sensor_counts(rows: DataFrame, presence: DataFrame, volt: DataFrame, n
     drv = d.filter(c("domain") == governed).join(checked_broadcast(presence), ["component", "segment"]).withColumn("value", c("value") * c("presence"))
     volt = checked_broadcast(dr.with_streams(volt, seed, ["segment"], ["volt", "uplift"]))
     up = d.filter((c("sensor_type") == uplifted) & (c("domain") != governed)).join(volt, "segment")
-    u800 = dr.at("u_volt")
-    upl = dr.triangular(dr.at("u_uplift"), *[F.lit(float(x)) for x in triple])
-    up = up.withColumn("value", c("value") * F.when(u800 < c("share"), upl - 1.0).otherwise(F.lit(0.0)))
+    up = dr.draw_uniforms(up, {"_u8": ("u_volt", "draw"), "_uu": ("u_uplift", "draw")})
+    upl = dr.triangular("_uu", *[F.lit(float(x)) for x in triple])
+    up = up.withColumn("value", c("value") * F.when(c("_u8") < c("share"), upl - 1.0).otherwise(F.lit(0.0)))
     cols = [*key, "draw", "year", "value"]
     delta = st.series_totals(drv.select(*cols).unionByName(up.select(*cols)), sets, ["segment", "draw", "year"], "value")
     s = cv.broadcast_year(base, delta, ["segment", "draw", "level", "name"], "value", *years)
@@ -83,7 +83,7 @@ def build_sensor_counts(rows: DataFrame, presence: DataFrame, volt: DataFrame, n
 def _year_stats(s: DataFrame, key: Sequence[str], val: str, pilot: int | None = None, n: str = "n") -> DataFrame:
     """Two passes over the draws: moments and range together, then the bin counts."""
     m = hg.moments_and_range(s, key, val, None if pilot is None else F.col("draw") < pilot)
-    h = hg.hist_acc(s, key, val, m)
+    h = hg.hist_acc(s, key, val, m).persist()              # read by the percentiles and the mode
     return hg.year_stats(h, m.select(*key, F.col("n").alias(n), "mean", "std"), key)
 
 
@@ -131,12 +131,12 @@ def build_motor_years(draws: DataFrame, headroom: Mapping[str, Sequence[float]],
     """
     k = lambda v: dr.keyed_uniform(seed, v, "segment", "draw")
     c = F.col
-    scen = dr.pick(k("scenario"), dict(weights), pinned)
+    scen = dr.pick("_us", dict(weights), pinned)
     tri = {n: [F.lit(float(x)) for x in t] for n, t in headroom.items()}
     part = lambda i: F.coalesce(*[F.when(c("scenario") == n, t[i]) for n, t in tri.items()])
-    d = draws.withColumn("scenario", scen)
-    d = d.withColumns({"h": dr.triangular(k("headroom"), part(0), part(1), part(2)),
-                       "tau": dr.triangular(k("tau"), *[F.lit(x) for x in lit.MOTOR_TAU_Y])})
+    d = draws.withColumns({"_us": k("scenario"), "_uh": k("headroom"), "_ut": k("tau")}).withColumn("scenario", scen)
+    d = d.withColumns({"_a": part(0), "_b": part(1), "_c": part(2)})
+    d = d.withColumns({"h": dr.triangular("_uh", "_a", "_b", "_c"), "tau": dr.triangular("_ut", *[F.lit(x) for x in lit.MOTOR_TAU_Y])})
     d = d.withColumn("year", F.explode(F.array(*[F.lit(y) for y in years])))
     d = d.withColumn("_g", dr.saturating_growth("h", "tau", "year", base_year))
     q = F.explode(F.array(F.struct(F.lit("count").alias("quantity"), (c("count") * c("_g")).alias("value")),
@@ -156,72 +156,71 @@ def build_stream_elements(mass: DataFrame, mix: DataFrame, by: Sequence[str], st
     return gw.join_on(m, p, key).withColumn("stream", F.lit(stream))
 
 
-def wiring_rows(vehicles: DataFrame, states: DataFrame, cats: DataFrame, sensor_len: DataFrame, volt: DataFrame, uplift: Mapping[str, float],
+def wiring_rows(fleet: DataFrame, cats: DataFrame, volt: DataFrame, uplift: Mapping[str, float],
                 calibration: Mapping[str, float], base_year: int, seed: int = 42) -> DataFrame:
     """Length and copper of every vehicle, category and year.
 
-    states: segment, vehicle, year, state and the shares of the three states;
-    cats: category, grp, base_m, sdv, g_lo, g_hi; sensor_len: segment, vehicle,
-    year, length_m; volt: segment, year, share, base (the share at the base year).
-    Categories of the sensor group follow the sensor length, anchored by the
-    ensemble mean and split by base length; all others follow the architecture
-    state, anchored by the state shares of the base year.
+    fleet: segment, vehicle, year, state, shares of the three states, length_m
+    (sensor wiring); cats: category, ix, grp, base_m, sdv, g_lo, g_hi; volt:
+    segment, year, share, base (the share at the base year).
+
+    Sensor categories follow the sensor length, anchored by the ensemble mean
+    and split by base length; all others follow the architecture state, anchored
+    by the state shares of the base year. A vehicle is hashed once, a category is
+    the draw id of its streams. After the segment means, every step is row
+    arithmetic on the vehicle's own rows: no shuffle.
     """
     c, k = F.col, dr.keyed_uniform
     pick = lambda m: F.coalesce(*[F.when(c("segment") == s, F.lit(float(v))) for s, v in m.items()])
     adas = c("grp") == "ADAS / Sensor"
-    base_shares = states.filter(c("year") == base_year).groupBy("segment").agg(*[F.avg(s).alias(f"b_{s}") for s in lit.ARCH_STATES])
-
-    # per vehicle and year: state, sensor metres, effect of the voltage
-    depth = dr.triangular(k(seed, "depth", "vehicle"), F.lit(0.4), F.lit(0.7), F.lit(1.0))
-    y = states.select("segment", "vehicle", "year", "state").join(
-        sensor_len.select("segment", "vehicle", "year", "length_m"), ["segment", "vehicle", "year"])
-    y = gw.with_group(y, ["segment"], {"_lm": F.avg(F.when(c("year") == base_year, c("length_m")))})
-    y = y.join(checked_broadcast(volt), ["segment", "year"]).withColumn("hv", F.lit(1.0))
-    y = sp.apply_reduction(y, "hv", c("share"), c("base"), lit.HV_CU_REDUCTION, ["vehicle"], seed)
-    y = y.withColumn("sensor_scale", c("length_m") / F.greatest(c("_lm"), F.lit(1e-9)))
-    y = y.select("segment", "vehicle", "year", "state", "hv", "sensor_scale")
-
-    # per vehicle and category: everything that is held over the years
-    v = vehicles.select("segment", "vehicle").join(checked_broadcast(base_shares), "segment").withColumn("depth", depth)
-    v = v.crossJoin(checked_broadcast(cats))                        # the categories of one harness
+    at_base = lambda x: F.avg(F.when(c("year") == base_year, c(x)))
+    means = {"_lm": at_base("length_m"), **{f"b_{s}": at_base(s) for s in lit.ARCH_STATES}}
+    t = gw.with_group(fleet.select("segment", "vehicle", "year", "state", "length_m", *lit.ARCH_STATES), ["segment"], means).drop(*lit.ARCH_STATES)
+    t = t.join(checked_broadcast(volt), ["segment", "year"]).withColumn("hv", F.lit(1.0))
+    t = sp.apply_reduction(t, "hv", c("share"), c("base"), lit.HV_CU_REDUCTION, ["vehicle"], seed).drop("share", "base")
+    t = t.withColumn("_ud", k(seed, "depth", "vehicle"))
+    t = t.withColumns({"depth": dr.triangular("_ud", F.lit(0.4), F.lit(0.7), F.lit(1.0)),
+                       "shared": dr.normal(k(seed, "veh1", "vehicle"), k(seed, "veh2", "vehicle"), 1.0, lit.CV_VEHICLE)})
+    t = dr.with_streams(t, seed, ["vehicle"], ["cat1", "cat2", "gauge"])
+    t = t.crossJoin(checked_broadcast(cats))                        # the categories of one harness
+    t = dr.draw_uniforms(t, {"_c1": ("u_cat1", "ix"), "_c2": ("u_cat2", "ix"), "_ug": ("u_gauge", "ix")})
+
     conv = F.when(adas, F.lit(1.0)).otherwise(pick(uplift))
     deep = F.when(c("sdv") < 1.0, F.greatest(F.lit(0.0), F.lit(1.0) - (F.lit(1.0) - c("sdv")) * c("depth"))).otherwise(c("sdv"))
-    v = v.withColumns({"l0": conv, "l1": F.lit(1.0), "l2": deep})
-    shares = {f"b_{s}": f"l{i}" for i, s in enumerate(lit.ARCH_STATES)}
-    for lv in ("l0", "l1", "l2"):
-        v = v.withColumn(f"a_{lv}", c(lv))
-        v = cv.anchor_to_base(v, f"a_{lv}", base_year, "expected", shares=shares)
-    gauge = dr.triangular(k(seed, "gauge", "vehicle", "category"), c("g_lo"), (c("g_lo") + c("g_hi")) / 2.0, F.greatest(c("g_hi"), c("g_lo") + 1e-9))
-    v = v.withColumns({"metres": c("base_m") * pick(calibration) * sp.variability(["vehicle"], ["category"], seed),
-                       "rate": gauge * F.lit(tx.COPPER_DENSITY_G_PER_CM3)})
-    v = v.select("segment", "vehicle", "category", "grp", "metres", "rate", "a_l0", "a_l1", "a_l2")
-
-    # both sides are hashed on the vehicle; their product is never moved
-    t = v.join(y, ["segment", "vehicle"])
-    factor = F.when(adas, c("sensor_scale")).otherwise(F.element_at(F.array("a_l0", "a_l1", "a_l2"), c("state") + 1))
-    t = t.withColumn("length", F.greatest(c("metres") * factor, F.lit(0.0)))
-    hv = F.when(c("grp") == "HV Power", c("hv")).otherwise(F.lit(1.0))
-    return t.select("segment", "vehicle", "year", "category", "grp", "length", (c("length") * c("rate") * hv / 1000.0).alias("copper"))
+    t = t.withColumns({"l0": conv, "l1": F.lit(1.0), "l2": deep})
+    t = t.withColumn("fac", F.element_at(F.array("l0", "l1", "l2"), c("state") + 1))
+    t = cv.anchor_to_base(t, "fac", base_year, "expected", shares={f"b_{s}": f"l{i}" for i, s in enumerate(lit.ARCH_STATES)})
+    cv_ind = (lit.CV_CATEGORY ** 2 - lit.CV_VEHICLE ** 2) ** 0.5
+    own = dr.normal("_c1", "_c2", 1.0, cv_ind)
+    metres = c("base_m") * pick(calibration) * F.greatest(c("shared") * own, F.lit(lit.VARIABILITY_FLOOR))
+    factor = F.when(adas, c("length_m") / F.greatest(c("_lm"), F.lit(1e-9))).otherwise(c("fac"))
+    t = t.withColumn("length", F.greatest(metres * factor, F.lit(0.0)))
+    gauge = dr.triangular("_ug", c("g_lo"), (c("g_lo") + c("g_hi")) / 2.0, F.greatest(c("g_hi"), c("g_lo") + 1e-9))
+    rate = gauge * F.lit(tx.COPPER_DENSITY_G_PER_CM3) * F.when(c("grp") == "HV Power", c("hv")).otherwise(F.lit(1.0))
+    return t.select("segment", "vehicle", "year", "category", "grp", "length", (c("length") * rate / 1000.0).alias("copper"))
 
 
 def build_wiring(rows: DataFrame, derived: Mapping[str, str], seed: int = 42) -> DataFrame:
     """Wiring statistics by category, group and total, for base and derived segments.
 
-    All three levels come from one pass of grouping sets over the vehicle rows.
+    Category rows are series values as they stand. Groups and totals are summed
+    per vehicle first (the categories of a vehicle come from one task, so most
+    of that happens before the shuffle), and the derived segments, a factor per
+    vehicle, are applied to the sums.
     """
     c = F.col
-    rows = sp.derive_segments(rows, derived, ["length", "copper"], ["vehicle"], seed=seed)
     key = ["segment", "vehicle", "year"]
-    sets = [[c(x) for x in (*key, "grp", "category")], [c(x) for x in (*key, "grp")], [c(x) for x in key]]
-    t = rows.groupingSets(sets, *[c(x) for x in (*key, "grp", "category")]).agg(F.sum("length").alias("length"), F.sum("copper").alias("copper"))
-    t = t.select(*key, F.when(c("category").isNotNull(), "Category").when(c("grp").isNotNull(), "Group").otherwise("Total").alias("level"),
-                 F.coalesce("category", "grp", F.lit("TOTAL")).alias("code"), F.coalesce("grp", F.lit("TOTAL")).alias("functional_group"),
-                 F.explode(F.array(F.struct(F.lit("Length (m)").alias("metric"), c("length").alias("value")),
-                                   F.struct(F.lit("Cu (kg)").alias("metric"), c("copper").alias("value")))).alias("m"))
-    t = t.select(*key, "level", "code", "functional_group", "m.*")
-    by = ["level", "segment", "code", "functional_group", "metric", "year"]
-    return _year_stats(t, by, "value", n="n_iter")
+    grp = rows.groupBy(*key, "grp").agg(F.sum("length").alias("length"), F.sum("copper").alias("copper"))
+    sets = [[c(x) for x in (*key, "grp")], [c(x) for x in key]]
+    tot = grp.groupingSets(sets, *[c(x) for x in (*key, "grp")]).agg(F.sum("length").alias("length"), F.sum("copper").alias("copper"))
+    name = F.coalesce("grp", F.lit("TOTAL"))
+    tot = tot.select(*key, F.when(c("grp").isNull(), "Total").otherwise("Group").alias("level"), name.alias("code"), name.alias("functional_group"), "length", "copper")
+    cat = rows.select(*key, F.lit("Category").alias("level"), c("category").alias("code"), c("grp").alias("functional_group"), "length", "copper")
+    t = sp.derive_segments(cat.unionByName(tot), derived, ["length", "copper"], ["vehicle"], seed=seed)
+    m = F.explode(F.array(F.struct(F.lit("Length (m)").alias("metric"), c("length").alias("value")),
+                          F.struct(F.lit("Cu (kg)").alias("metric"), c("copper").alias("value")))).alias("m")
+    t = t.select(*key, "level", "code", "functional_group", m).select(*key, "level", "code", "functional_group", "m.*")
+    return _year_stats(t, ["level", "segment", "code", "functional_group", "metric", "year"], "value", n="n_iter")
 
 
 COMPOSITION = ["Year", "Segment", "Domain", "Component_Type", "Element", "Mass_g_per_vehicle", "P2_5_g", "P97_5_g", "Basis",

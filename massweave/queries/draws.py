@@ -55,7 +55,7 @@ def f02(spark, sf):
 
 @query("f03_triangular", "WITH " + drawn_sql("u") + ", v AS (SELECT segment, domain, " + sql_tri(sql_at("h_u"), "lo", "mode", "hi") + " AS x FROM d) " + moments_sql("segment, domain", "x", "v"))
 def f03(spark, sf):
-    return moments(drawn(ranges(spark, sf), ["u"]).withColumn("x", dr.triangular(dr.at("u_u"), "lo", "mode", "hi")), ["segment", "domain"], "x")
+    return moments(dr.draw_uniforms(drawn(ranges(spark, sf), ["u"]), {"_u": ("u_u", "draw")}).withColumn("x", dr.triangular("_u", "lo", "mode", "hi")), ["segment", "domain"], "x")
 
 
 @query("f04_normal", "WITH " + drawn_sql("a", "b") + ", v AS (SELECT segment, domain, greatest(" + sql_norm(sql_at("h_a"), sql_at("h_b"), "1.0::DOUBLE", "0.3::DOUBLE") + ", 0.05::DOUBLE) AS x FROM d) " + moments_sql("segment, domain", "x", "v"))
@@ -105,19 +105,31 @@ LIDAR_SQL = qc.CURVE_SQL + f""", lid AS (SELECT segment, year, greatest(share -
  lidar AS (SELECT segment, vehicle, year, e, CASE WHEN w < 0.3333333333333333::DOUBLE THEN b_lo WHEN w < 0.6666666666666666::DOUBLE THEN b_mode ELSE b_hi END AS share FROM lraw)"""
 
 
-def lidar(spark, sf):
-    """Equipped or not per vehicle and year: one band and one lag per vehicle."""
+def lidar_bands(spark, sf):
     c = cv.monotone_curve(anchors(spark, sf), ["segment", "state"], "year", "share", Y0, Y1).filter("state = 'H4'")
     x = F.col("share")
     bands = c.select("segment", "year", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), e.alias("v")) for b, e in zip(
         BANDS, (F.greatest(x - 0.1, F.lit(0.0)), x, F.least(x + 0.2, F.lit(1.0))))])).alias("s")).select("segment", "year", "s.*")
-    wide = cv.wide_curve(bands, ["segment"], "band", "v", BANDS)
+    return cv.wide_curve(bands, ["segment"], "band", "v", BANDS)
+
+
+def with_lidar(d, spark, sf):
+    """Equipped share per vehicle and year: one band and one lag per vehicle."""
+    out = cv.shift_curve(d, lidar_bands(spark, sf), ["segment"], "lag", (Y0, Y1), BANDS, normal=False)
+    return out.withColumn("lidar_share", dr.band_pick("w", *BANDS)).drop(*BANDS, "w", "lag")
+
+
+def lidar_vehicles(spark, sf):
     k = lambda v: dr.keyed_uniform(42, v, "vehicle")
-    veh = qc.vehicles(spark, sf).select("segment", "vehicle").withColumns(
-        {"w": k("band"), "e": k("equipped"), "lag": dr.normal(k("lag1"), k("lag2"), 0.0, 3.0)})
-    d = veh.withColumn("year", F.explode(F.sequence(F.lit(Y0), F.lit(Y1))))
-    out = cv.shift_curve(d, wide, ["segment"], "lag", (Y0, Y1), BANDS, normal=False)
-    return out.select("segment", "vehicle", "year", "e", dr.band_pick("w", *BANDS).alias("share"))
+    return qc.vehicles(spark, sf).withColumns({"w": k("band"), "e": k("equipped"), "lag": dr.normal(k("lag1"), k("lag2"), 0.0, 3.0)})
+
+
+def over_years(d):
+    return d.withColumn("year", F.explode(F.sequence(F.lit(Y0), F.lit(Y1))))
+
+
+def lidar(spark, sf):
+    return with_lidar(over_years(lidar_vehicles(spark, sf)), spark, sf).select("segment", "vehicle", "year", "e", F.col("lidar_share").alias("share"))
 
 
 @query("f08_band_pick", "WITH " + LIDAR_SQL + " SELECT segment, year, round(avg(share), 9) AS share, CAST(sum(CASE WHEN e < share THEN 1 ELSE 0 END) AS BIGINT) AS equipped FROM lidar GROUP BY ALL")
@@ -247,14 +259,28 @@ def arch_shares(spark, sf):
     return cv.share_curves(a, ["segment"], "state", "year", "share", Y0, Y1)
 
 
-def arch(spark, sf):
-    """Architecture state of every vehicle and year, with its shifted shares."""
+def with_arch(d, spark, sf):
     wide = cv.wide_curve(arch_shares(spark, sf), ["segment"], "state", "share", lit.ARCH_STATES)
-    d = qc.vehicles(spark, sf).withColumn("year", F.explode(F.sequence(F.lit(Y0), F.lit(Y1))))
-    s = cv.shift_curve(d, wide, ["segment"], "delta", (Y0, Y1), lit.ARCH_STATES).drop("delta")
+    s = cv.shift_curve(d, wide, ["segment"], "delta", (Y0, Y1), lit.ARCH_STATES)
     return s.withColumn("state", dr.comonotonic_state("u", lit.ARCH_STATES).cast("int"))
 
 
+def arch(spark, sf):
+    """Architecture state of every vehicle and year, with its shifted shares."""
+    return with_arch(over_years(qc.vehicles(spark, sf)), spark, sf).drop("delta")
+
+
+def fleet(spark, sf):
+    """Tier, architecture state and lidar of every vehicle and year, on the same rows: no join between vehicles."""
+    v = sp.sensor_streams(lidar_vehicles(spark, sf))
+    wide = cv.wide_curve(qc.shares(spark, sf), ["segment"], "state", "share", STATES)
+    d = cv.shift_curve(over_years(v), wide, ["segment"], "delta", (Y0, Y1), STATES)
+    d = d.withColumn("tier", dr.comonotonic_state("u", STATES).cast("int")).drop(*STATES)
+    d = with_lidar(with_arch(d, spark, sf), spark, sf)
+    return d.withColumns({"equipped": F.when(dr.bernoulli("e", "lidar_share"), 1.0).otherwise(0.0),
+                          "mult": 1 + (F.col("year") - Y0) * F.lit(0.01), "arch_mult": F.lit(0.9)}).drop("e", "u", "delta", "lidar_share")
+
+
 # wire categories: one per part brand, with a base length and a depth factor
 CATS_SQL = """cats AS (SELECT p_brand AS category, CASE WHEN CAST(substr(p_brand, 7) AS INTEGER) <= 4 THEN 'ADAS / Sensor' WHEN CAST(substr(p_brand, 7) AS INTEGER) <= 8 THEN 'HV Power'
    WHEN CAST(substr(p_brand, 7) AS INTEGER) <= 16 THEN 'LV Power' ELSE 'Signal / Comm' END AS grp, avg(p_retailprice) / 50 AS base_m, 0.5 + avg(p_size) / 50 AS sdv, CAST(min(p_size) AS DOUBLE) / 10 AS g_lo, CAST(max(p_size) AS DOUBLE) / 10 AS g_hi FROM part GROUP BY ALL)"""
@@ -270,15 +296,15 @@ def categories(spark, sf):
 
 
 @query("f14_state_factor", "WITH " + ARCH_SQL + ", " + CATS_SQL + f"""
-SELECT segment, year, category, round(avg(CASE state WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE CASE WHEN sdv < 1 THEN greatest(0, 1 - (1 - sdv) * {sql_tri(sql_keyed(42, 'depth', 'vehicle'), '0.4::DOUBLE', '0.7::DOUBLE', '1.0::DOUBLE')}) ELSE sdv END END), 8) AS factor
+SELECT segment, year, category, round(avg(CASE state WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE CASE WHEN sdv < 1 THEN greatest(0, 1 - (1 - sdv) * {sql_tri(sql_keyed(42, 'depth', 'vehicle'), '0.4::DOUBLE', '0.7::DOUBLE', '1.0::DOUBLE')}) ELSE sdv END END), 6) AS factor
 FROM arch, cats GROUP BY ALL""")
 def f14(spark, sf):
-    depth = dr.triangular(dr.keyed_uniform(42, "depth", "vehicle"), F.lit(0.4), F.lit(0.7), F.lit(1.0))
-    a = arch(spark, sf).select("segment", "vehicle", "year", "state", depth.alias("depth"))
+    depth = dr.triangular("_ud", F.lit(0.4), F.lit(0.7), F.lit(1.0))
+    a = arch(spark, sf).withColumn("_ud", dr.keyed_uniform(42, "depth", "vehicle")).select("segment", "vehicle", "year", "state", depth.alias("depth"))
     cats = categories(spark, sf).select("category", "sdv")
     j = a.crossJoin(F.broadcast(cats))            # the categories of one harness: 25 brands
     f = sp.state_factor("state", F.lit(1.5), F.lit(1.0), "sdv", "depth")
-    return j.groupBy("segment", "year", "category").agg(r(F.avg(f), 8).alias("factor"))
+    return j.groupBy("segment", "year", "category").agg(r(F.avg(f), 6).alias("factor"))
 
 
 CV_IND = (lit.CV_CATEGORY ** 2 - lit.CV_VEHICLE ** 2) ** 0.5
@@ -308,21 +334,19 @@ SENSOR_LEN_SQL = TIERED_SQL + ", " + LIDAR_SQL.split("anchors AS", 1)[0] + LIDAR
 
 
 def metres(spark, sf):
-    return table(spark, sf, "lineitem").groupBy(segment_col().alias("segment"), F.expr(
-        "CASE l_linenumber % 4 WHEN 0 THEN 'camera' WHEN 1 THEN 'radar' WHEN 2 THEN 'ultrasonic' ELSE 'lidar' END").alias("sensor")).agg(
-        F.min("l_quantity").alias("m_lo"), F.avg("l_quantity").alias("m_mode"), F.max("l_quantity").alias("m_hi"))
+    kind = F.expr("CASE l_linenumber % 4 WHEN 0 THEN 'camera' WHEN 1 THEN 'radar' WHEN 2 THEN 'ultrasonic' ELSE 'lidar' END")
+    q = lambda s: F.when(kind == s, F.col("l_quantity"))
+    return table(spark, sf, "lineitem").groupBy(segment_col().alias("segment")).agg(*[e for s in lit.TIER_COUNT_TYPES for e in (
+        F.min(q(s)).alias(f"m_{s}_lo"), F.avg(q(s)).alias(f"m_{s}_mode"), F.max(q(s)).alias(f"m_{s}_hi"))])
 
 
-def sensor_lengths(spark, sf, arch_mult=None):
-    eq = lidar(spark, sf).select("vehicle", "year", F.when(dr.bernoulli("e", "share"), 1.0).otherwise(0.0).alias("equipped"))
-    st = tiered(spark, sf).join(eq, ["vehicle", "year"]).withColumn("mult", 1 + (F.col("year") - Y0) * F.lit(0.01))
-    st = st.withColumn("arch_mult", F.lit(0.9)) if arch_mult is None else st.join(arch_mult, ["vehicle", "year"])
-    return sp.sensor_length(st, sp.tier_counts(spark), metres(spark, sf))
+def sensor_lengths(spark, sf):
+    return sp.sensor_length(fleet(spark, sf), sp.tier_counts(spark), metres(spark, sf))
 
 
 @query("f16_sensor_length", "WITH " + SENSOR_LEN_SQL + " SELECT segment, vehicle, year, round(length_m, 5) + 0.0 AS length_m FROM slen")
 def f16(spark, sf):
-    return sensor_lengths(spark, sf).withColumn("length_m", r("length_m", 5))
+    return sensor_lengths(spark, sf).select("segment", "vehicle", "year", r("length_m", 5).alias("length_m"))
 
 
 @query("f17_derive_segments", "WITH x AS (SELECT " + SEG_SQL + """ AS segment, l_orderkey, sum(l_quantity) AS length FROM lineitem GROUP BY ALL)
@@ -357,7 +381,8 @@ def calibrated(spark, sf):
     at97 = lambda c, n: F.max(F.when(F.col("year") == 1997, F.col(c))).alias(n)
     base = a.groupBy("vehicle").agg(*[at97(s, f"b{i}") for i, s in enumerate(lit.ARCH_STATES)])
     j = a.select("segment", "vehicle", "year", "state").join(base, "vehicle").crossJoin(F.broadcast(o))   # 8 components
-    od = dr.triangular(dr.keyed_uniform(42, "label", "vehicle", "comp"), "o_lo", "o", "o_hi")
+    j = j.withColumn("_ul", dr.keyed_uniform(42, "label", "vehicle", "comp"))
+    od = dr.triangular("_ul", "o_lo", "o", "o_hi")
     c = F.col
     p = sp.calibrated_presence(c("state"), [c("t0"), c("t1"), c("t2")], [c("b0"), c("b1"), c("b2")], c("o"), od)
     return j.select("segment", "vehicle", "year", "comp", p.alias("presence"))
@@ -512,7 +537,7 @@ def element_masses(spark, sf, n=4000):
     area = sp.resample(h, ["segment"], n).withColumnRenamed("value", "area")
     conc = h.select("segment").distinct().crossJoin(F.broadcast(concentrations(spark, sf)))        # series x elements
     conc = checked_broadcast(dr.with_streams(conc, 42, ["segment", "element"], ["conc"]))
-    j = area.join(conc, "segment").withColumn("conc", dr.triangular(dr.at("u_conc"), "lo", "mode", "hi"))
+    j = dr.draw_uniforms(area.join(conc, "segment"), {"_uc": ("u_conc", "draw")}).withColumn("conc", dr.triangular("_uc", "lo", "mode", "hi"))
     return j.select("segment", "draw", "element", "area", "conc", sp.element_mass("conc", "area").alias("mass_g"))
 
 

@@ -15,9 +15,10 @@ from massweave.queries import curves as qc
 from massweave.queries import draws as qd
 from massweave.queries import stats as qs
 from massweave.queries._base import (COMPONENTS_SQL, RANGES_SQL, SEG_SQL, components, query, r, ranges, segment_col, sql_at,
-                                     sql_keyed, sql_md5, sql_tri, sql_uni, table)
+                                     sql_keyed, sql_md5, sql_norm, sql_tri, sql_uni, table)
 from massweave.queries.cleaning import classify_sql
 from massweave.queries.reshape import FACTORS_SQL, SIZES
+from massweave.scale import stored
 
 
 @query("k01_classified_components", "WITH " + FACTORS_SQL + ", t AS (SELECT *, lower(trim(domain)) AS d, lower(trim(component)) AS c, lower(trim(domain)) || ' ' || lower(trim(component)) AS b FROM factors) SELECT comp_id, domain, component, label_ab, label_cd, label_ef, "
@@ -60,7 +61,7 @@ def sensor_params(spark, sf):
 
 def sensor_counts(spark, sf):
     volt = qc.shares(spark, sf).filter("state = 'H3'").select("segment", "year", "share")
-    return tb.build_sensor_counts(sensor_params(spark, sf), qc.composed(spark, sf), volt, N3, (qc.Y0, qc.Y1), "PROMO", "Brand#3", (1.8, 1.9, 2.0), PILOT3)
+    return tb.build_sensor_counts(stored(sensor_params(spark, sf), "sensors"), stored(qc.composed(spark, sf), "presence"), stored(volt, "volt"), N3, (qc.Y0, qc.Y1), "PROMO", "Brand#3", (1.8, 1.9, 2.0), PILOT3)
 
 
 # binned values may move by one bin where a sum lands on an edge: compare what is exact
@@ -206,10 +207,11 @@ K09_SQL = _slen + ", " + _arch + ", " + qd.CATS_SQL + f""",
  vy AS (SELECT a.segment, a.vehicle, a.year, a.state, s.length_m / greatest(lm.lm, 1e-9::DOUBLE) AS sscale,
    (1 - CASE WHEN {_V('volt', 'a.vehicle')} < h3.share THEN {sql_tri(_V('red', 'a.vehicle'), '0.40::DOUBLE', '0.425::DOUBLE', '0.45::DOUBLE')} ELSE 0 END) / greatest(1 - CASE WHEN {_V('volt', 'a.vehicle')} < h3.base THEN {sql_tri(_V('red', 'a.vehicle'), '0.40::DOUBLE', '0.425::DOUBLE', '0.45::DOUBLE')} ELSE 0 END, 1e-12::DOUBLE) AS hv
    FROM arch a JOIN slen s ON s.vehicle = a.vehicle AND s.year = a.year JOIN lm ON lm.segment = a.segment JOIN h3 ON h3.segment = a.segment AND h3.year = a.year),
- vc0 AS (SELECT v.segment, vehicle, category, grp, base_m, sdv, g_lo, g_hi, b0, b1, b2, {sql_tri(_V('depth', 'vehicle'), '0.4::DOUBLE', '0.7::DOUBLE', '1.0::DOUBLE')} AS depth FROM vehicles v JOIN bs ON bs.segment = v.segment, cats),
+ vc0 AS (SELECT v.segment, vehicle, category, grp, base_m, sdv, g_lo, g_hi, b0, b1, b2, {sql_tri(_V('depth', 'vehicle'), '0.4::DOUBLE', '0.7::DOUBLE', '1.0::DOUBLE')} AS depth,
+   CAST(substr(category, 7) AS INTEGER) AS ix, {sql_md5(42, 'cat1', 'vehicle')} AS h1, {sql_md5(42, 'cat2', 'vehicle')} AS h2, {sql_md5(42, 'gauge', 'vehicle')} AS hg FROM vehicles v JOIN bs ON bs.segment = v.segment, cats),
  vc1 AS (SELECT *, CASE WHEN grp = 'ADAS / Sensor' THEN 1.0::DOUBLE ELSE {_seg(UPLIFT)} END AS l0, 1.0::DOUBLE AS l1, CASE WHEN sdv < 1 THEN greatest(0, 1 - (1 - sdv) * depth) ELSE sdv END AS l2 FROM vc0),
- vc AS (SELECT segment, vehicle, category, grp, l0 / e AS a0, l1 / e AS a1, l2 / e AS a2, base_m * {_seg(CALIBRATION)} * {qd.var_sql('vehicle', 'category')} AS metres,
-   {sql_tri(_V('gauge', 'vehicle', 'category'), 'g_lo', '((g_lo + g_hi) / 2)', 'greatest(g_hi, g_lo + 1e-9::DOUBLE)')} * 8.96::DOUBLE AS rate FROM (SELECT *, greatest(b0 * l0 + b1 * l1 + b2 * l2, 1e-12::DOUBLE) AS e FROM vc1)),
+ vc AS (SELECT segment, vehicle, category, grp, l0 / e AS a0, l1 / e AS a1, l2 / e AS a2, base_m * {_seg(CALIBRATION)} * greatest({sql_norm(_V('veh1', 'vehicle'), _V('veh2', 'vehicle'), '1.0::DOUBLE', '0.1::DOUBLE')} * {sql_norm(sql_at('h1', 'ix'), sql_at('h2', 'ix'), '1.0::DOUBLE', f'{qd.CV_IND!r}::DOUBLE')}, 0.05::DOUBLE) AS metres,
+   {sql_tri(sql_at('hg', 'ix'), 'g_lo', '((g_lo + g_hi) / 2)', 'greatest(g_hi, g_lo + 1e-9::DOUBLE)')} * 8.96::DOUBLE AS rate FROM (SELECT *, greatest(b0 * l0 + b1 * l1 + b2 * l2, 1e-12::DOUBLE) AS e FROM vc1)),
  wl AS (SELECT y.segment, y.vehicle, y.year, category, grp, greatest(metres * CASE WHEN grp = 'ADAS / Sensor' THEN sscale ELSE CASE state WHEN 0 THEN a0 WHEN 1 THEN a1 ELSE a2 END END, 0) AS length, rate * CASE WHEN grp = 'HV Power' THEN hv ELSE 1 END / 1000 AS cu
    FROM vc JOIN vy y ON y.segment = vc.segment AND y.vehicle = vc.vehicle),
  w0 AS (SELECT segment, vehicle, year, category, grp, length, length * cu AS copper FROM wl),
@@ -223,8 +225,8 @@ K09_SQL = _slen + ", " + _arch + ", " + qd.CATS_SQL + f""",
 
 def wiring_rows(spark, sf):
     volt = gw.at_base(qc.shares(spark, sf).filter("state = 'H3'").drop("state"), ["segment"], "year", "share", 1997)
-    vehicles = qc.vehicles(spark, sf).select("segment", "vehicle")
-    return tb.wiring_rows(vehicles, qd.arch(spark, sf), qd.categories(spark, sf), qd.sensor_lengths(spark, sf), volt, UPLIFT, CALIBRATION, 1997)
+    cats = qd.categories(spark, sf).withColumn("ix", F.substring("category", 7, 10).cast("int"))
+    return tb.wiring_rows(stored(qd.sensor_lengths(spark, sf), "fleet"), stored(cats, "cats"), stored(volt, "volt"), UPLIFT, CALIBRATION, 1997)
 
 
 @query("k09_wiring", "WITH " + K09_SQL + " SELECT segment, year, level, code, functional_group, metric, count(*) AS n_iter, round(avg(v), 6) AS mean FROM wm GROUP BY ALL")

@@ -52,3 +52,14 @@ def spread(df: DataFrame, below_bytes: int = 256 << 20) -> DataFrame:
         return df
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1))
 
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate to the shared folder and go on from the file.
+
+    For a table that several passes read: it is computed once, a lost executor
+    does not undo it, and the plans after it start from a scan.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
