@@ -5,12 +5,10 @@ from pyspark.sql import functions as F
 from massweave.functions import text as tx
 from massweave.operators import checks as ck
 from massweave.operators import curves as cv
-from massweave.operators import groupwise as gw
 from massweave.operators import histogram as hg
 from massweave.operators import reshape as rs
 from massweave.operators import stats as st
 from massweave.queries import curves as qc
-from massweave.queries import draws as qd
 from massweave.queries import stats as qs
 from massweave.queries import tables as qt
 from massweave.queries._base import COMPONENTS_SQL, RANGES_SQL, anchors, components, query, r, ranges, table

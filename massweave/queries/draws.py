@@ -11,7 +11,7 @@ from massweave.operators import sampling as sp
 from massweave.operators.joins import expand_draws
 from massweave.plans import literals as lit
 from massweave.queries import curves as qc
-from massweave.queries._base import (ANCHORS_SQL, COMPONENTS_SQL, RANGES_SQL, SEG_SQL, STATES, anchors, components, query,
+from massweave.queries._base import (COMPONENTS_SQL, RANGES_SQL, SEG_SQL, STATES, anchors, components, query,
                                      r, ranges, segment_col, sql_at, sql_keyed, sql_md5, sql_norm, sql_tri, sql_uni, table)
 from massweave.scale import checked_broadcast, spread
 

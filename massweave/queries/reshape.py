@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from massweave.functions import text as tx
 from massweave.operators import reshape as rs
-from massweave.queries._base import COMPONENTS_SQL, RANGES_SQL, SEG_SQL, components, query, r, ranges, segment_col, table
+from massweave.queries._base import COMPONENTS_SQL, SEG_SQL, components, query, r, segment_col, table
 
 FAC = "CAST(CASE %s WHEN 'Std' THEN 1.0 WHEN 'Opt' THEN 0.5 WHEN 'Rare' THEN 0.25 ELSE 0.0 END AS DOUBLE)"
 FACTORS_SQL = COMPONENTS_SQL + ", factors AS (SELECT *, " + ", ".join(

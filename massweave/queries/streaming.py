@@ -1,7 +1,5 @@
 """G35 as a stream over the events file."""
 
-from pyspark.sql import functions as F
-
 from massweave.operators import histogram as hg
 from massweave.queries._base import query, table
 from massweave.queries.stats import hist_sql

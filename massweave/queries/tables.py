@@ -2,8 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from massweave.functions import draws as dr
-from massweave.operators import curves as cv
 from massweave.operators import groupwise as gw
 from massweave.operators import joins as jn
 from massweave.operators import ranking as rk
@@ -14,7 +12,7 @@ from massweave.plans import tables as tb
 from massweave.queries import curves as qc
 from massweave.queries import draws as qd
 from massweave.queries import stats as qs
-from massweave.queries._base import (COMPONENTS_SQL, RANGES_SQL, SEG_SQL, components, query, r, ranges, segment_col, sql_at,
+from massweave.queries._base import (RANGES_SQL, components, query, r, ranges, sql_at,
                                      sql_keyed, sql_md5, sql_norm, sql_tri, sql_uni, table)
 from massweave.queries.cleaning import classify_sql
 from massweave.queries.reshape import FACTORS_SQL, SIZES
