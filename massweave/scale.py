@@ -27,12 +27,15 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> Dat
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    `spark.checkpoint.dir` is read from the session; a local folder is used
-    only where it is unset, as in tests.
+    `spark.checkpoint.dir` is read from the session. Where it is unset, a local
+    master, as in tests, gets a folder of its own; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="massweave-")
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
