@@ -55,7 +55,7 @@ def same_bucket(p: Params) -> int:
 
 
 def bags(rows: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, quality, ids, counts): a document's distinct buckets, at most `buckets` of them."""
+    """(doc_id, quality, ids, counts): a document's distinct buckets, at most `buckets` of them, as raw int32."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, counts = [], []
@@ -67,12 +67,12 @@ def bags(rows: DataFrame, p: Params) -> DataFrame:
                 bag = np.bincount(np.array([x for f in found for x in f], dtype=np.int64), weights=times, minlength=p.buckets).astype(np.int32)
                 bag[same_bucket(p)] += p.repeat * repeats(words)
                 at = np.flatnonzero(bag)
-                ids.append(at.astype(np.int32))
-                counts.append(bag[at])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
+                ids.append(at.astype(np.int32).tobytes())
+                counts.append(bag[at].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())],
                                              names=["doc_id", "quality", "ids", "counts"])
 
-    return rows.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, ids array<int>, counts array<int>")
+    return rows.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, ids binary, counts binary")
 
 
 def held_out(doc_id) -> F.Column:
@@ -95,11 +95,12 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params) -> np.ndarray:
     Stochastic gradient descent in numpy, one document a step, on the bounded
     sample's bags. Without both labels nothing is learned and all evidence is 0.
     """
-    rows = sorted(stored(bags(training_rows(docs, labels, p), p), "bags").collect(), key=lambda r: r.doc_id)
+    rows = stored(bags(training_rows(docs, labels, p), p), "bags").collect()
+    rows.sort(key=lambda r: r.doc_id)
     y = np.array([r.quality for r in rows], dtype=np.int64).clip(0, 1)
     if len(set(y.tolist())) < 2:
         return np.zeros(p.buckets)
-    xs = [(np.array(r.ids, dtype=np.int64), np.array(r.counts, dtype=np.float64)) for r in rows]
+    xs = [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.counts, np.int32)) for r in rows]
     rng = np.random.default_rng(p.seed)
     emb = rng.uniform(-1 / p.dim, 1 / p.dim, (p.buckets, p.dim))
     out = np.zeros((p.dim, 2))
