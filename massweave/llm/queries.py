@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massweave.llm import pii, quality, simhash
+from massweave.llm import mixing, pii, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = pii.find(table(spark, sf_dir, "documents"))
     return r.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
                     F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
+@query
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix of all sources takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op3_mix"] = mixing.SQL
