@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massweave.llm import mixing, pieces, pii, quality, simhash
+from massweave.llm import licenses, mixing, pieces, pii, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,12 @@ ORACLES["op3_mix"] = mixing.SQL
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document: their number, a check sum of their ids, and whether decoding gives the text back."""
     return pieces.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and passages in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_licenses"] = licenses.SQL
