@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massweave.llm import licenses, mixing, pieces, pii, quality, simhash
+from massweave.llm import licenses, mixing, pieces, pii, quality, simhash, tokenstore
+from massweave.scale import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +67,11 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_licenses"] = licenses.SQL
+
+
+@query
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and check sum of every document's ids, read back from the store."""
+    docs, path = table(spark, sf_dir, "documents"), scratch_path(spark, "tokens")
+    tokenstore.write(docs, path)
+    return tokenstore.read(spark, path, docs)
