@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massweave.llm import licenses, mixing, pieces, pii, quality, simhash, tokenstore
+from massweave.llm import licenses, mixing, pieces, pii, quality, simhash, tokenstore, vectors
 from massweave.scale import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,18 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), scratch_path(spark, "tokens")
     tokenstore.write(docs, path)
     return tokenstore.read(spark, path, docs)
+
+
+@query
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest embeddings of every twentieth, by inner product."""
+    return vectors.search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op1_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest sign codes of the embeddings of every hundredth, exactly."""
+    return vectors.hamming_search(vectors.codes(table(spark, sf_dir, "embeddings")))
+
+
+ORACLES["op1_hamming"] = vectors.HAMMING_SQL
