@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massweave.llm import licenses, mixing, pieces, pii, quality, simhash, tokenstore, vectors
+from massweave.llm import chat, licenses, mixing, pieces, pii, quality, simhash, tokenstore, vectors
 from massweave.scale import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,12 @@ def op1_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op1_hamming"] = vectors.HAMMING_SQL
+
+
+@query
+def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preference pairs of all conversations: check sums of prompt and completions, and their masks."""
+    return chat.digest(chat.preferences(*chat.sides(table(spark, sf_dir, "conversations"))))
+
+
+ORACLES["op4_preferences"] = chat.SQL
