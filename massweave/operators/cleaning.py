@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -59,16 +60,43 @@ def unknown_labels(df: DataFrame, col: str) -> DataFrame:
             .agg(F.count("*").alias("n")))
 
 
+def matches(text, pattern: str):
+    """`text` matches `pattern` anywhere; alternatives "a" and "a.*b" of plain words by substring search.
+
+    White space is normalised before, so "." meets no line end.
+    """
+    plain, rest = [], []
+    for alt in pattern.split("|"):
+        (plain if re.fullmatch(r"[\w /-]+(\.\*[\w /-]+)*", alt) else rest).append(alt)
+    if any(set("()[]") & set(alt) for alt in rest):
+        return text.rlike(pattern)
+    hit = text.rlike("|".join(rest)) if rest else None
+    for alt in plain:
+        words = alt.split(".*")
+        at, end = F.locate(words[0], text), len(words[0])
+        for w in words[1:]:
+            at, end = F.when(at > 0, F.call_function("locate", F.lit(w), text, at + end)), len(w)
+        hit = F.coalesce(at > 0, F.lit(False)) if hit is None else hit | F.coalesce(at > 0, F.lit(False))
+    return F.coalesce(hit, F.lit(False))
+
+
 def classify(df: DataFrame, domain: str, component: str, rules: Sequence[tuple[str, str, str]],
              default: str, out: str = "category") -> DataFrame:
-    """First matching rule wins; one CASE over the row, no UDF and no join."""
+    """First matching rule wins; one CASE over the row, no UDF and no join.
+
+    Alternatives of plain words, in order along the text, are looked up with
+    contains and locate, which take time linear in the text; others stay regular
+    expressions. A rule for the default at the end is left out.
+    """
+    while rules and rules[-1][2] == default:
+        rules = rules[:-1]
     d = F.lower(F.trim(F.coalesce(F.col(domain), F.lit(""))))
     c = F.lower(F.trim(F.coalesce(F.col(component), F.lit(""))))
     t = df.withColumns({"_d": d, "_c": c}).withColumn("_b", F.concat_ws(" ", "_d", "_c"))
     text = {"domain": F.col("_d"), "component": F.col("_c"), "both": F.col("_b")}
     expr = None
     for target, pattern, label in rules:
-        hit = text[target].rlike(pattern)
+        hit = matches(text[target], pattern)
         expr = F.when(hit, label) if expr is None else expr.when(hit, label)
     return t.withColumn(out, expr.otherwise(default)).drop("_d", "_c", "_b")
 

@@ -17,10 +17,22 @@ from massweave.plans.literals import N_COARSE_BINS, N_FINE_BINS, PILOT_PAD
 from massweave.scale import checked_broadcast
 
 
+def finite(val: str) -> Column:
+    """Not NULL, NaN or infinite."""
+    v = F.col(val).cast("double")
+    return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+
+
+def not_binned(df: DataFrame, by: Sequence[str], val: str) -> DataFrame:
+    """Rows per series that a histogram leaves out: NULL, and NaN or infinite."""
+    null = F.col(val).isNull()
+    return df.groupBy(*by).agg(F.count_if(null).alias("nulls"), F.count_if(~null & ~finite(val)).alias("not_finite"))
+
+
 def pilot_range(df: DataFrame, by: Sequence[str], val: str, pilot: Column | None = None, pad: float = PILOT_PAD,
                 bins: int = N_FINE_BINS) -> DataFrame:
     """Bin range per series: min/max of the pilot rows widened by `pad` of the span."""
-    src = df if pilot is None else df.filter(pilot)
+    src = (df if pilot is None else df.filter(pilot)).filter(finite(val))
     g = src.groupBy(*by).agg(F.min(val).cast("double").alias("_mn"), F.max(val).cast("double").alias("_mx"))
     return _widen(g, by, pad, bins)
 
@@ -36,7 +48,7 @@ def _widen(g: DataFrame, by: Sequence[str], pad: float, bins: int, keep: Sequenc
 def moments_and_range(df: DataFrame, by: Sequence[str], val: str, pilot: Column | None = None, pad: float = PILOT_PAD,
                       bins: int = N_FINE_BINS) -> DataFrame:
     """Exact moments of all rows and the pilot's bin range, in one aggregation; kept, since the bin pass reads it too."""
-    v = F.col(val).cast("double")
+    v = F.when(finite(val), F.col(val).cast("double"))
     pv = v if pilot is None else F.when(pilot, v)
     g = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
                             F.min(pv).alias("_mn"), F.max(pv).alias("_mx"))
@@ -45,16 +57,19 @@ def moments_and_range(df: DataFrame, by: Sequence[str], val: str, pilot: Column
 
 def exact_range(df: DataFrame, by: Sequence[str], val: str, bins: int) -> DataFrame:
     """Bin range from min to max; a constant series gets a unit range around it."""
-    g = df.groupBy(*by).agg(F.min(val).cast("double").alias("lo"), F.max(val).cast("double").alias("hi"))
+    g = df.filter(finite(val)).groupBy(*by).agg(F.min(val).cast("double").alias("lo"), F.max(val).cast("double").alias("hi"))
     flat = F.col("lo") == F.col("hi")
     g = g.select(*by, F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
     return g.withColumn("width", (F.col("hi") - F.col("lo")) / F.lit(float(bins)))
 
 
 def hist_acc(df: DataFrame, by: Sequence[str], val: str, range_df: DataFrame, bins: int = N_FINE_BINS) -> DataFrame:
-    """Counts per series and bin. Values out of range land in the end bins and are counted there."""
+    """Counts per series and bin. Values out of range land in the end bins and are counted there.
+
+    NULL, NaN and infinite values are in no bin; `not_binned` counts them.
+    """
     rng = range_df.select(*by, "lo", "width")
-    t = join_on(df.select(*by, F.col(val).alias("_v")), checked_broadcast(rng), by, "inner")
+    t = join_on(df.filter(finite(val)).select(*by, F.col(val).alias("_v")), checked_broadcast(rng), by, "inner")
     i = F.floor((F.col("_v") - F.col("lo")) / F.col("width"))
     t = t.withColumn("_i", i)
     b = F.least(F.greatest(F.col("_i"), F.lit(0)), F.lit(bins - 1)).cast("bigint")

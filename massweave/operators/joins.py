@@ -88,33 +88,36 @@ def period_delta(df: DataFrame, by: Sequence[str], year: str, val: str, a: int,
 
 
 def expand_draws(df: DataFrame, n: int, draw: str = "draw", block: int = 8192) -> DataFrame:
-    """Rows x draws, generated inside the task that holds the row.
+    """Rows x draws; a task expands (row, block of draws) pairs.
 
-    Beyond one block of draws the (row, block) pairs are redistributed first, so
-    few rows with very many draws still use every task.
+    The pairs are dealt by a hash of the row's own values and the block, over a
+    fixed number of tasks: few rows with very many draws use every task, and a
+    retried task deals them the same way.
     """
-    if n <= block:
-        return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(draw))
-    blocks = df.select("*", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // block))).alias("_b"))
-    blocks = blocks.repartition(F.xxhash64(F.monotonically_increasing_id(), F.col("_b")) % 2147483647)
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-n // block))
+    keys = [c for c, t in df.dtypes if not t.startswith(("map", "struct", "array"))]
+    blocks = df.select("*", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // block))).alias("_b")).repartition(tasks, *[F.col(f"`{c}`") for c in keys], "_b")
     first = F.col("_b") * block
     last = F.least(first + (block - 1), F.lit(n - 1))
     return blocks.select("*", F.explode(F.sequence(first, last)).alias(draw)).drop("_b")
 
 
-def draws_over(params: DataFrame, n: int, draw: str = "draw", max_rows: int = 20_000) -> DataFrame:
-    """Draws x parameter rows, partitioned by ranges of draw ids.
+def draws_over(params: DataFrame, n: int, draw: str = "draw", max_rows: int = 20_000, per_task: int = 1 << 20) -> DataFrame:
+    """Draws x parameter rows, partitioned by ranges of draw ids; `draw` is an INT.
 
-    For a parameter table whose row count is checked to be small. Rows of one
-    draw stay in one partition and Spark knows it, so sums per draw need no
-    shuffle. A larger table goes through `expand_draws`.
+    Rows of one draw stay in one partition and Spark knows it, so sums per draw
+    need no shuffle. The parameter table is broadcast, so it may hold `max_rows`
+    at most; a larger one is refused and goes through `expand_draws`. The number
+    of tasks follows rows x draws.
     """
     spark: SparkSession = params.sparkSession
     small = params.persist()
-    if small.limit(max_rows + 1).count() > max_rows:
-        return expand_draws(small, n, draw)
-    parts = max(spark.sparkContext.defaultParallelism, -(-n // 65536))
-    return spark.range(0, n, 1, parts).withColumnRenamed("id", draw).crossJoin(F.broadcast(small))
+    rows = small.count()
+    if rows > max_rows:
+        small.unpersist()
+        raise ValueError(f"{rows} parameter rows are more than the {max_rows} that may be broadcast; use expand_draws")
+    parts = max(spark.sparkContext.defaultParallelism, -(-n * max(rows, 1) // per_task))
+    return spark.range(0, n, 1, parts).select(F.col("id").cast("int").alias(draw)).crossJoin(F.broadcast(small))
 
 
 def bracket_join(points: DataFrame, anchors: DataFrame, by: Sequence[str], x: str, ax: str, vals: Sequence[str],

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from massweave.functions import draws as dr
 from massweave.operators.joins import expand_draws
 from massweave.plans import literals as lit
-from massweave.scale import checked_broadcast, spread
+from massweave.scale import checked_broadcast
 
 
 def range_draws(df: DataFrame, n: int, keys: Sequence[str], lo: str = "lo", hi: str = "hi", factor: str = "factor",
@@ -27,7 +27,7 @@ def range_draws(df: DataFrame, n: int, keys: Sequence[str], lo: str = "lo", hi:
     presence afterwards: a static factor of 0 would lose them for good.
     """
     f = F.col(factor) if governed is None else F.when(governed, F.lit(1.0)).otherwise(F.col(factor))
-    t = expand_draws(spread(dr.with_streams(df, seed, keys, [var]).withColumn("_f", f)), n)
+    t = expand_draws(dr.with_streams(df, seed, keys, [var]).withColumn("_f", f), n)
     x = dr.uniform(dr.at(f"u_{var}"), F.col(lo) * F.col("_f"), F.col(hi) * F.col("_f"))
     if governed is not None:
         x = x * F.when(governed, F.col(presence)).otherwise(F.lit(1.0))
@@ -40,7 +40,7 @@ def area_draws(df: DataFrame, n: int, keys: Sequence[str], sizes: Mapping[str, t
     `sizes` maps a class to (lo column, hi column, length triple, width triple).
     """
     names = [f"{s}_{v}" for s in sizes for v in ("n", "l", "w")]
-    t = expand_draws(spread(dr.with_streams(df, seed, keys, names)), n)
+    t = expand_draws(dr.with_streams(df, seed, keys, names), n)
     t = dr.draw_uniforms(t, {f"_{v}": (f"u_{v}", "draw") for v in names})
     t = t.withColumns({f"n_{s}": dr.uniform(f"_{s}_n", F.coalesce(F.col(a), F.lit(0.0)), F.coalesce(F.col(b), F.lit(0.0)))
                        for s, (a, b, _, _) in sizes.items()})
@@ -59,7 +59,7 @@ def count_times_mass(df: DataFrame, composition: DataFrame, on: Sequence[str], n
     """
     j = dr.with_streams(df, seed, keys, ["count"]).join(composition.filter(F.col("mass_hi") > 0), list(on))
     j = j.withColumn("u_mass", dr.stream(seed, "mass", *keys, element))
-    t = dr.draw_uniforms(expand_draws(spread(j), n), {"_uc": ("u_count", "draw"), "_um": ("u_mass", "draw")})
+    t = dr.draw_uniforms(expand_draws(j, n), {"_uc": ("u_count", "draw"), "_um": ("u_mass", "draw")})
     m = dr.triangular("_um", "mass_lo", "mass_mode", "mass_hi")
     return t.withColumn("value", dr.uniform("_uc", "lo", "hi") * m).drop("_uc", "_um")
 
@@ -174,7 +174,7 @@ def group_average_draws(df: DataFrame, n: int, group: Sequence[str], sub: str, k
     """
     d = df.filter(F.col("hi") > 0)
     subs = d.groupBy(*group).agg(F.countDistinct(sub).alias("_subs"))
-    t = expand_draws(spread(dr.with_streams(d, seed, keys, ["count"])), n)
+    t = expand_draws(dr.with_streams(d, seed, keys, ["count"]), n)
     t = t.withColumn("_x", dr.uniform(dr.at("u_count"), "lo", "hi"))
     s = t.groupBy(*group, "draw").agg(F.sum("_x").alias("_s"))
     return s.join(checked_broadcast(subs), list(group)).select(*group, "draw", (F.col("_s") / F.col("_subs")).alias("count"))
@@ -193,7 +193,7 @@ def material_draws(df: DataFrame, n: int, keys: Sequence[str], materials: Sequen
     The parameters of all materials sit in the row (`<m>_lo/_mode/_hi`), so the
     normalisation is row arithmetic: no window and no shuffle over the draws.
     """
-    t = expand_draws(spread(dr.with_streams(df, seed, keys, materials)), n)
+    t = expand_draws(dr.with_streams(df, seed, keys, materials), n)
     t = dr.draw_uniforms(t, {f"_u_{m}": (f"u_{m}", "draw") for m in materials})
     t = t.withColumns({f"_r_{m}": dr.triangular(f"_u_{m}", f"{m}_lo", f"{m}_mode", f"{m}_hi") for m in materials})
     total = None
@@ -216,7 +216,7 @@ def grade_mix(grades: DataFrame, weights: DataFrame, n: int, by: Sequence[str],
     tot = weights.groupBy(*by).agg(F.sum("weight").alias("_w"))
     w = weights.join(checked_broadcast(tot), list(by)).withColumn("weight", F.col("weight") / F.col("_w")).drop("_w")
     j = w.join(grades, "grade")
-    t = expand_draws(spread(dr.with_streams(j, seed, [*by, "grade", "element"], ["grade"])), n)
+    t = expand_draws(dr.with_streams(j, seed, [*by, "grade", "element"], ["grade"]), n)
     x = F.sum(F.col("weight") * dr.uniform(dr.at("u_grade"), "lo", "hi"))
     mix = t.groupBy(*by, "draw", "element").agg(x.alias("fraction"))
     if balance is None:
@@ -246,7 +246,7 @@ def resample(hist: DataFrame, by: Sequence[str], n: int, left: str = "bin_left",
     iv = iv.withColumn("_slice", F.explode(F.sequence(s(c("_lo")), s(c("_hi")))))
     iv = iv.select(*[c(k).alias(f"_b_{k}") for k in by], c(left).alias("_l"), c(right).alias("_r"), "_lo", "_hi", "_slice")
     series = hist.groupBy(*by).agg(F.sum(count).alias("_n"))
-    d = expand_draws(spread(dr.with_streams(series.filter("_n > 0"), seed, by, ["bin", "inside"])), n)
+    d = expand_draws(dr.with_streams(series.filter("_n > 0"), seed, by, ["bin", "inside"]), n)
     d = d.withColumn("_u", dr.at("u_bin"))
     d = d.withColumns({"_slice": F.floor(c("_u") * slices), "_t": c("_u") * c("_n")})
     cond = (c("_t") >= c("_lo")) & (c("_t") < c("_hi")) & (d["_slice"] == iv["_slice"])

@@ -13,7 +13,7 @@ from massweave.plans import literals as lit
 from massweave.queries import curves as qc
 from massweave.queries._base import (COMPONENTS_SQL, RANGES_SQL, SEG_SQL, STATES, anchors, components, query,
                                      r, ranges, segment_col, sql_at, sql_keyed, sql_md5, sql_norm, sql_tri, sql_uni, table)
-from massweave.scale import checked_broadcast, spread
+from massweave.scale import checked_broadcast
 
 ROW = ["l_orderkey", "l_linenumber", "comp_id", "l_suppkey"]
 N = 8
@@ -26,7 +26,7 @@ def drawn_sql(*variables: str, n: int = N, src: str = "ranges", base: str = RANG
 
 
 def drawn(df, variables, n=N, keys=ROW):
-    return expand_draws(spread(dr.with_streams(df, 42, keys, variables)), n)
+    return expand_draws(dr.with_streams(df, 42, keys, variables), n)
 
 
 def moments(df, by, val, nd=6):
@@ -242,7 +242,8 @@ ARCH_SQL = """arch_src AS (SELECT CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'AB'
  arch_share AS (SELECT segment, state, year, share / greatest(sum(share) OVER (PARTITION BY segment, year), 1e-12::DOUBLE) AS share FROM arch_curve),
  arch_wide AS (SELECT segment, year, """ + ", ".join(f"coalesce(max(CASE WHEN state = '{s}' THEN share END), 0.0::DOUBLE) AS {s}" for s in lit.ARCH_STATES) + """ FROM arch_share GROUP BY ALL),
  arch_wide2 AS (SELECT *, """ + ", ".join(f"coalesce(lead({s}) OVER (PARTITION BY segment ORDER BY year), {s}) AS {s}_next" for s in lit.ARCH_STATES) + " FROM arch_wide), " + qc.VEHICLES_SQL + f""",
- apos AS (SELECT v.segment, vehicle, u, CAST(y AS INTEGER) AS year, least(greatest(y - delta, {Y0}), {Y1}) - {Y0} AS pos FROM vehicles v, range({Y0}, {Y1 + 1}) t(y)),
+ adrv AS (SELECT segment, vehicle, {sql_keyed(42, 'state', 'vehicle')} AS u, {sql_norm(sql_keyed(42, 'a1', 'vehicle'), sql_keyed(42, 'a2', 'vehicle'), '0.0::DOUBLE', '5.0::DOUBLE')} AS delta FROM vehicles),
+ apos AS (SELECT v.segment, vehicle, u, CAST(y AS INTEGER) AS year, least(greatest(y - delta, {Y0}), {Y1}) - {Y0} AS pos FROM adrv v, range({Y0}, {Y1 + 1}) t(y)),
  aix AS (SELECT *, least(floor(pos), {Y1 - Y0 - 1}) AS i, pos - least(floor(pos), {Y1 - Y0 - 1}) AS f FROM apos),
  araw AS (SELECT x.segment, vehicle, u, x.year, """ + ", ".join(f"greatest({s} * (1 - f) + {s}_next * f, 0) AS {s}" for s in lit.ARCH_STATES) + f""" FROM aix x JOIN arch_wide2 w ON x.segment = w.segment AND w.year = {Y0} + i),
  ashift AS (SELECT segment, vehicle, u, year, """ + ", ".join(f"{s} / greatest({' + '.join(lit.ARCH_STATES)}, 1e-12::DOUBLE) AS {s}" for s in lit.ARCH_STATES) + """ FROM araw),
@@ -261,18 +262,24 @@ def arch_shares(spark, sf):
 
 def with_arch(d, spark, sf):
     wide = cv.wide_curve(arch_shares(spark, sf), ["segment"], "state", "share", lit.ARCH_STATES)
-    s = cv.shift_curve(d, wide, ["segment"], "delta", (Y0, Y1), lit.ARCH_STATES)
-    return s.withColumn("state", dr.comonotonic_state("u", lit.ARCH_STATES).cast("int"))
+    s = cv.shift_curve(d, wide, ["segment"], "arch_delta", (Y0, Y1), lit.ARCH_STATES)
+    return s.withColumn("state", dr.comonotonic_state("arch_u", lit.ARCH_STATES).cast("int")).drop("arch_u", "arch_delta")
+
+
+def arch_streams(v):
+    """The architecture has a state uniform and a timing offset of its own, apart from the tier's."""
+    k = lambda name: dr.keyed_uniform(42, name, "vehicle")
+    return v.withColumns({"arch_u": k("state"), "arch_delta": dr.normal(k("a1"), k("a2"), 0.0, lit.TIMING_SPREAD_Y)})
 
 
 def arch(spark, sf):
     """Architecture state of every vehicle and year, with its shifted shares."""
-    return with_arch(over_years(qc.vehicles(spark, sf)), spark, sf).drop("delta")
+    return with_arch(over_years(arch_streams(qc.vehicles(spark, sf))), spark, sf).drop("delta")
 
 
 def fleet(spark, sf):
     """Tier, architecture state and lidar of every vehicle and year, on the same rows: no join between vehicles."""
-    v = sp.sensor_streams(lidar_vehicles(spark, sf))
+    v = arch_streams(sp.sensor_streams(lidar_vehicles(spark, sf)))
     wide = cv.wide_curve(qc.shares(spark, sf), ["segment"], "state", "share", STATES)
     d = cv.shift_curve(over_years(v), wide, ["segment"], "delta", (Y0, Y1), STATES)
     d = d.withColumn("tier", dr.comonotonic_state("u", STATES).cast("int")).drop(*STATES)

@@ -351,8 +351,7 @@ TD_SQL = "td AS (SELECT segment, draw, " + sql_uni(sql_at("h"), "lo", "hi") + "
 def sensor_draws(spark, sf, n=60):
     from massweave.functions import draws as dr
     from massweave.operators.joins import expand_draws
-    from massweave.scale import spread
-    d = expand_draws(spread(dr.with_streams(qd.sensor_rows(spark, sf), 42, ["segment", "sensor_type", "comp_id"], ["count"])), n)
+    d = expand_draws(dr.with_streams(qd.sensor_rows(spark, sf), 42, ["segment", "sensor_type", "comp_id"], ["count"]), n)
     return d.select("segment", "sensor_type", "comp_id", "draw", dr.uniform(dr.at("u_count"), "lo", "hi").alias("v"))
 
 

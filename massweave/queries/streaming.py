@@ -10,7 +10,7 @@ from massweave.streaming import hist_stream as hs
 def g35_stream(spark, sf):
     batch = table(spark, sf, "events").select("event_type", "value")
     rng = hg.pilot_range(batch, ["event_type"], "value")
-    stream = (spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = (spark.readStream.schema(table(spark, sf, "events").schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
               .select("event_type", "value"))
     state = hs.fold_available(hs.stream_hist(stream, ["event_type"], "value", rng), ["event_type"])
     return state.select("event_type", "bin", "count", "under", "over")

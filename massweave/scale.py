@@ -8,19 +8,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROW_LIMIT = 200_000
+#: A side is broadcast up to so many rows and bytes.
+BROADCAST_ROW_LIMIT, BROADCAST_BYTES = 200_000, 64 << 20
+
+
+def row_bytes(df: DataFrame) -> int:
+    """Bytes a row takes by its types; a string counts as its default width."""
+    return int(df._jdf.schema().defaultSize()) + 16
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast `df` only after counting that it is small.
+    """Broadcast `df` only after counting that it is small, in rows and in bytes.
 
-    The side is persisted first, so the count and the later join read one
-    result. Above `max_rows` the plain DataFrame comes back and the join is
-    left to Catalyst (sort-merge, with the AQE skew split).
+    A side found small is kept, so the join reads what the count computed. A
+    larger one is let go at once and the join is left to Catalyst (sort-merge,
+    with the AQE skew split).
     """
-    df = df.persist()
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
+    limit = min(max_rows, BROADCAST_BYTES // row_bytes(df))
+    kept = df.persist()
+    if kept.limit(limit + 1).count() <= limit:
+        return F.broadcast(kept)
+    kept.unpersist()
     return df
 
 
@@ -39,22 +47,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan; nothing is run."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread(df: DataFrame, below_bytes: int = 256 << 20) -> DataFrame:
-    """Redistribute a small parameter table before it is expanded.
-
-    A small table sits in one or two input splits; without this its expansion
-    into draws would run in as many tasks. A large table already has its splits
-    and is left alone, so the fact side is never shuffled for this.
-    """
-    if estimated_bytes(df) > below_bytes:
-        return df
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1))
-
+def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Redistribute a parameter table over `tasks` (default: all cores) before each of its rows is expanded."""
+    return df.repartition(tasks or max(df.sparkSession.sparkContext.defaultParallelism, 1))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -7,15 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from massweave.operators.groupwise import with_group
 
-def write_series(df: DataFrame, path: str, by: Sequence[str], fmt: str = "parquet") -> None:
+
+def write_series(df: DataFrame, path: str, by: Sequence[str], fmt: str = "parquet", rows_per_file: int = 1_000_000) -> None:
     """One folder per key.
 
-    Rows are first hashed on the key and a small salt, so that a task writes a
-    few folders with files of useful size and a hot key is split over tasks.
+    Rows are first hashed on the key and a salt, as many salts as the key's rows
+    ask for, so that a task writes a few folders with files of useful size and
+    a hot key is split over tasks.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(16))
-    (df.repartition(*[F.col(c) for c in by], salt).write.mode("overwrite")
+    df = with_group(df, by, {"_n": F.count(F.lit(1))})
+    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != "_n"]), F.ceil(F.col("_n") / rows_per_file))
+    (df.repartition(*[F.col(c) for c in by], salt).drop("_n").write.mode("overwrite")
      .partitionBy(*by).format(fmt).save(path))
 
 

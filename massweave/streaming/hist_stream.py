@@ -11,13 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from massweave.operators.histogram import finite
 from massweave.plans.literals import N_FINE_BINS
 from massweave.scale import checked_broadcast, scratch_path
 
 
 def stream_hist(stream: DataFrame, by: Sequence[str], val: str, range_df: DataFrame, bins: int = N_FINE_BINS) -> DataFrame:
-    """Running histogram of a stream against fixed ranges (stream-static join, then a keyed count)."""
-    t = stream.select(*by, F.col(val).alias("_v")).join(checked_broadcast(range_df.select(*by, "lo", "width")), list(by))
+    """Running histogram of a stream against fixed ranges (stream-static join, then a keyed count); NULL and NaN are in no bin."""
+    t = stream.filter(finite(val)).select(*by, F.col(val).alias("_v")).join(checked_broadcast(range_df.select(*by, "lo", "width")), list(by))
     t = t.withColumn("_i", F.floor((F.col("_v") - F.col("lo")) / F.col("width")))
     b = F.least(F.greatest(F.col("_i"), F.lit(0)), F.lit(bins - 1)).cast("bigint")
     return t.groupBy(*by, "lo", "width", b.alias("bin")).agg(
@@ -25,7 +26,7 @@ def stream_hist(stream: DataFrame, by: Sequence[str], val: str, range_df: DataFr
         F.sum(F.when(F.col("_i") >= bins, 1).otherwise(0)).alias("over"))
 
 
-def fold_available(hist: DataFrame, by: Sequence[str], timeout_s: int = 600) -> DataFrame:
+def fold_available(hist: DataFrame, by: Sequence[str]) -> DataFrame:
     """Run the stream over everything available and return the folded state.
 
     Each micro-batch writes the bins it changed, keyed by batch id and in
@@ -39,10 +40,7 @@ def fold_available(hist: DataFrame, by: Sequence[str], timeout_s: int = 600) ->
         df.withColumn("_batch", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     q = hist.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"stream did not finish in {timeout_s} s")
+    q.awaitTermination()                               # ends by itself once all that is there has been read
     if q.exception() is not None:
         raise q.exception()
     got = spark.read.schema(_schema(hist)).parquet(f"{out}/batch=*")

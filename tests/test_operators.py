@@ -179,3 +179,34 @@ def test_growth_is_one_at_the_base_year(spark):
 def test_state_never_leaves_the_list(spark):
     r = spark.range(1).select(dr.comonotonic_state(F.lit(0.9999999999), [F.lit(0.2), F.lit(0.3), F.lit(0.49999)]).alias("s")).first()
     assert r.s == 2
+
+
+def test_null_and_nan_are_in_no_bin(spark):
+    from massweave.operators import histogram as hg
+    rows = [("a", float(i)) for i in range(10)] + [("a", None), ("a", float("nan")), ("a", float("inf"))]
+    df = spark.createDataFrame(rows, "s string, v double")
+    h = hg.hist_acc(df, ["s"], "v", hg.pilot_range(df, ["s"], "v")).collect()
+    assert sum(r["count"] for r in h) == 10 and max(r["count"] for r in h) == 1
+    assert hg.moments_and_range(df, ["s"], "v").first()["n"] == 10
+    left = hg.not_binned(df, ["s"], "v").first()
+    assert (left["nulls"], left["not_finite"]) == (1, 2)
+
+
+def test_draws_of_few_rows_use_all_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from massweave.operators import joins as jn
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "id int, name string")
+    e = jn.expand_draws(df, 200_000).withColumn("p", F.spark_partition_id())
+    assert e.count() == 400_000 and e.select("id", "draw").distinct().count() == 400_000
+    assert e.groupBy("p").count().agg(F.max("count")).first()[0] < 100_000
+    assert jn.expand_draws(df, 3).schema == jn.expand_draws(df, 20_000).schema
+    with pytest.raises(ValueError):
+        jn.draws_over(df, 5, max_rows=1)
+    assert jn.draws_over(df, 5).dtypes[0] == ("draw", "int")
+
+
+def test_tier_and_architecture_are_apart(spark, sf):
+    from massweave.queries import draws as qd
+    f = qd.fleet(spark, sf).filter(f"year = {qd.Y0}")
+    assert abs(f.stat.corr("tier", "state")) < 0.35
