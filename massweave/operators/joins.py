@@ -103,7 +103,7 @@ def expand_draws(df: DataFrame, n: int, draw: str = "draw", block: int = 8192) -
 
 
 def draws_over(params: DataFrame, n: int, draw: str = "draw", max_rows: int = 20_000, per_task: int = 1 << 20) -> DataFrame:
-    """Draws x parameter rows, partitioned by ranges of draw ids; `draw` is an INT.
+    """Draws x parameter rows, partitioned by ranges of draw ids; `draw` is a BIGINT.
 
     Rows of one draw stay in one partition and Spark knows it, so sums per draw
     need no shuffle. The parameter table is broadcast, so it may hold `max_rows`
@@ -117,7 +117,7 @@ def draws_over(params: DataFrame, n: int, draw: str = "draw", max_rows: int = 20
         small.unpersist()
         raise ValueError(f"{rows} parameter rows are more than the {max_rows} that may be broadcast; use expand_draws")
     parts = max(spark.sparkContext.defaultParallelism, -(-n * max(rows, 1) // per_task))
-    return spark.range(0, n, 1, parts).select(F.col("id").cast("int").alias(draw)).crossJoin(F.broadcast(small))
+    return spark.range(0, n, 1, parts).withColumnRenamed("id", draw).crossJoin(F.broadcast(small))
 
 
 def bracket_join(points: DataFrame, anchors: DataFrame, by: Sequence[str], x: str, ax: str, vals: Sequence[str],

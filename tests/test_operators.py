@@ -203,7 +203,7 @@ def test_draws_of_few_rows_use_all_tasks(spark):
     assert jn.expand_draws(df, 3).schema == jn.expand_draws(df, 20_000).schema
     with pytest.raises(ValueError):
         jn.draws_over(df, 5, max_rows=1)
-    assert jn.draws_over(df, 5).dtypes[0] == ("draw", "int")
+    assert jn.draws_over(df, 5).dtypes[0] == ("draw", "bigint")
 
 
 def test_tier_and_architecture_are_apart(spark, sf):
