@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import os
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massweave.scale import stored
 
-__all__ = ["ascii_lower", "components", "doc_key", "stored"]
+__all__ = ["ascii_lower", "components", "doc_key", "importable", "stored"]
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package where the driver was only given its folder on sys.path."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    return spark
 
 
 def ascii_lower(c: Column) -> Column:

@@ -105,13 +105,13 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", "key")
 
 
-def keep_first(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The rows of `docs` that stay, all columns: one of each component, that of its smallest doc_id.
+def first_rows(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, that stay of groups (doc_id, key, root, component_id): one of each, that of its smallest doc_id.
 
     Where that doc_id repeats, one of its texts stays, the same in every run.
-    A component whose doc_ids are all null keeps one row.
+    A group whose doc_ids are all null keeps one row.
     """
-    first = stored(near_duplicates(docs, words).filter("doc_id <=> component_id")
+    first = stored(grouped.filter("doc_id <=> component_id")
                    .groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
                    .select(F.coalesce("doc_id", F.lit(0)).alias("k"), F.isnull("doc_id").alias("n"), "key"), "first")
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
@@ -120,3 +120,8 @@ def keep_first(docs: DataFrame, words: int = 3) -> DataFrame:
                     (F.to_json(F.struct(*rest)) if rest else F.lit("")).alias("others"))
     w = Window.partitionBy("k", "n", "key").orderBy("others")
     return d.join(first, ["k", "n", "key"]).withColumn("r", F.row_number().over(w)).filter("r = 1").select("row.*")
+
+
+def keep_first(docs: DataFrame, words: int = 3) -> DataFrame:
+    """One row of each near-duplicate component of `docs`, as `first_rows` says."""
+    return first_rows(docs, near_duplicates(docs, words))

@@ -1,10 +1,13 @@
 """The pipeline's stages on the smallest tables, and the registered queries against their SQL."""
 
+from collections import defaultdict
+from itertools import combinations
+
 import pytest
 
 import corpus_pipeline
-from massweave.llm import queries
-from tests.llm.test_text import brute_components, brute_fp, brute_spans
+from massweave.llm import nearcopies, queries
+from tests.llm.test_text import brute_spans
 from tools.check import compare, duck
 
 
@@ -16,9 +19,19 @@ def test_stages(spark, sf):
     assert all(k.columns == cols for k in kept[:-1])
     n = [k.count() for k in kept]
     assert n[0] > n[1] > n[2] == n[3] and n[4] > n[3] / 2 and n[5] == n[4]
-    fps = [brute_fp(r.text) for r in kept[2].collect()]
-    roots = brute_components(set(fps))
-    assert len({roots[f] for f in fps}) == len(fps) == len({brute_components({brute_fp(r.text) for r in kept[1].collect()})[brute_fp(r.text)] for r in kept[1].collect()})
+    sets = [set(nearcopies.shingles(r.text, 5).tolist()) for r in kept[2].collect()]
+    at = defaultdict(list)
+    for i, x in enumerate(sets):
+        for h in x:
+            at[h].append(i)
+    close = {(i, j) for ij in at.values() for i, j in combinations(ij, 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert not close
+    lost = {r.doc_id: r.text for r in kept[1].collect()}
+    for r in kept[2].collect():
+        lost.pop(r.doc_id)
+    for t in lost.values():                                  # what went has a close text among all there were
+        x = set(nearcopies.shingles(t, 5).tolist())
+        assert sum(len(x & y) >= 0.8 * len(x | y) for y in (set(nearcopies.shingles(r.text, 5).tolist()) for r in kept[1].collect())) > 1
     assert not any(brute_spans(r.text) for r in kept[3].collect())
     assert kept[5].columns == ["doc_id", "lang", "source", "ids", "n_pieces"]
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from massweave.llm import licenses, mixing, pieces, pii, quality, simhash, tokenstore
+from massweave.llm import licenses, mixing, nearcopies, pieces, pii, quality, simhash, tokenstore
 from massweave.scale import scratch_path
 
 
@@ -87,6 +87,38 @@ def test_simhash_links_no_pair_lost(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, other.values()))
 
 
+def test_near_copies(spark, docs, none, rows):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(5000)]
+    texts = {}
+    for g in range(12):
+        t = [words[i] for i in rng.integers(0, 5000, 400)]
+        texts[3000 + 10 * g] = " ".join(t)
+        for c in range(1, 4):                                 # three words changed: about 0.93 alike
+            u = list(t)
+            for i in rng.integers(0, 400, 3):
+                u[int(i)] = "new"
+            texts[3000 + 10 * g + c] = " ".join(u)
+    df = docs.unionByName(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), allowMissingColumns=True)
+    got = nearcopies.groups(df).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _, _ in rows) + Counter(texts)
+    root = {(r.doc_id, r.key): (r.root, r.component_id) for r in got}
+    assert all(c == i - i % 10 for (i, _), (_, c) in root.items() if i and i >= 3000)
+    same = defaultdict(set)
+    for (i, k), (r, c) in root.items():
+        same[r].add(k)
+    sets = {r.key: set(nearcopies.shingles(r.text, 5).tolist()) for r in df.withColumn("key", simhash.doc_key(df.text)).collect()}
+    for keys in same.values():                                # a group holds together by links of 0.8
+        left, seen = list(keys)[1:], list(keys)[:1]
+        while left:
+            nxt = [k for k in left if any(len(sets[k] & sets[s]) >= 0.8 * len(sets[k] | sets[s]) for s in seen)]
+            assert nxt
+            seen += nxt
+            left = [k for k in left if k not in nxt]
+    assert nearcopies.keep_first(df).count() == len(same) and nearcopies.keep_first(df).columns == df.columns
+    assert nearcopies.groups(none).count() == 0
+
+
 # ---- 6: quality ---------------------------------------------------------------
 SMALL = quality.Params(buckets=1 << 10, epochs=2, sample=30)
 
