@@ -101,7 +101,7 @@ def test_near_copies(spark, docs, none, rows):
             texts[3000 + 10 * g + c] = " ".join(u)
     df = docs.unionByName(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), allowMissingColumns=True)
     got = nearcopies.groups(df).collect()
-    assert Counter(r.doc_id for r in got) == Counter(i for i, _, _ in rows) + Counter(texts)
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _, _ in rows) + Counter(list(texts))
     root = {(r.doc_id, r.key): (r.root, r.component_id) for r in got}
     assert all(c == i - i % 10 for (i, _), (_, c) in root.items() if i and i >= 3000)
     same = defaultdict(set)
