@@ -18,7 +18,7 @@ from massweave.llm.common import doc_key
 
 MARK = "▁"
 #: Characters of text handled at a time, words and piece pairs a task remembers.
-CHUNK, WORDS, PAIRS = 1 << 22, 400_000, 500_000
+CHUNK, WORDS, PAIRS = 1 << 21, 150_000, 300_000
 
 
 class Model:

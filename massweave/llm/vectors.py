@@ -67,6 +67,34 @@ class MultiIndex:
         a, b = (nearest(part, book) for part, book in zip(self.halves(x), self.books))
         return a * len(self.books[1]) + b
 
+    def deal(self) -> int:
+        """Give the cells to blocks of about ROWS rows, in order, large cells to several blocks; the number of blocks."""
+        self.first = np.zeros(self.sizes.size, dtype=np.int64)
+        self.split = np.ones(self.sizes.size, dtype=np.int64)
+        block, filled = 0, 0
+        for c, n in enumerate(self.sizes.ravel().tolist()):
+            if filled and filled + n > ROWS:
+                block, filled = block + 1, 0
+            self.first[c], self.split[c] = block, max(1, -(-n // ROWS))
+            filled += n
+            if n > ROWS:
+                block, filled = block + int(self.split[c]), 0
+        return block + 1
+
+    def blocks_of(self, cells: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Block of each row; the rows of a large cell are dealt by a hash of their id."""
+        with np.errstate(over="ignore"):
+            h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        return self.first[cells] + (h % self.split[cells].astype(np.uint64)).astype(np.int64)
+
+    def visits(self, q: np.ndarray, budget: int) -> list[dict]:
+        """The blocks that hold the cells of a traversal, each with those cells."""
+        by: dict[int, list[int]] = {}
+        for c, _ in self.traverse(q, budget):
+            for b in range(int(self.first[c]), int(self.first[c] + self.split[c])):
+                by.setdefault(b, []).append(c)
+        return [{"block": b, "cells": sorted(cells)} for b, cells in sorted(by.items())]
+
     def traverse(self, q: np.ndarray, budget: int):
         """Cells in order of summed distance of the halves (the negative inner product) until they hold `budget` rows."""
         d = [-(book @ part) for book, part in zip(self.books, (q[:self.half], q[self.half:]))]
@@ -132,8 +160,9 @@ def search(table: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id
     queries the true neighbours are found by brute force, and the share of rows
     that covers a neighbour's cell in the proportion `reach` of cases is taken
     for all. Rows of the visited cells are scored exactly on the original
-    vectors. Rows and queries meet in blocks of bounded size; a cell, bucket or
-    vector of any weight is spread over blocks.
+    vectors. Rows meet in blocks of bounded size the queries that
+    visit one of the block's cells; a cell or vector of any weight is spread
+    over blocks.
 
     Vectors null, empty, zero or with null or non-finite components take no
     part, nor do rows without id and vectors of another length than the most
@@ -162,21 +191,25 @@ def search(table: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id
     query = placed.filter(F.col("id") % every == 0).select("id", "v").distinct()
     budget = measured(placed, index, query, trial, k, reach, n)
 
-    blocks = F.ceil(F.lit(1.0 * n) / ROWS)
+    index.deal()
     lists = -(-max(1, query.count()) // QUERIES)
+    visit_type = pa.list_(pa.struct([("block", pa.int32()), ("cells", pa.list_(pa.int32()))]))
 
     def visit(batches):
         for b in batches:
             if b.num_rows:
                 x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                out = [sorted(c for c, _ in index.traverse(v, budget)) for v in x]
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(out, pa.list_(pa.int32()))], names=["id", "v", "visits"])
-
-    q = query.mapInArrow(visit, "id long, v array<double>, visits array<int>")
-    q = q.withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(lists)).cast("int"))
-    q = q.select("*", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("block"))
-    v = placed.withColumn("block", F.pmod(F.xxhash64("id", "cell"), blocks).cast("int"))
-    v = v.select("*", F.explode(F.sequence(F.lit(0), F.lit(lists - 1))).alias("lot"))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array([index.visits(v, budget) for v in x], visit_type)], names=["id", "v", "visits"])
+
+    def deal(batches):
+        for b in batches:
+            block = index.blocks_of(b.column("cell").to_numpy(), b.column("id").to_numpy()).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block)], names=["id", "v", "cell", "block"])
+
+    q = query.mapInArrow(visit, "id long, v array<double>, visits array<struct<block int, cells array<int>>>")
+    q = q.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(lists)).cast("int").alias("lot"), F.explode("visits").alias("visit"))
+    q = q.select("id", "v", "lot", "visit.block", F.col("visit.cells").alias("visits"))
+    v = placed.mapInArrow(deal, "id long, v array<double>, cell int, block int").select("*", F.explode(F.sequence(F.lit(0), F.lit(lists - 1))).alias("lot"))
 
     def score(qs: pa.Table, vs: pa.Table) -> pa.Table:
         if not len(qs) or not len(vs):
