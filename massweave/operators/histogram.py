@@ -97,7 +97,8 @@ def hist_percentiles(hist: DataFrame, by: Sequence[str], qs: Sequence[float]) ->
                           "_n": F.sum("count").over(W.partitionBy(*by))})
     t = t.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
     t = t.withColumn("_t", F.col("q") / F.lit(100.0) * F.col("_n"))
-    t = t.filter((F.col("_cum") >= F.col("_t")) & (F.col("_cum") - F.col("count") < F.col("_t")))
+    below = F.col("_cum") - F.col("count")
+    t = t.filter(((F.col("_cum") >= F.col("_t")) & (below < F.col("_t"))) | ((F.col("_t") <= 0) & (below == 0) & (F.col("count") > 0)))
     frac = (F.col("_t") - (F.col("_cum") - F.col("count"))) / F.col("count")
     return t.select(*by, "q", (F.col("lo") + (F.col("bin") + frac) * F.col("width")).alias("value"))
 

@@ -13,13 +13,12 @@ from massweave.scale import checked_broadcast
 
 
 def strict_lookup(left: DataFrame, right: DataFrame, on: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Left equi-join; reading a looked-up column of an unmatched row fails and names the key."""
+    """Equi-join in which every left row must match: any use of the result fails on an unmatched row and names its key."""
     rhs = right.select(*on, *cols, F.lit(True).alias("_hit"))
     key = F.concat_ws(", ", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in on])
     miss = F.raise_error(F.concat(F.lit("no match for (" + ", ".join(on) + ") = "), key))
-    types = dict(right.dtypes)
     j = left.join(rhs, list(on), "left")
-    return j.withColumns({c: F.when(F.col("_hit").isNull(), miss.cast(types[c])).otherwise(F.col(c)) for c in cols}).drop("_hit")
+    return j.filter(F.when(F.col("_hit").isNull(), miss.cast("boolean")).otherwise(F.lit(True))).drop("_hit")
 
 
 def unmatched(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -237,9 +237,10 @@ def band_width(mean: str, lo: str, hi: str) -> Column:
 
 
 def cv_rank(df: DataFrame, by: Sequence[str], val: str) -> DataFrame:
-    """Coefficient of variation per series, most uncertain first."""
+    """Coefficient of variation per series and its rank, the most uncertain first; one row per series is ranked."""
     t = df.groupBy(*by).agg(F.avg(val).alias("mean"), F.stddev_pop(val).alias("std"))
-    return t.withColumn("cv", F.when(F.col("mean") > 0, F.col("std") / F.col("mean")).otherwise(F.lit(0.0)))
+    t = t.withColumn("cv", F.when(F.col("mean") > 0, F.col("std") / F.col("mean")).otherwise(F.lit(0.0)))
+    return t.withColumn("rank", F.row_number().over(W.orderBy(F.desc(F.round("cv", 9)), *by)))
 
 
 def overview(df: DataFrame, by: Sequence[str], y0: int, y1: int, kind: str, mean: str, lo: str, hi: str) -> DataFrame:

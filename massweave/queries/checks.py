@@ -11,7 +11,7 @@ from massweave.operators import stats as st
 from massweave.queries import curves as qc
 from massweave.queries import stats as qs
 from massweave.queries import tables as qt
-from massweave.queries._base import COMPONENTS_SQL, RANGES_SQL, anchors, components, query, r, ranges, table
+from massweave.queries._base import COMPONENTS_SQL, RANGES_SQL, STATES, components, query, r, ranges, table
 
 YM = RANGES_SQL + ", ym AS (SELECT segment, year, avg(mode) AS v FROM ranges GROUP BY ALL), sm AS (SELECT segment, avg(mode) AS v FROM ranges GROUP BY ALL)"
 
@@ -40,7 +40,8 @@ def j02(spark, sf):
     return rounded(ck.sums_to_one(qc.shares(spark, sf), ["segment", "year"], "share"))
 
 
-@query("j03_pinned_at", "SELECT 'J03' AS check_id, o_orderpriority AS scenario, 0.0::DOUBLE AS got, 0.0::DOUBLE AS want, 1e-9::DOUBLE AS tol, true AS ok FROM orders GROUP BY o_orderpriority")
+@query("j03_pinned_at", "WITH " + qc.SCEN_SQL + " scen2 AS (SELECT * FROM scen WHERE year >= 1998), " + qc.sql_curve("scen2", "scenario", "year", "mult", "curve", clip=False)
+       + ", d AS (SELECT scenario, max(abs(greatest(mult, 0) - 1)) AS d FROM curve WHERE year = 1998 GROUP BY scenario) SELECT 'J03' AS check_id, scenario, round(d, 8) AS got, 0.0::DOUBLE AS want, 1e-9::DOUBLE AS tol, d <= 1e-9 AS ok FROM d")
 def j03(spark, sf):
     return rounded(ck.pinned_at(qc.scenario_multiplier(spark, sf), ["scenario"], 1998, "mult", 1.0))
 
@@ -55,11 +56,22 @@ def j04(spark, sf):
     return rounded(ck.round_trip(b, ["segment", "domain"], "basis", "share", "uplift", "recorded", F.col("domain") == "PROMO"))
 
 
-@query("j05_same_curve", "SELECT 'J05' AS check_id, 0.0::DOUBLE AS got, 0.0::DOUBLE AS want, 1e-12::DOUBLE AS tol, true AS ok FROM (SELECT count(*) AS n FROM orders)")
+_AT = f"least(w.year - {qc.Y0}, {qc.Y1 - qc.Y0 - 1})"
+_F = f"(w.year - {qc.Y0} - {_AT})"
+J05 = (qc.WIDE_SQL + f", moved AS (SELECT w.segment, w.year, " + ", ".join(f"greatest(n.{s} * (1 - {_F}) + n.{s}_next * {_F}, 0) AS {s}" for s in STATES)
+       + f" FROM wide2 w JOIN wide2 n ON n.segment = w.segment AND n.year = {qc.Y0} + {_AT}), d AS (SELECT max(greatest("
+       + ", ".join(f"abs(m.{s} / greatest({' + '.join('m.' + x for x in STATES)}, 1e-12::DOUBLE) - w.{s})" for s in STATES)
+       + ")) AS d FROM moved m JOIN wide w ON w.segment = m.segment AND w.year = m.year)")
+
+
+@query("j05_same_curve", "WITH " + J05 + " SELECT 'J05' AS check_id, round(d, 8) AS got, 0.0::DOUBLE AS want, 1e-12::DOUBLE AS tol, d <= 1e-12 AS ok FROM d")
 def j05(spark, sf):
-    """Two consumers build the curve on their own: through the share reader, and by hand from the anchors."""
+    """Two consumers of the curve: the share reader, and the shifted curve read without a shift."""
     a = qc.shares(spark, sf)
-    b = rs.normalise(cv.monotone_curve(anchors(spark, sf), ["segment", "state"], "year", "share", qc.Y0, qc.Y1), ["segment", "year"], "share")
+    wide = cv.wide_curve(a, ["segment"], "state", "share", STATES)
+    still = wide.select("segment", "year", F.lit(0.0).alias("delta"))
+    moved = cv.shift_curve(still, wide, ["segment"], "delta", (qc.Y0, qc.Y1), STATES)
+    b = moved.unpivot(["segment", "year"], STATES, "state", "share")
     return rounded(ck.same_curve(a, b, ["segment", "state", "year"], "share"))
 
 

@@ -311,7 +311,8 @@ def g28(spark, sf):
     return yearly_stats(spark, sf).select(*KEY, "year", r(st.band_width("mean", "p025", "p975")).alias("band_pct"))
 
 
-@query("g29_cv_rank", "WITH " + RANGES_SQL + " SELECT segment, sensor_type, round(avg(mode), 7) AS mean, round(stddev_pop(mode), 7) AS std, round(stddev_pop(mode) / avg(mode), 8) AS cv FROM ranges GROUP BY ALL")
+@query("g29_cv_rank", "WITH " + RANGES_SQL + ", c AS (SELECT segment, sensor_type, avg(mode) AS m, stddev_pop(mode) AS s FROM ranges GROUP BY ALL)"
+       " SELECT segment, sensor_type, round(m, 7) AS mean, round(s, 7) AS std, round(s / m, 8) AS cv, CAST(row_number() OVER (ORDER BY round(s / m, 9) DESC, segment, sensor_type) AS INTEGER) AS rank FROM c")
 def g29(spark, sf):
     return st.cv_rank(ranges(spark, sf), ["segment", "sensor_type"], "mode").withColumns({"mean": r("mean", 7), "std": r("std", 7), "cv": r("cv", 8)})
 
