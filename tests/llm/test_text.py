@@ -187,7 +187,7 @@ def test_pii_redacts(private, none):
 
 
 def test_boosting_learns_an_interaction():
-    cells = [([a, b, 0, 0, 0, 0], 100, 95 if a == b else 5) for a in (0, 1) for b in (0, 1, 2)]
+    cells = [([a, b, 0, 0, 0, 0], 100, 95 if a and b else 5) for a in (0, 1) for b in (0, 1, 2)]
     trees = pii.boost(cells, trees=40, depth=3)
     p = [1 / (1 + np.exp(-sum(pii.apply_tree(t, c[0]) for t in trees))) for c in cells]
     assert all(abs(x - c[2] / c[1]) < 0.1 for x, c in zip(p, cells))
