@@ -2,7 +2,8 @@
 
 DataFrame functions only. The schedule has a fixed number of slots; a slot
 stands for one block of words, so blocks grow with the corpus and the schedule
-does not.
+does not. A source whose target is a small number of slots is cut by its own
+words instead: whole passes, and an exact part of one.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from massweave.llm.common import doc_key, stored
 WORD = r"[^\x20\x09-\x0D]+"
 #: Slots of the schedule: the resolution of the mix.
 SLOTS = 1 << 18
+#: A source with a target of so many slots comes from the schedule, within a few of them.
+FINE = 1 << 12
 #: Golden-ratio points i * GOLDEN mod 2^31, exact in BIGINT.
 GOLDEN, TURN = 1_327_217_885, 1 << 31
 #: Hash ranges a source's shuffled order is cut into.
@@ -62,6 +65,19 @@ def block(slots: int) -> Column:
     return F.col("total") / F.lit(float(slots))
 
 
+def coarse(beta: Column) -> Column:
+    """Whether blocks of `beta` words are too large for the source's target."""
+    return F.col("target") < beta * F.lit(float(FINE))
+
+
+def own_passes() -> Column:
+    """Words a source cut by its own words gives of a document: its rounded target is whole passes and the first words of the next."""
+    goal = F.least(F.round("target").cast("long"), 2 * F.col("source_size"))
+    part = F.pmod(goal, F.col("source_size"))
+    return (F.col("size") * F.floor(goal / F.col("source_size"))
+            + F.greatest(F.least(F.col("end"), part) - (F.col("end") - F.col("size")), F.lit(0))).cast("long")
+
+
 def schedule(src: DataFrame, slots: int) -> DataFrame:
     """(s, block, uses): how often the schedule takes each block of each source.
 
@@ -72,7 +88,7 @@ def schedule(src: DataFrame, slots: int) -> DataFrame:
     spark = src.sparkSession
     slot = spark.range(slots).select(F.col("id").alias("i"), (F.col("id") * GOLDEN % TURN).alias("u"))
     slot = slot.select("i", "u", F.floor(F.col("u") / (TURN // CELLS)).cast("int").alias("cell"))
-    stretch = src.filter("total > 0 and target > 0").select("*", F.explode(F.sequence(
+    stretch = src.filter("total > 0 and target > 0").filter(~coarse(block(slots))).select("*", F.explode(F.sequence(
         F.floor(F.col("lo") / F.col("total") * CELLS).cast("int"), F.least(F.floor(F.col("hi") / F.col("total") * CELLS), F.lit(CELLS - 1)).cast("int"))).alias("cell"))
     x = F.col("u") / F.lit(float(TURN)) * F.col("total")
     of = slot.join(stretch, "cell").filter((x >= F.col("lo")) & (x < F.col("hi"))).select("i", "s", F.ceil(F.col("source_size") / block(slots)).alias("blocks"))
@@ -91,7 +107,8 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     Sources in code point order, null last, take `weights` in turn and share
     `share` of all words; a target stops at `most` (2 at least as the schedule
     goes) times its source's words. taken counts the words the schedule takes
-    of a document, repeats included: never above twice its size.
+    of a document, repeats included: never above twice its size. A source with
+    a target below FINE slots gives its rounded target to the word.
 
     A null text has no word, and a document without words is taken nowhere. A
     null doc_id keeps its row. Rows that repeat are rows of their own that
@@ -109,15 +126,16 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
         "*", F.row_number().over(w).alias("r"),
         (F.col("ahead") + F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("end"))
     start, beta = F.col("end") - F.col("size"), F.col("beta")
-    reach = F.when(F.col("size") > 0, F.sequence(
+    d = d.select("*", F.when(coarse(beta) & (F.col("size") > 0), own_passes()).alias("own"))
+    reach = F.when((F.col("size") > 0) & F.isnull("own"), F.sequence(
         F.greatest(F.floor(start / beta) - 1, F.lit(0)), F.floor(F.col("end") / beta) + 1))
     piece = d.select("*", F.explode_outer(reach).alias("block"))
     words = F.least(F.col("end"), F.floor((F.col("block") + 1) * beta)) - F.greatest(start, F.floor(F.col("block") * beta))
     piece = piece.select("*", words.alias("words")).filter("block is null or words > 0")
-    same = ["sk", "sn", "bucket", "r", "doc_id", "key", "size", "source_size", "target"]
+    same = ["sk", "sn", "bucket", "r", "doc_id", "key", "size", "source_size", "target", "own"]
     taken = (piece.join(schedule(src, slots), ["s", "block"], "left").groupBy(*same)
              .agg(F.sum(F.coalesce(F.col("words") * F.col("uses"), F.lit(0))).cast("long").alias("taken")))
-    return taken.select("doc_id", "size", "source_size", "target", "taken", "key", "sk", "sn")
+    return taken.select("doc_id", "size", "source_size", "target", F.coalesce("own", "taken").alias("taken"), "key", "sk", "sn")
 
 
 def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, slots: int = SLOTS) -> DataFrame:
