@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massweave.llm import chat, licenses, mixing, pieces, pii, quality, simhash, tokenstore, vectors
+from massweave.llm import chat, clusters, licenses, mixing, pieces, pii, quality, simhash, tokenstore, vectors
 from massweave.llm.common import importable
 from massweave.scale import scratch_path
 
@@ -100,3 +100,12 @@ def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_preferences"] = chat.SQL
+
+
+@query
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every embedding after five rounds of 40 integer centroids."""
+    return clusters.digest(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_clusters"] = clusters.SQL

@@ -49,5 +49,5 @@ def test_query_matches_sql(spark, sf, name):
     assert isinstance(out, tuple), out
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
