@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massweave.llm import chat, clusters, licenses, mixing, pieces, pii, quality, simhash, tokenstore, vectors
+from massweave.llm import chat, clusters, licenses, mixing, pieces, pii, quality, repair, simhash, tokenstore, vectors
 from massweave.llm.common import importable
 from massweave.scale import scratch_path
 
@@ -109,3 +109,12 @@ def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_clusters"] = clusters.SQL
+
+
+@query
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, damaged by a rule."""
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op11_repair"] = repair.SQL
