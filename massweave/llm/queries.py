@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massweave.llm import chat, clusters, licenses, mixing, pieces, pii, quality, repair, simhash, tokenstore, vectors
+from massweave.llm import chat, clusters, licenses, mixing, pieces, pii, quality, repair, simhash, tokenstore, toxicity, vectors
 from massweave.llm.common import importable
 from massweave.scale import scratch_path
 
@@ -118,3 +118,11 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_repair"] = repair.SQL
+
+
+@query
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, and the offsets of what makes it toxic."""
+    r = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s[0].cast("string"), s[1].cast("string"))), ",")
+    return r.select("doc_id", "held_out", "score", "predicted", text.alias("spans"))
