@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from massweave.operators import histogram as hg
 from massweave.operators.groupwise import join_on, share_of
-from massweave.scale import checked_broadcast
+from massweave.scale import checked_broadcast, stored
 
 
 def moments(df: DataFrame, by: Sequence[str], val: str) -> DataFrame:
@@ -43,65 +44,85 @@ def series_totals(draws: DataFrame, sets: Mapping[str, Sequence[str]], base: Seq
 
 
 # ---- exact order statistics ------------------------------------------------------
-def _ordered_bins(vc: DataFrame, by: Sequence[str], val: str, bins: int = 4096, per_bin: int = 200_000) -> DataFrame:
-    """Attach (`_bin`, `_sub`), ordered like the values and of limited size.
+def in_cells(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "cells") -> DataFrame:
+    """`df` in order of `by` and `order`, NULLs last, with `_cell` and `_at`, numbers that grow in this order.
 
-    Equal-width bins over the range of a series; a bin that still holds many
-    distinct values is cut again over its own range. Both levels come from
-    min, max and counts, which do not change when a task is run again.
+    Spark's range partitioner cuts by row counts, so a cell is as large as any
+    other whatever the values are; a long series spans several. The table is
+    written once: a retried task finds the same cells.
     """
-    c = F.col
-    x = c(val).cast("double")
-    lim = checked_broadcast(vc.groupBy(*by).agg(F.min(x).alias("_mn"), F.max(x).alias("_mx")))
-    cell = lambda lo, hi, k: F.when(hi > lo, F.least(F.floor((x - lo) / (hi - lo) * k), k - 1)).otherwise(F.lit(0)).cast("bigint")
-    t = join_on(vc, lim, by, "inner").withColumn("_bin", cell(c("_mn"), c("_mx"), F.lit(bins))).drop("_mn", "_mx")
-    b = t.groupBy(*by, "_bin").agg(F.min(x).alias("_bl"), F.max(x).alias("_bh"), F.ceil(F.count("*") / per_bin).alias("_k"))
-    t = join_on(t, checked_broadcast(b), [*by, "_bin"], "inner")
-    return t.withColumn("_sub", cell(c("_bl"), c("_bh"), c("_k"))).drop("_bl", "_bh", "_k")
+    keys = [F.col(c).asc_nulls_last() for c in [*by, *order]]
+    t = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return stored(t.withColumns({"_cell": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), name)
+
+
+def offsets(cells: DataFrame, by: Sequence[str], size: Column, extra: Mapping[str, Column] | None = None) -> DataFrame:
+    """Per series and cell: `_off`, the sizes of the series' cells before. One row per series and task, so the window is small."""
+    t = cells.groupBy(*by, "_cell").agg(size.alias("_t"), *[c.alias(k) for k, c in (extra or {}).items()])
+    off = F.sum("_t").over(W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)) - F.col("_t")
+    return stored(t.select(*by, "_cell", off.alias("_off"), *(extra or {})), "offsets")
 
 
 def value_ranks(df: DataFrame, by: Sequence[str], val: str) -> DataFrame:
-    """Distinct values with their count, the rows before them, and the average-tie rank.
+    """Distinct known values with their count, the rows before them, and the average-tie rank; NaN is the largest value.
 
     A `rank()` over a whole series would sort it in one task. Copies collapse
-    first (value counts), then values are ranked within ordered bins and shifted
-    by the totals of the bins before.
+    first (value counts), then values are added up within cells of equal size
+    and shifted by the totals of the cells before.
     """
-    vc = df.filter(F.col(val).isNotNull()).groupBy(*by, val).agg(F.count("*").alias("count")).persist()
-    vc = _ordered_bins(vc, by, val)
-    cell = [*by, "_bin", "_sub"]
-    tot = vc.groupBy(*cell).agg(F.sum("count").alias("_c"))
-    before = F.sum("_c").over(W.partitionBy(*by).orderBy("_bin", "_sub").rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")
-    tot = tot.select(*cell, before.alias("_off"))
-    cum = F.sum("count").over(W.partitionBy(*cell).orderBy(val).rowsBetween(W.unboundedPreceding, 0))
-    t = join_on(vc.withColumn("_cum", cum), checked_broadcast(tot), cell, "inner")
+    vc = df.filter(F.col(val).isNotNull()).groupBy(*by, val).agg(F.count("*").alias("count"))
+    vc = in_cells(vc, by, [val], "value_counts")
+    cum = F.sum("count").over(W.partitionBy(*by, "_cell").orderBy(val).rowsBetween(W.unboundedPreceding, 0))
+    t = join_on(vc.withColumn("_cum", cum), offsets(vc, by, F.sum("count")), [*by, "_cell"], "inner")
     b = F.col("_off") + F.col("_cum") - F.col("count")
     return t.select(*by, val, "count", b.alias("before"), (b + (F.col("count") + 1) / 2.0).alias("rank"))
 
 
 def avg_rank(df: DataFrame, by: Sequence[str], val: str, out: str = "rank") -> DataFrame:
-    """Average-tie rank on every row; a hot value's join is split by AQE."""
-    return join_on(df, value_ranks(df, by, val).select(*by, val, F.col("rank").alias(out)), [*by, val], "inner")
+    """Average-tie rank on every row, NULL where the value is; a hot value's join is split by AQE."""
+    return join_on(df, value_ranks(df, by, val).select(*by, val, F.col("rank").alias(out)), [*by, val], "left")
+
+
+#: A percentile's bracket reaches so many times the error of the sketch to both sides.
+BRACKET = 2
 
 
-def exact_percentiles(df: DataFrame, by: Sequence[str], val: str, qs: Mapping[str, float]) -> DataFrame:
-    """Exact percentiles (0-100) with linear interpolation, one column per name.
+def exact_percentiles(df: DataFrame, by: Sequence[str], val: str, qs: Mapping[str, float], accuracy: int = 4000) -> DataFrame:
+    """Exact percentiles (0-100) with linear interpolation, one column per name; NaN is the largest value, NULLs do not count.
 
-    Reads the two order statistics around each target off the ranked value
-    counts. (`percentile` would hold a series' whole value map in one task.)
+    Selection without a sort: a mergeable quantile sketch of each series gives a
+    bracket of values around every target. Values between brackets are only
+    counted, those within (about 4 / `accuracy` of a series per target, copies
+    once; a short series' whole) are ordered, and the two order statistics around
+    the target are read off. (`percentile` would hold a series' whole value map in one task.) The
+    sketch is written once, so both passes use the same brackets.
     """
-    vr = value_ranks(df, by, val).select(*by, F.col(val).cast("double").alias("_v"), "count", "before")
-    n = checked_broadcast(df.filter(F.col(val).isNotNull()).groupBy(*by).agg(F.count("*").alias("_n")))
-    arr = F.array(*[F.struct(F.lit(k).alias("_stat"), F.lit(float(q) / 100.0).alias("p")) for k, q in qs.items()])
-    t = join_on(vr, n, by, "inner").withColumn("_q", F.explode(arr))
-    pos = F.col("_q.p") * (F.col("_n") - 1)
-    t = t.withColumns({"_pos": pos, "_k": F.floor(pos)})
-    holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("count"))
-    low, high = holds(F.col("_k")), holds(F.least(F.col("_k") + 1, F.col("_n") - 1))
-    t = t.filter(low | high).groupBy(*by, "_q._stat", "_pos", "_k").agg(
-        F.max(F.when(low, F.col("_v"))).alias("_a"), F.max(F.when(high, F.col("_v"))).alias("_b"))
-    t = t.withColumn("_x", F.col("_a") + (F.col("_pos") - F.col("_k")) * (F.col("_b") - F.col("_a")))
-    return t.groupBy(*by).agg(*[F.max(F.when(F.col("_stat") == k, F.col("_x"))).alias(k) for k in qs])
+    names, x = list(qs), F.nanvl(F.col(val).cast("double"), F.lit(float("inf")))
+    known = df.filter(F.col(val).isNotNull()).select(*by, x.alias("_x"), F.col(val).cast("double").alias("_v"))
+    share = [min(max(float(qs[k]) / 100.0 + side * BRACKET / accuracy, 0.0), 1.0) for k in names for side in (-1, 1)]
+    cuts = known.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_x").alias("_mn"), F.max("_x").alias("_mx"),
+                                  F.percentile_approx("_x", share, accuracy).alias("_q"))
+    short = F.col("_n") <= 2 * BRACKET * accuracy             # a bracket would be narrower than a few rows
+    ends = [(F.when(short | F.lit(share[2 * i] <= 0), F.col("_mn")).otherwise(F.col("_q")[2 * i]),
+             F.when(short | F.lit(share[2 * i + 1] >= 1), F.col("_mx")).otherwise(F.col("_q")[2 * i + 1])) for i in range(len(names))]
+    cuts = stored(cuts.select(*by, "_n", *[e.alias(f"_{side}{i}") for i, lh in enumerate(ends) for side, e in zip("lh", lh)]), "brackets")
+    t = join_on(known, cuts, by, "inner")
+    inside = reduce(lambda a, b: a | b, [(F.col("_x") >= F.col(f"_l{i}")) & (F.col("_x") <= F.col(f"_h{i}")) for i in range(len(names))])
+    gap = sum((F.when(F.col("_x") > F.col(f"_h{i}"), 1).otherwise(0) for i in range(len(names))), F.lit(0))
+    t = t.groupBy(*by, F.when(~inside, gap).alias("_gap"), F.when(inside, F.col("_v")).alias("_v")).agg(
+        F.count("*").alias("count"), F.max("_x").alias("_o"), F.first("_n").alias("_n"))
+    cum = F.sum("count").over(W.partitionBy(*by).orderBy("_o").rowsBetween(W.unboundedPreceding, 0))
+    t = t.withColumn("_before", cum - F.col("count"))
+    pick = {}
+    for i, k in enumerate(names):
+        pos = F.lit(float(qs[k]) / 100.0) * (F.col("_n") - 1)
+        low = F.floor(pos)
+        holds = lambda at: (F.col("_before") <= at) & (at < F.col("_before") + F.col("count"))
+        pick |= {f"_a{i}": F.max(F.when(holds(low), F.col("_v"))), f"_b{i}": F.max(F.when(holds(F.least(low + 1, F.col("_n") - 1)), F.col("_v"))),
+                 f"_f{i}": F.max(pos - low)}
+    t = t.groupBy(*by).agg(*[c.alias(k) for k, c in pick.items()])
+    between = lambda i: F.when(F.col(f"_f{i}") == 0, F.col(f"_a{i}")).otherwise(F.col(f"_a{i}") + F.col(f"_f{i}") * (F.col(f"_b{i}") - F.col(f"_a{i}")))
+    return t.select(*by, *[between(i).alias(k) for i, k in enumerate(names)])
 
 
 TEN = {"p025": 2.5, "p25": 25, "p50": 50, "p75": 75, "p975": 97.5}
@@ -137,36 +158,37 @@ def variance_share(df: DataFrame, by: Sequence[str], parts: Sequence[str], total
     return one.unpivot(list(by), list(parts), "part", "share")
 
 
-def _rho(df: DataFrame, by: Sequence[str], x: str, y: str, ry: DataFrame, out: str) -> DataFrame:
-    """Equal (x, y) pairs collapse to one weighted row before the ranks are joined on."""
-    w = df.groupBy(*by, x, y).agg(F.count("*").alias("_w"))
-    rx = value_ranks(df, by, x).select(*by, x, F.col("rank").alias("_rx"))
-    j = join_on(join_on(w, rx, [*by, x], "inner"), ry, [*by, y], "inner")
-    n = checked_broadcast(df.groupBy(*by).agg(F.count("*").alias("_n")))
-    j = join_on(j, n, by, "inner")
-    mid = (F.col("_n") + 1) / 2.0
-    dx, dy, wt = F.col("_rx") - mid, F.col("_ry") - mid, F.col("_w")
-    den = F.sqrt(F.sum(wt * dx * dx) * F.sum(wt * dy * dy))
-    return j.groupBy(*by).agg((F.sum(wt * dx * dy) / F.nullif(den, F.lit(0.0))).alias(out))
+def ranked(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """(by..., column, value, rank): average-tie ranks of all `cols`, from one ordered pass over their value counts."""
+    long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("_col"), F.col(c).cast("double").alias("_val")) for i, c in enumerate(cols)])).alias("_e"))
+    return value_ranks(long.select(*by, "_e.*"), [*by, "_col"], "_val")
+
+
+def _rhos(df: DataFrame, by: Sequence[str], drivers: Sequence[str], result: str) -> DataFrame:
+    """(by..., driver, rho) of complete rows: equal (driver, result) pairs are one weighted row, ranks are joined on once for all drivers."""
+    ranks = ranked(df, by, [*drivers, result]).select(*by, "_col", "_val", "rank")
+    pair = F.explode(F.array(*[F.struct(F.lit(i).alias("_col"), F.col(d).cast("double").alias("_val")) for i, d in enumerate(drivers)])).alias("_e")
+    w = df.select(*by, F.col(result).cast("double").alias("_y"), pair).select(*by, "_y", "_e.*").groupBy(*by, "_col", "_val", "_y").agg(F.count("*").alias("_w"))
+    rx = ranks.filter(F.col("_col") < len(drivers)).withColumnRenamed("rank", "_rx")
+    ry = ranks.filter(F.col("_col") == len(drivers)).select(*by, F.col("_val").alias("_y"), F.col("rank").alias("_ry"))
+    j = join_on(join_on(w, rx, [*by, "_col", "_val"], "inner"), ry, [*by, "_y"], "inner")
+    wt, x, y = F.col("_w"), F.col("_rx"), F.col("_ry")
+    t = j.groupBy(*by, "_col").agg(F.sum(wt).alias("_n"), *[F.sum(wt * a * b).alias(n) for n, a, b in (("_xy", x, y), ("_xx", x, x), ("_yy", y, y))])
+    mid = F.col("_n") * ((F.col("_n") + 1) / 2.0) * ((F.col("_n") + 1) / 2.0)      # ranks of any column have this mean
+    spread = lambda c: F.when(F.col(c) - mid > mid * 1e-13, F.col(c) - mid)        # NULL where only rounding is left
+    den = F.sqrt(spread("_xx") * spread("_yy"))
+    name = F.element_at(F.array(*[F.lit(d) for d in drivers]), F.col("_col") + 1)
+    return t.select(*by, name.alias("driver"), ((F.col("_xy") - mid) / den).alias("rho"))
 
 
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, out: str = "rho") -> DataFrame:
     """Correlation of average-tie ranks over the rows where both values are known."""
-    df = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return _rho(df, by, x, y, value_ranks(df, by, y).select(*by, y, F.col("rank").alias("_ry")), out)
+    return _rhos(df.select(*by, x, y).na.drop(subset=[x, y]), by, [x], y).select(*by, F.col("rho").alias(out))
 
 
 def rho_shares(df: DataFrame, by: Sequence[str], drivers: Sequence[str], result: str) -> DataFrame:
-    """Spearman rho of each driver with the result, and rho^2 over the sum of rho^2.
-
-    The result is ranked once for all drivers, over rows where all are known.
-    """
-    df = df.select(*by, *drivers, result).na.drop(subset=[*drivers, result])
-    ry = value_ranks(df, by, result).select(*by, result, F.col("rank").alias("_ry"))
-    t = None
-    for d in drivers:
-        s = _rho(df, by, d, result, ry, "rho").withColumn("driver", F.lit(d))
-        t = s if t is None else t.unionByName(s)
+    """Spearman rho of each driver with the result, and rho^2 over the sum of rho^2, over rows where all are known."""
+    t = _rhos(df.select(*by, *drivers, result).na.drop(subset=[*drivers, result]), by, drivers, result)
     t = t.withColumn("_r2", F.coalesce(F.col("rho") * F.col("rho"), F.lit(0.0)))
     return share_of(t, by, "_r2", "share", bounded=True).drop("_r2")
 

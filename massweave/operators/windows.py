@@ -10,24 +10,19 @@ from pyspark.sql import functions as F
 
 from massweave.operators.cleaning import first_per_key
 from massweave.operators.groupwise import at_base, join_on, share_of
-from massweave.operators.stats import avg_rank, value_ranks
-from massweave.scale import checked_broadcast
+from massweave.operators.stats import avg_rank, in_cells, offsets
 
 
 def running_sum(df: DataFrame, by: Sequence[str], order: str, val: str, out: str = "running") -> DataFrame:
-    """Running sum along an ordered series of unique positions.
+    """Running sum along an ordered series of unique positions, a NULL position last.
 
-    Positions are cut into equal ranges; each range sums on its own and starts
-    from the totals of the ranges before, so a long series is not one task.
+    Each cell of neighbouring rows sums on its own and starts from the totals of
+    the cells before, so a long series is not one task, however its positions lie.
     """
-    b = df.groupBy(*by).agg(F.min(order).alias("_mn"), F.max(order).alias("_mx"))
-    t = join_on(df, checked_broadcast(b), by, "inner")
-    t = t.withColumn("_bin", F.least(F.floor((F.col(order) - F.col("_mn")) * 64 / F.greatest(F.col("_mx") - F.col("_mn"), F.lit(1))), F.lit(63)))
-    tot = t.groupBy(*by, "_bin").agg(F.sum(val).alias("_t"))
-    off = F.sum("_t").over(W.partitionBy(*by).orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)) - F.col("_t")
-    tot = checked_broadcast(tot.select(*by, "_bin", off.alias("_off")))
-    loc = F.sum(val).over(W.partitionBy(*by, "_bin").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    return join_on(t.withColumn("_l", loc), tot, [*by, "_bin"], "inner").withColumn(out, F.col("_off") + F.col("_l")).drop("_mn", "_mx", "_bin", "_l", "_off")
+    t = in_cells(df, by, [order])
+    loc = F.sum(val).over(W.partitionBy(*by, "_cell").orderBy("_at").rowsBetween(W.unboundedPreceding, 0))
+    t = join_on(t.withColumn("_l", loc), offsets(t, by, F.coalesce(F.sum(val), F.lit(0))), [*by, "_cell"], "inner")
+    return t.withColumn(out, F.col("_off") + F.coalesce("_l", F.lit(0))).drop("_cell", "_at", "_off", "_l")
 
 
 def neighbour(df: DataFrame, by: Sequence[str], order: str, val: str) -> DataFrame:
@@ -39,15 +34,15 @@ def neighbour(df: DataFrame, by: Sequence[str], order: str, val: str) -> DataFra
 
 
 def row_id(df: DataFrame, by: Sequence[str], order: str, tie: Sequence[str] = (), out: str = "row_id") -> DataFrame:
-    """Stable 1-based row number per key (or over everything, with no key).
+    """Stable 1-based row number per key (or over everything, with no key); NULL order values come last.
 
-    A value's first number comes from the ranked value counts; only rows that
-    share the value are numbered among themselves.
+    Rows are ordered once, over all tasks; a row's number is its place in its
+    task plus the rows of its key in the tasks before. No value is numbered in
+    one task unless its rows are equal in `tie` too.
     """
-    vr = value_ranks(df, by, order).select(*by, order, "before")
-    w = W.partitionBy(*by, order).orderBy(*(tie or [order]))
-    t = join_on(df.withColumn("_r", F.row_number().over(w)), vr, [*by, order], "inner")
-    return t.withColumn(out, F.col("before") + F.col("_r")).drop("_r", "before")
+    t = in_cells(df, by, [order, *tie])
+    t = join_on(t, offsets(t, by, F.count("*"), {"_first": F.min("_at")}), [*by, "_cell"], "inner")
+    return t.withColumn(out, F.col("_off") + F.col("_at") - F.col("_first") + 1).drop("_cell", "_at", "_off", "_first")
 
 
 def next_rate(df: DataFrame, by: Sequence[str], year: str, val: str, base_year: int) -> DataFrame:

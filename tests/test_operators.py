@@ -37,16 +37,61 @@ def test_exact_percentiles_on_skew(skewed):
         assert np.allclose([got[k].p025, got[k].p50, got[k].p975], want, rtol=1e-12)
 
 
-def test_value_ranks_with_second_level(skewed, spark):
+def test_avg_rank(skewed):
     pdf, df = skewed
-    vc = df.groupBy("k", "v").agg(F.count("*").alias("count"))
-    b = st._ordered_bins(vc, ["k"], "v", bins=4, per_bin=50).toPandas().sort_values(["k", "v"])
-    for _, g in b.groupby("k"):
-        cells = list(zip(g._bin, g._sub))
-        assert cells == sorted(cells)
     r = wn.avg_rank(df, ["k"], "v").toPandas().set_index("id")["rank"]
-    want = pdf.groupby("k").v.rank()
-    assert np.allclose(r.sort_index(), want.sort_index())
+    assert np.allclose(r.sort_index(), pdf.groupby("k").v.rank().sort_index())
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """A lognormal series, one with NaN, one of a single value, one with NULLs and one of NULLs only."""
+    rng = np.random.default_rng(11)
+    rows = [("log", float(np.exp(x)), i) for i, x in enumerate(rng.normal(0, 6, 30000))]
+    rows += [("nan", float("nan") if i % 3 == 0 else float(i % 50), 100000 + i) for i in range(3000)]
+    rows += [("one", 4.5, 200000 + i) for i in range(20000)]
+    rows += [("null", None if i % 2 else float(i), 300000 + i) for i in range(1000)] + [("none", None, 400000 + i) for i in range(10)]
+    return rows, spark.createDataFrame(rows, "k string, v double, id long").repartition(8)
+
+
+def test_cells_hold_alike_many_rows(odd):
+    rows, df = odd
+    sizes = [r["count"] for r in st.in_cells(df, ["k"], ["v", "id"]).groupBy("_cell").count().collect()]
+    assert max(sizes) < 2.5 * len(rows) / len(sizes)
+
+
+def test_ranks_keep_null_rows(odd):
+    rows, df = odd
+    pdf = pd.DataFrame(rows, columns=["k", "v", "id"]).set_index("id")
+    got = wn.avg_rank(df, ["k"], "v").toPandas().set_index("id").sort_index()
+    assert len(got) == len(rows)
+    known = [i for i, (_, v, _) in zip(pdf.index, rows) if v is not None]
+    want = pdf.loc[known].v.fillna(np.inf).groupby(pdf.k).rank()
+    assert np.allclose(got.loc[want.index, "rank"], want) and got.drop(index=known)["rank"].isna().all()
+    ids = wn.row_id(df, ["k"], "v", ["id"]).toPandas()
+    for k, g in ids.groupby("k"):
+        assert sorted(g.row_id) == list(range(1, len(g) + 1))
+    order = {r.id: r.row_id for r in ids.itertuples()}
+    for k in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is None, r[1] is not None and r[1] != r[1], r[1] if r[1] is not None and r[1] == r[1] else 0, r[2]))
+        assert [order[r[2]] for r in mine] == list(range(1, len(mine) + 1))
+
+
+def test_percentiles_of_odd_series(odd):
+    rows, df = odd
+    got = {r.k: r for r in st.exact_percentiles(df, ["k"], "v", {"a": 0, "b": 2.5, "c": 50, "d": 97.5, "e": 100}).collect()}
+    assert set(got) == {"log", "nan", "one", "null"}
+    for k in ("log", "one", "null"):
+        v = np.array([r[1] for r in rows if r[0] == k and r[1] is not None])
+        assert np.allclose([*got[k]][1:], np.percentile(v, [0, 2.5, 50, 97.5, 100]), rtol=1e-12)
+    v = np.sort(np.array([r[1] for r in rows if r[0] == "nan"]))               # NaN sorts last
+    assert got["nan"].a == 0 and got["nan"].c == v[1499] + 0.5 * (v[1500] - v[1499]) and np.isnan(got["nan"].e)
+
+
+def test_running_sum_of_uneven_positions(spark):
+    rows = [("a", 2 ** i, 1) for i in range(50)] + [("a", None, 7), ("b", 5, None), ("b", 6, 3)]
+    got = {(r.k, r.o): r.running for r in wn.running_sum(spark.createDataFrame(rows, "k string, o long, n long"), ["k"], "o", "n").collect()}
+    assert [got["a", 2 ** i] for i in range(50)] == list(range(1, 51)) and got["a", None] == 57 and got["b", 5] == 0 and got["b", 6] == 3
 
 
 def test_row_id(skewed):
