@@ -60,45 +60,75 @@ def unknown_labels(df: DataFrame, col: str) -> DataFrame:
             .agg(F.count("*").alias("n")))
 
 
-def matches(text, pattern: str):
-    """`text` matches `pattern` anywhere; alternatives "a" and "a.*b" of plain words by substring search.
+PLAIN = re.compile(r"[\w /-]+(\.\*[\w /-]+)*")
 
-    White space is normalised before, so "." meets no line end.
+
+def alternatives(pattern: str) -> tuple[list[list[str]], list[str]]:
+    """A pattern's alternatives: those of plain words in order ("a" or "a.*b"), and the others."""
+    alts = pattern.split("|")
+    rest = [a for a in alts if not PLAIN.fullmatch(a)]
+    if any(set("()[]") & set(a) for a in rest):
+        return [], [pattern]
+    return [a.split(".*") for a in alts if PLAIN.fullmatch(a)], rest
+
+
+def any_word(words: Sequence[str]) -> str:
+    """A regular expression that finds the longest of `words` at a place, by their common beginnings."""
+    heads = sorted({w[0] for w in words if w})
+    parts = [re.escape(h) + any_word([w[1:] for w in words if w.startswith(h)]) for h in heads]
+    if not parts:
+        return ""
+    tree = f"(?:{'|'.join(parts)})"
+    return tree + "?" if "" in words else tree
+
+
+def words_in(text: Column, words: Sequence[str]) -> Column:
+    """The distinct `words` that stand anywhere in `text`, the longest at each place: one pass, whatever the number of words."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({any_word(words)}))"), 1))
+
+
+def matches(text: Column, pattern: str, found: Column, words: Sequence[str]) -> Column:
+    """`text` matches `pattern` anywhere, given the `words` `found` in it.
+
+    White space is normalised before, so "." meets no line end. The order of
+    "a.*b" is looked up only where both stand in the text.
     """
-    plain, rest = [], []
-    for alt in pattern.split("|"):
-        (plain if re.fullmatch(r"[\w /-]+(\.\*[\w /-]+)*", alt) else rest).append(alt)
-    if any(set("()[]") & set(alt) for alt in rest):
-        return text.rlike(pattern)
-    hit = text.rlike("|".join(rest)) if rest else None
+    plain, rest = alternatives(pattern)
+    hit = F.coalesce(text.rlike("|".join(rest)), F.lit(False)) if rest else F.lit(False)
     for alt in plain:
-        words = alt.split(".*")
-        at, end = F.locate(words[0], text), len(words[0])
-        for w in words[1:]:
-            at, end = F.when(at > 0, F.call_function("locate", F.lit(w), text, at + end)), len(w)
-        hit = F.coalesce(at > 0, F.lit(False)) if hit is None else hit | F.coalesce(at > 0, F.lit(False))
-    return F.coalesce(hit, F.lit(False))
+        ok = F.lit(True)
+        for w in alt:
+            ok = ok & F.arrays_overlap(found, F.array(*[F.lit(x) for x in words if x.startswith(w)]))
+        if len(alt) > 1:
+            at, end = F.locate(alt[0], text), len(alt[0])
+            for w in alt[1:]:
+                at, end = F.when(at > 0, F.call_function("locate", F.lit(w), text, at + end)), len(w)
+            ok = ok & F.coalesce(at > 0, F.lit(False))
+        hit = hit | ok
+    return hit
 
 
 def classify(df: DataFrame, domain: str, component: str, rules: Sequence[tuple[str, str, str]],
              default: str, out: str = "category") -> DataFrame:
     """First matching rule wins; one CASE over the row, no UDF and no join.
 
-    Alternatives of plain words, in order along the text, are looked up with
-    contains and locate, which take time linear in the text; others stay regular
-    expressions. A rule for the default at the end is left out.
+    A text is read once for the words of all its rules; rules then test the few
+    words found. Other expressions stay regular expressions. A rule for the
+    default at the end is left out.
     """
     while rules and rules[-1][2] == default:
         rules = rules[:-1]
     d = F.lower(F.trim(F.coalesce(F.col(domain), F.lit(""))))
     c = F.lower(F.trim(F.coalesce(F.col(component), F.lit(""))))
     t = df.withColumns({"_d": d, "_c": c}).withColumn("_b", F.concat_ws(" ", "_d", "_c"))
-    text = {"domain": F.col("_d"), "component": F.col("_c"), "both": F.col("_b")}
+    text = {"domain": "_d", "component": "_c", "both": "_b"}
+    words = {k: sorted({w for target, p, _ in rules if target == k for alt in alternatives(p)[0] for w in alt}) for k in text}
+    t = t.withColumns({f"{text[k]}w": words_in(F.col(text[k]), w) for k, w in words.items() if w})
     expr = None
     for target, pattern, label in rules:
-        hit = matches(text[target], pattern)
+        hit = matches(F.col(text[target]), pattern, F.col(f"{text[target]}w"), words[target])
         expr = F.when(hit, label) if expr is None else expr.when(hit, label)
-    return t.withColumn(out, expr.otherwise(default)).drop("_d", "_c", "_b")
+    return t.withColumn(out, expr.otherwise(default) if expr is not None else F.lit(default)).drop("_d", "_c", "_b", "_dw", "_cw", "_bw")
 
 
 def any_positive(df: DataFrame, cols: Sequence[str]) -> DataFrame:
