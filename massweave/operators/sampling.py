@@ -116,6 +116,29 @@ def sensor_streams(vehicles: DataFrame, vehicle: str = "vehicle", seed: int = 42
     return vehicles.withColumns({f"u_{v}_{s}": dr.stream(seed, v, vehicle, F.lit(s)) for s in lit.TIER_COUNT_TYPES for v in ("sensors", "metres")})
 
 
+def scenario_multiplier(u: Column, at: Column, scenarios: Mapping[str, tuple[Sequence[float], float]] = lit.SCENARIOS,
+                        years: Sequence[float] = lit.SCENARIO_YEARS, pinned: str | None = None) -> Column:
+    """Multiplier of the scenario that `u` picks by weight (or the pinned one) at the position `at` on its years.
+
+    Each scenario's curve is an array, linear between its years and flat
+    outside, so a draw keeps its scenario over all years and no row is joined.
+    """
+    name = dr.pick(u, {n: w for n, (_, w) in scenarios.items()}, pinned)
+    curves = F.create_map(*[x for n, (v, _) in scenarios.items() for x in (F.lit(n), F.array(*[F.lit(float(y)) for y in v]))])
+    curve = F.element_at(curves, name)
+    out = curve[len(years) - 1]
+    for i in reversed(range(len(years) - 1)):
+        f = (at - F.lit(float(years[i]))) / F.lit(float(years[i + 1] - years[i]))
+        out = F.when(at < F.lit(float(years[i + 1])), curve[i] + F.greatest(f, F.lit(0.0)) * (curve[i + 1] - curve[i])).otherwise(out)
+    return out
+
+
+def zonal_multiplier(u: str, state: Column, triple: Sequence[float] = lit.ZONAL_METRES) -> Column:
+    """Metres per sensor by architecture: 1 conventional, half of the drawn saving transitional, all of it zonal."""
+    f = dr.triangular(u, *[F.lit(float(x)) for x in triple])
+    return F.when(state == 0, F.lit(1.0)).when(state == 1, F.lit(1.0) - (F.lit(1.0) - f) / F.lit(2.0)).otherwise(f)
+
+
 def sensor_length(states: DataFrame, counts: DataFrame, metres: DataFrame) -> DataFrame:
     """Metres of sensor wiring per vehicle and year, as row arithmetic.
 
@@ -124,7 +147,7 @@ def sensor_length(states: DataFrame, counts: DataFrame, metres: DataFrame) -> Da
     per sensor type. Count and metres are drawn once per vehicle and held over
     years. The types are columns, so nothing is multiplied out or shuffled.
     """
-    j = states.join(F.broadcast(counts), ["segment", "tier"]).join(checked_broadcast(metres), "segment")
+    j = states.join(F.broadcast(counts), ["segment", "tier"]).join(metres, "segment")
     types = lit.TIER_COUNT_TYPES
     j = dr.draw_uniforms(j, {**{f"_un_{s}": (f"u_sensors_{s}", "tier") for s in types}, **{f"_um_{s}": (f"u_metres_{s}", F.lit(0)) for s in types}})
     tri = lambda u, p, s: dr.triangular(f"{u}_{s}", *[f"{p}_{s}_{b}" for b in ("lo", "mode", "hi")])

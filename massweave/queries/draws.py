@@ -277,15 +277,42 @@ def arch(spark, sf):
     return with_arch(over_years(arch_streams(qc.vehicles(spark, sf))), spark, sf).drop("delta")
 
 
+# the scenarios' years, laid over the years of the given tables
+SCENARIO_SPAN = lit.SCENARIO_YEARS[-1] - lit.SCENARIO_YEARS[0]
+AXIS_SQL = f"({float(lit.SCENARIO_YEARS[0])}::DOUBLE + (t.year - {Y0}) * {SCENARIO_SPAN / (Y1 - Y0)!r}::DOUBLE)"
+
+
+
+def scenario_axis():
+    return F.lit(float(lit.SCENARIO_YEARS[0])) + (F.col("year") - Y0) * F.lit(SCENARIO_SPAN / (Y1 - Y0))
+
+
+def scenario_sql(u):
+    """One row of the piecewise curve per scenario and stretch of years."""
+    out, edge = [], 0.0
+    for n, (v, w) in lit.SCENARIOS.items():
+        edge += w
+        x = lit.SCENARIO_YEARS
+        steps = " ".join(f"WHEN {AXIS_SQL} < {float(x[i + 1])}::DOUBLE THEN {v[i]!r}::DOUBLE + ({AXIS_SQL} - {float(x[i])}::DOUBLE) / {float(x[i + 1] - x[i])}::DOUBLE * {v[i + 1] - v[i]!r}::DOUBLE" for i in range(len(x) - 1))
+        out.append(f"WHEN {u} < {edge!r}::DOUBLE THEN CASE {steps} ELSE {v[-1]!r}::DOUBLE END")
+    return "CASE " + " ".join(out) + " END"
+
+
+def zonal_sql(state, u):
+    f = sql_tri(u, *[f"{x}::DOUBLE" for x in lit.ZONAL_METRES])
+    return f"CASE {state} WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 1 - (1 - {f}) / 2 ELSE {f} END"
+
+
 def fleet(spark, sf):
     """Tier, architecture state and lidar of every vehicle and year, on the same rows: no join between vehicles."""
-    v = arch_streams(sp.sensor_streams(lidar_vehicles(spark, sf)))
+    v = arch_streams(sp.sensor_streams(lidar_vehicles(spark, sf))).withColumns({f"u_{n}": dr.keyed_uniform(42, n, "vehicle") for n in ("scenario", "zonal")})
     wide = cv.wide_curve(qc.shares(spark, sf), ["segment"], "state", "share", STATES)
     d = cv.shift_curve(over_years(v), wide, ["segment"], "delta", (Y0, Y1), STATES)
     d = d.withColumn("tier", dr.comonotonic_state("u", STATES).cast("int")).drop(*STATES)
     d = with_lidar(with_arch(d, spark, sf), spark, sf)
     return d.withColumns({"equipped": F.when(dr.bernoulli("e", "lidar_share"), 1.0).otherwise(0.0),
-                          "mult": 1 + (F.col("year") - Y0) * F.lit(0.01), "arch_mult": F.lit(0.9)}).drop("e", "u", "delta", "lidar_share")
+                          "mult": sp.scenario_multiplier(F.col("u_scenario"), scenario_axis()), "arch_mult": sp.zonal_multiplier("u_zonal", F.col("state"))}
+                         ).drop("e", "u", "delta", "lidar_share", "u_scenario", "u_zonal")
 
 
 # wire categories: one per part brand, with a base length and a depth factor
@@ -333,11 +360,11 @@ COUNT_TABLE_SQL = "tcounts(segment, tier, sensor, n_lo, n_mode, n_hi) AS (VALUES
     for (seg, t), v in lit.TIER_COUNTS.items() for i, st in enumerate(lit.TIER_COUNT_TYPES)) + ")"
 METRES_SQL = "metres AS (SELECT " + SEG_SQL + """ AS segment, CASE l_linenumber % 4 WHEN 0 THEN 'camera' WHEN 1 THEN 'radar' WHEN 2 THEN 'ultrasonic' ELSE 'lidar' END AS sensor,
    min(l_quantity) AS m_lo, avg(l_quantity) AS m_mode, max(l_quantity) AS m_hi FROM lineitem GROUP BY ALL)"""
-SENSOR_LEN_SQL = TIERED_SQL + ", " + LIDAR_SQL.split("anchors AS", 1)[0] + LIDAR_SQL[len(qc.CURVE_SQL) + 2:] + ", " + COUNT_TABLE_SQL + ", " + METRES_SQL + f""",
+SENSOR_LEN_SQL = TIERED_SQL + ", " + LIDAR_SQL.split("anchors AS", 1)[0] + LIDAR_SQL[len(qc.CURVE_SQL) + 2:] + ", " + ARCH_SQL[:ARCH_SQL.index(qc.VEHICLES_SQL)] + ARCH_SQL[ARCH_SQL.index(qc.VEHICLES_SQL) + len(qc.VEHICLES_SQL) + 1:].lstrip() + ", " + COUNT_TABLE_SQL + ", " + METRES_SQL + f""",
  eq AS (SELECT vehicle, year, CASE WHEN e < share THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS equipped FROM lidar),
  slen AS (SELECT t.segment, t.vehicle, t.year, sum({sql_tri(sql_at(sql_md5(42, 'sensors', 't.vehicle', 'c.sensor'), 't.tier'), 'n_lo', 'n_mode', 'n_hi')} * CASE WHEN c.sensor = 'lidar' THEN equipped ELSE 1.0::DOUBLE END
-   * (1 + (t.year - {Y0}) * 0.01::DOUBLE) * {sql_tri(sql_at(sql_md5(42, 'metres', 't.vehicle', 'c.sensor'), '0'), 'm_lo', 'm_mode', 'm_hi')} * 0.9::DOUBLE) AS length_m
-   FROM tiered t JOIN eq ON eq.vehicle = t.vehicle AND eq.year = t.year JOIN tcounts c ON c.segment = t.segment AND c.tier = t.tier JOIN metres m ON m.segment = c.segment AND m.sensor = c.sensor GROUP BY ALL)"""
+   * {scenario_sql(sql_keyed(42, 'scenario', 't.vehicle'))} * {sql_tri(sql_at(sql_md5(42, 'metres', 't.vehicle', 'c.sensor'), '0'), 'm_lo', 'm_mode', 'm_hi')} * {zonal_sql('a.state', sql_keyed(42, 'zonal', 't.vehicle'))}) AS length_m
+   FROM tiered t JOIN eq ON eq.vehicle = t.vehicle AND eq.year = t.year JOIN arch a ON a.vehicle = t.vehicle AND a.year = t.year JOIN tcounts c ON c.segment = t.segment AND c.tier = t.tier JOIN metres m ON m.segment = c.segment AND m.sensor = c.sensor GROUP BY ALL)"""
 
 
 def metres(spark, sf):

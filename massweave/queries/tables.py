@@ -197,8 +197,7 @@ _seg = lambda m: "CASE segment " + " ".join(f"WHEN '{s}' THEN {v!r}::DOUBLE" for
 _V = lambda v, *k: sql_keyed(42, v, *k)
 # the vehicle CTEs are shared by both parts, so each is stated once
 _slen = qd.SENSOR_LEN_SQL
-_arch = qd.ARCH_SQL[:qd.ARCH_SQL.index(qc.VEHICLES_SQL)] + qd.ARCH_SQL[qd.ARCH_SQL.index(qc.VEHICLES_SQL) + len(qc.VEHICLES_SQL) + 1:].lstrip()
-K09_SQL = _slen + ", " + _arch + ", " + qd.CATS_SQL + f""",
+K09_SQL = _slen + ", " + qd.CATS_SQL + f""",
  h3 AS (SELECT segment, year, share, max(CASE WHEN year = 1997 THEN share END) OVER (PARTITION BY segment) AS base FROM shares WHERE state = 'H3'),
  bs AS (SELECT segment, avg(Conventional) AS b0, avg(Transitional) AS b1, avg(SDV_Zonal) AS b2 FROM arch WHERE year = 1997 GROUP BY 1),
  lm AS (SELECT segment, avg(CASE WHEN year = 1997 THEN length_m END) AS lm FROM slen GROUP BY 1),
