@@ -24,6 +24,12 @@ def first_per_key(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> Dat
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def first_k(df: DataFrame, by: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
+    """The first k rows per key in an explicit order; tasks keep k per key before the shuffle."""
+    w = W.partitionBy(*by).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
+
+
 def dedup_exact(df: DataFrame, cols: Sequence[str], order: Sequence[str]) -> DataFrame:
     return first_per_key(df, cols, order)
 

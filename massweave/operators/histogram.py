@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from massweave.operators.groupwise import join_on
 from massweave.plans.literals import N_COARSE_BINS, N_FINE_BINS, PILOT_PAD
-from massweave.scale import checked_broadcast
+from massweave.scale import checked_broadcast, stored
 
 
 def finite(val: str) -> Column:
@@ -55,6 +55,37 @@ def moments_and_range(df: DataFrame, by: Sequence[str], val: str, pilot: Column
     return _widen(g, by, pad, bins, ["n", "mean", "std", "min", "max"]).persist()
 
 
+def fused_stats(df: DataFrame, by: Sequence[str], val: str, pilot: Column, pad: float = PILOT_PAD, bins: int = N_FINE_BINS) -> tuple[DataFrame, DataFrame]:
+    """Histogram and exact moments (n, mean, std, min, max) of each series, from one aggregation over all rows.
+
+    The `pilot` rows are aggregated first and set each series' range and number.
+    Then a row is its series' number, a bin and sums, so the keys of the one
+    large aggregation are two numbers and its result has at most `bins` rows a
+    series. Values out of range are counted in the end bins. A series without a
+    pilot row keeps its moments; it has one bin without a range, so its
+    percentiles are NULL. NULL, NaN and infinite values do not count.
+    """
+    v = F.col(val).cast("double")
+    known = df.filter(finite(val))
+    rng = _widen(known.filter(pilot).groupBy(*by).agg(F.min(v).alias("_mn"), F.max(v).alias("_mx")), by, pad, bins)
+    rng = stored(rng.select(*by, "lo", "width", F.row_number().over(W.orderBy(*by)).alias("_s")), "ranges")      # one row a series
+    t = join_on(known.select(*by, v.alias("_v")), rng, by, "left")
+    i = F.floor((F.col("_v") - F.col("lo")) / F.col("width"))
+    u = F.col("_v") - F.coalesce("lo", F.lit(0.0))
+    other = {f"_o_{k}": F.when(F.col("_s").isNull(), F.col(k)) for k in by}
+    cells = t.select("_s", i.alias("_i"), u.alias("_u"), *[c.alias(k) for k, c in other.items()]).groupBy(
+        "_s", *other, F.least(F.greatest(F.col("_i"), F.lit(0)), F.lit(bins - 1)).cast("bigint").alias("bin")).agg(
+        F.count("*").alias("count"), F.count_if(F.col("_i") < 0).alias("under"), F.count_if(F.col("_i") >= bins).alias("over"),
+        F.sum("_u").alias("_s1"), F.sum(F.col("_u") * F.col("_u")).alias("_s2"), F.min("_u").alias("_lo"), F.max("_u").alias("_hi"))
+    cells = stored(cells, "cells").join(rng, "_s", "left")
+    cells = cells.select(*[F.coalesce(F.col(k), F.col(f"_o_{k}")).alias(k) for k in by], "lo", "width", "bin", "count", "under", "over", "_s1", "_s2", "_lo", "_hi")
+    n, base = F.sum("count"), F.coalesce(F.first("lo"), F.lit(0.0))
+    m = F.sum("_s1") / n
+    moments = cells.groupBy(*by).agg(n.alias("n"), (base + m).alias("mean"), F.sqrt(F.greatest(F.sum("_s2") / n - m * m, F.lit(0.0))).alias("std"),
+                                     (base + F.min("_lo")).alias("min"), (base + F.max("_hi")).alias("max"))
+    return cells.select(*by, "lo", "width", "bin", "count", "under", "over"), moments
+
+
 def exact_range(df: DataFrame, by: Sequence[str], val: str, bins: int) -> DataFrame:
     """Bin range from min to max; a constant series gets a unit range around it."""
     g = df.filter(finite(val)).groupBy(*by).agg(F.min(val).cast("double").alias("lo"), F.max(val).cast("double").alias("hi"))

@@ -160,8 +160,8 @@ def wiring_rows(fleet: DataFrame, cats: DataFrame, volt: DataFrame, uplift: Mapp
                 calibration: Mapping[str, float], base_year: int, seed: int = 42) -> DataFrame:
     """Length and copper of every vehicle, category and year.
 
-    fleet: segment, vehicle, year, state, shares of the three states, length_m
-    (sensor wiring); cats: category, ix, grp, base_m, sdv, g_lo, g_hi; volt:
+    fleet: segment, vehicle, pilot, year, state, shares of the three states,
+    length_m (sensor wiring); cats: category, ix, grp, base_m, sdv, g_lo, g_hi; volt:
     segment, year, share, base (the share at the base year).
 
     Sensor categories follow the sensor length, anchored by the ensemble mean
@@ -172,12 +172,13 @@ def wiring_rows(fleet: DataFrame, cats: DataFrame, volt: DataFrame, uplift: Mapp
     """
     c, k = F.col, dr.keyed_uniform
     pick = lambda m: F.coalesce(*[F.when(c("segment") == s, F.lit(float(v))) for s, v in m.items()])
-    adas = c("grp") == "ADAS / Sensor"
     at_base = lambda x: F.avg(F.when(c("year") == base_year, c(x)))
     means = {"_lm": at_base("length_m"), **{f"b_{s}": at_base(s) for s in lit.ARCH_STATES}}
-    t = gw.with_group(fleet.select("segment", "vehicle", "year", "state", "length_m", *lit.ARCH_STATES), ["segment"], means).drop(*lit.ARCH_STATES)
-    t = t.join(checked_broadcast(volt), ["segment", "year"]).withColumn("hv", F.lit(1.0))
+    t = gw.with_group(fleet.select("segment", "vehicle", "pilot", "year", "state", "length_m", *lit.ARCH_STATES), ["segment"], means).drop(*lit.ARCH_STATES)
+    t = t.join(volt, ["segment", "year"]).withColumn("hv", F.lit(1.0))
     t = sp.apply_reduction(t, "hv", c("share"), c("base"), lit.HV_CU_REDUCTION, ["vehicle"], seed).drop("share", "base")
+    # one row per vehicle: what is drawn per category does not depend on the year
+    t = t.groupBy("segment", "vehicle", "pilot").agg(F.collect_list(F.struct("year", "state", "length_m", "hv")).alias("_y"), *[F.first(m).alias(m) for m in means])
     t = t.withColumn("_ud", k(seed, "depth", "vehicle"))
     t = t.withColumns({"depth": dr.triangular("_ud", F.lit(0.4), F.lit(0.7), F.lit(1.0)),
                        "shared": dr.normal(k(seed, "veh1", "vehicle"), k(seed, "veh2", "vehicle"), 1.0, lit.CV_VEHICLE)})
@@ -185,19 +186,27 @@ def wiring_rows(fleet: DataFrame, cats: DataFrame, volt: DataFrame, uplift: Mapp
     t = t.crossJoin(checked_broadcast(cats))                        # the categories of one harness
     t = dr.draw_uniforms(t, {"_c1": ("u_cat1", "ix"), "_c2": ("u_cat2", "ix"), "_ug": ("u_gauge", "ix")})
 
-    conv = F.when(adas, F.lit(1.0)).otherwise(pick(uplift))
-    deep = F.when(c("sdv") < 1.0, F.greatest(F.lit(0.0), F.lit(1.0) - (F.lit(1.0) - c("sdv")) * c("depth"))).otherwise(c("sdv"))
-    t = t.withColumns({"l0": conv, "l1": F.lit(1.0), "l2": deep})
-    t = t.withColumn("fac", F.element_at(F.array("l0", "l1", "l2"), c("state") + 1))
-    t = cv.anchor_to_base(t, "fac", base_year, "expected", shares={f"b_{s}": f"l{i}" for i, s in enumerate(lit.ARCH_STATES)})
+    adas = c("grp") == "ADAS / Sensor"
     cv_ind = (lit.CV_CATEGORY ** 2 - lit.CV_VEHICLE ** 2) ** 0.5
     own = dr.normal("_c1", "_c2", 1.0, cv_ind)
-    metres = c("base_m") * pick(calibration) * F.greatest(c("shared") * own, F.lit(lit.VARIABILITY_FLOOR))
-    factor = F.when(adas, c("length_m") / F.greatest(c("_lm"), F.lit(1e-9))).otherwise(c("fac"))
-    t = t.withColumn("length", F.greatest(metres * factor, F.lit(0.0)))
     gauge = dr.triangular("_ug", c("g_lo"), (c("g_lo") + c("g_hi")) / 2.0, F.greatest(c("g_hi"), c("g_lo") + 1e-9))
-    rate = gauge * F.lit(tx.COPPER_DENSITY_G_PER_CM3) * F.when(c("grp") == "HV Power", c("hv")).otherwise(F.lit(1.0))
-    return t.select("segment", "vehicle", "year", "category", "grp", "length", (c("length") * rate / 1000.0).alias("copper"))
+    deep = F.when(c("sdv") < 1.0, F.greatest(F.lit(0.0), F.lit(1.0) - (F.lit(1.0) - c("sdv")) * c("depth"))).otherwise(c("sdv"))
+    t = t.select("segment", "vehicle", "pilot", "category", "grp", "_lm", *[f"b_{s}" for s in lit.ARCH_STATES],
+                 (c("base_m") * pick(calibration) * F.greatest(c("shared") * own, F.lit(lit.VARIABILITY_FLOOR))).alias("metres"),
+                 (gauge * F.lit(tx.COPPER_DENSITY_G_PER_CM3)).alias("rate"),
+                 F.when(adas, F.lit(1.0)).otherwise(pick(uplift)).alias("l0"), F.lit(1.0).alias("l1"), deep.alias("l2"), F.explode("_y").alias("_y"))
+    t = t.select("*", "_y.*").withColumn("fac", F.element_at(F.array("l0", "l1", "l2"), c("state") + 1))
+    t = cv.anchor_to_base(t, "fac", base_year, "expected", shares={f"b_{s}": f"l{i}" for i, s in enumerate(lit.ARCH_STATES)})
+    factor = F.when(adas, c("length_m") / F.greatest(c("_lm"), F.lit(1e-9))).otherwise(c("fac"))
+    t = t.withColumn("length", F.greatest(c("metres") * factor, F.lit(0.0)))
+    rate = c("rate") * F.when(c("grp") == "HV Power", c("hv")).otherwise(F.lit(1.0))
+    return t.select("segment", "vehicle", "pilot", "year", "category", "grp", "length", (c("length") * rate / 1000.0).alias("copper"))
+
+
+def with_pilot(fleet: DataFrame, base_year: int, n: int = 1000) -> DataFrame:
+    """`fleet` with `pilot`: the vehicle is one of the `n` of its segment with the smallest id. They set bin ranges, nothing else."""
+    first = cl.first_k(fleet.filter(F.col("year") == base_year).select("segment", "vehicle"), ["segment"], ["vehicle"], n)
+    return fleet.join(F.broadcast(first.withColumn("pilot", F.lit(True))), ["segment", "vehicle"], "left").withColumn("pilot", F.coalesce("pilot", F.lit(False)))   # n rows a segment
 
 
 def build_wiring(rows: DataFrame, derived: Mapping[str, str], seed: int = 42) -> DataFrame:
@@ -206,10 +215,11 @@ def build_wiring(rows: DataFrame, derived: Mapping[str, str], seed: int = 42) ->
     Category rows are series values as they stand. Groups and totals are summed
     per vehicle first (the categories of a vehicle come from one task, so most
     of that happens before the shuffle), and the derived segments, a factor per
-    vehicle, are applied to the sums.
+    vehicle, are applied to the sums. One pass over the values of all vehicles
+    gives moments and bins; the pilot vehicles set the bins before.
     """
     c = F.col
-    key = ["segment", "vehicle", "year"]
+    key = ["segment", "vehicle", "pilot", "year"]
     grp = rows.groupBy(*key, "grp").agg(F.sum("length").alias("length"), F.sum("copper").alias("copper"))
     sets = [[c(x) for x in (*key, "grp")], [c(x) for x in key]]
     tot = grp.groupingSets(sets, *[c(x) for x in (*key, "grp")]).agg(F.sum("length").alias("length"), F.sum("copper").alias("copper"))
@@ -220,7 +230,9 @@ def build_wiring(rows: DataFrame, derived: Mapping[str, str], seed: int = 42) ->
     m = F.explode(F.array(F.struct(F.lit("Length (m)").alias("metric"), c("length").alias("value")),
                           F.struct(F.lit("Cu (kg)").alias("metric"), c("copper").alias("value")))).alias("m")
     t = t.select(*key, "level", "code", "functional_group", m).select(*key, "level", "code", "functional_group", "m.*")
-    return _year_stats(t, ["level", "segment", "code", "functional_group", "metric", "year"], "value", n="n_iter")
+    by = ["level", "segment", "code", "functional_group", "metric", "year"]
+    hist, m = hg.fused_stats(t, by, "value", c("pilot"))
+    return hg.year_stats(hist, m.select(*by, c("n").alias("n_iter"), "mean", "std"), by)
 
 
 COMPOSITION = ["Year", "Segment", "Domain", "Component_Type", "Element", "Mass_g_per_vehicle", "P2_5_g", "P97_5_g", "Basis",

@@ -192,6 +192,8 @@ def k08(spark, sf):
 # ---- wiring ----------------------------------------------------------------------
 UPLIFT = {"AB": 2485 / 1392, "CD": 4144 / 2486, "EF": 4610 / 3546}
 CALIBRATION = {"AB": 1.0, "CD": 1.0, "EF": 3546 / 3646}
+#: Vehicles of a segment that set the bins.
+PILOT9 = 1000
 J_SEGMENTS = {"AB": "JA-JB", "CD": "JC-JD", "EF": "JE-JF"}
 _seg = lambda m: "CASE segment " + " ".join(f"WHEN '{s}' THEN {v!r}::DOUBLE" for s, v in m.items()) + " END"
 _V = lambda v, *k: sql_keyed(42, v, *k)
@@ -223,13 +225,22 @@ K09_SQL = _slen + ", " + qd.CATS_SQL + f""",
 def wiring_rows(spark, sf):
     volt = gw.at_base(qc.shares(spark, sf).filter("state = 'H3'").drop("state"), ["segment"], "year", "share", 1997)
     cats = qd.categories(spark, sf).withColumn("ix", F.substring("category", 7, 10).cast("int"))
-    return tb.wiring_rows(stored(qd.sensor_lengths(spark, sf), "fleet"), stored(cats, "cats"), stored(volt, "volt"), UPLIFT, CALIBRATION, 1997)
+    return tb.wiring_rows(stored(tb.with_pilot(qd.sensor_lengths(spark, sf), 1997, PILOT9), "fleet"), stored(cats, "cats"), stored(volt, "volt"), UPLIFT, CALIBRATION, 1997)
 
 
-@query("k09_wiring", "WITH " + K09_SQL + " SELECT segment, year, level, code, functional_group, metric, count(*) AS n_iter, round(avg(v), 6) AS mean FROM wm GROUP BY ALL")
+K9 = "segment, year, level, code, functional_group, metric"
+K09_STATS_SQL = K09_SQL + f""",
+ pv AS (SELECT segment AS s0, vehicle FROM (SELECT segment, vehicle, row_number() OVER (PARTITION BY segment ORDER BY vehicle) AS rn FROM vehicles) WHERE rn <= {PILOT9}),
+ wp AS (SELECT wm.*, pv.vehicle IS NOT NULL AS pilot FROM wm LEFT JOIN pv ON pv.vehicle = wm.vehicle), """ + qs.hist_sql("wp", K9, "v", where="pilot") + ", " + \
+    qs.pct_sql("h", K9, {"p025": 2.5, "median": 50, "p975": 97.5}) + ", " + qs.mode_sql("h", K9, 20)
+K9COLS = {"mean": 6, "std": 6, "p025": 5, "median": 5, "p975": 5, "mode": 5}
+
+
+@query("k09_wiring", "WITH " + K09_STATS_SQL + f""" SELECT {K9}, n_iter, """ + ", ".join(f"round({c}, {n}) AS {c}" for c, n in K9COLS.items()) + f"""
+ FROM (SELECT {K9}, count(*) AS n_iter, avg(v) AS mean, stddev_pop(v) AS std FROM wm GROUP BY ALL) JOIN p USING ({K9}) JOIN m USING ({K9})""")
 def k09(spark, sf):
     w = tb.build_wiring(wiring_rows(spark, sf), J_SEGMENTS)
-    return w.select("segment", "year", "level", "code", "functional_group", "metric", "n_iter", r("mean").alias("mean"))
+    return w.select(*K9.split(", "), "n_iter", *[r(c, n).alias(c) for c, n in K9COLS.items()])
 
 
 # ---- composition -----------------------------------------------------------------
