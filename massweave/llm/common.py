@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from massweave.scale import stored
 
-__all__ = ["ascii_lower", "components", "doc_key", "importable", "stored"]
+__all__ = ["ascii_lower", "components", "doc_key", "importable", "release", "stored"]
 
 
 def importable(spark: SparkSession) -> SparkSession:
@@ -22,6 +22,15 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables from `stored` that no later step reads: what was made of them has been written itself."""
+    for t in tables:
+        folders = {f.rsplit("/", 1)[0] for f in t.inputFiles()}
+        for f in folders:
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; null stays null."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
@@ -53,10 +62,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         m = star(both, "u")
         large = stored(both.filter("v > u").join(m, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), name)
+        release(m, e)
         m = star(large, "u")
         small = large.join(m, "u")
         e = stored(small.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
                    .union(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), name)
+        release(m, large)
         now = mark(e)
         if now == before:
             break
