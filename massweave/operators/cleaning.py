@@ -34,6 +34,13 @@ def dedup_exact(df: DataFrame, cols: Sequence[str], order: Sequence[str]) -> Dat
     return first_per_key(df, cols, order)
 
 
+def dedup_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row: rows, distinct rows over `cols`, copies that a deduplication drops, and the most rows that are alike."""
+    g = df.groupBy(*cols).agg(F.count("*").alias("_n"))
+    return g.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_distinct"),
+                 (F.coalesce(F.sum("_n"), F.lit(0)) - F.count("*")).alias("n_copies"), F.coalesce(F.max("_n"), F.lit(0)).alias("most"))
+
+
 def keep_first(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return first_per_key(df, [key], order)
 

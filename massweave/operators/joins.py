@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from massweave.operators.cleaning import first_per_key
+from massweave.operators.groupwise import join_on
 from massweave.scale import checked_broadcast
 
 
@@ -105,16 +107,16 @@ def draws_over(params: DataFrame, n: int, draw: str = "draw", max_rows: int = 20
     """Draws x parameter rows, partitioned by ranges of draw ids; `draw` is a BIGINT.
 
     Rows of one draw stay in one partition and Spark knows it, so sums per draw
-    need no shuffle. The parameter table is broadcast, so it may hold `max_rows`
-    at most; a larger one is refused and goes through `expand_draws`. The number
-    of tasks follows rows x draws.
+    need no shuffle. The parameter table is broadcast up to `max_rows`; a larger
+    one goes through `expand_draws`, whose sums per draw are combined in the
+    tasks before they are shuffled. The number of tasks follows rows x draws.
     """
     spark: SparkSession = params.sparkSession
     small = params.persist()
     rows = small.count()
     if rows > max_rows:
         small.unpersist()
-        raise ValueError(f"{rows} parameter rows are more than the {max_rows} that may be broadcast; use expand_draws")
+        return expand_draws(params, n, draw).select(F.col(draw).cast("bigint").alias(draw), *params.columns)
     parts = max(spark.sparkContext.defaultParallelism, -(-n * max(rows, 1) // per_task))
     return spark.range(0, n, 1, parts).withColumnRenamed("id", draw).crossJoin(F.broadcast(small))
 
@@ -125,7 +127,8 @@ def bracket_join(points: DataFrame, anchors: DataFrame, by: Sequence[str], x: st
 
     Intervals are cut into buckets of width `step`, so the range condition
     becomes an equi-join on (key, bucket) plus a filter. Anchors per key are few
-    (a curve), and their table is broadcast only after a size check.
+    (a curve). A point whose position is NULL or whose key has no anchor stays,
+    with NULL anchors.
     """
     w = W.partitionBy(*by).orderBy(ax)
     iv = anchors.select(*by, F.col(ax).cast("double").alias("x_lo"), *[F.col(v).alias(f"{v}_lo") for v in vals],
@@ -137,12 +140,14 @@ def bracket_join(points: DataFrame, anchors: DataFrame, by: Sequence[str], x: st
     ends = anchors.groupBy(*by).agg(F.min(F.col(ax).cast("double")).alias("_x0"), F.max(F.col(ax).cast("double")).alias("_x1"))
     b = lambda c: F.floor(c / F.lit(float(step)))
     iv = iv.withColumn("_bucket", F.explode(F.sequence(b(F.col("x_lo")), b(F.col("x_hi"))))).drop("_rn")
-    p = points.join(checked_broadcast(ends), list(by))
+    p = join_on(points, ends, by, "left")
     p = p.withColumn("_x", F.least(F.greatest(F.col(x).cast("double"), F.col("_x0")), F.col("_x1")))
     p = p.withColumn("_bucket", b(F.col("_x")))
-    j = p.join(checked_broadcast(iv), [*by, "_bucket"])
+    keys = [*by, "_bucket"]
+    iv = iv.withColumnsRenamed({c: f"_k_{c}" for c in keys})
+    on = reduce(lambda m, c: m & (p[c].eqNullSafe(iv[f"_k_{c}"]) if c != "_bucket" else p[c] == iv[f"_k_{c}"]), keys, F.lit(True))
     hit = (F.col("_x") >= F.col("x_lo")) & ((F.col("_x") < F.col("x_hi")) | F.col("_last"))
-    return j.filter(hit).drop("_bucket", "_x", "_x0", "_x1", "_last")
+    return p.join(iv, on & hit & F.col(x).isNotNull(), "left").drop("_bucket", "_x", "_x0", "_x1", "_last", *[f"_k_{c}" for c in keys])
 
 
 def overlaps(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:

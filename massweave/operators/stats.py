@@ -281,14 +281,16 @@ def mean_contribution(df: DataFrame, by: Sequence[str], vals: Sequence[str]) ->
     return df.groupBy(*by).agg(*[F.avg(v).alias(v) for v in vals])
 
 
-def mean_by_year(static: DataFrame, dynamic: DataFrame, by: Sequence[str], n: int, y0: int, y1: int) -> DataFrame:
-    """Static midpoint product plus the running mean of the dynamic rows, per year.
+def mean_by_year(static: DataFrame, dynamic: DataFrame, by: Sequence[str], draws: DataFrame, y0: int, y1: int) -> DataFrame:
+    """Static midpoint product plus the mean of the dynamic rows over all draws, per year.
 
-    `static`: by..., lo, hi, unit; `dynamic`: by..., year, value over n draws.
-    The static part carries no year until it is one number per key.
+    `static`: by..., lo, hi, unit; `dynamic`: by..., year, value; `draws`: one
+    row per draw, counted, so a draw without a dynamic row counts as zero. The
+    static part carries no year until it is one number per key.
     """
     s = static.groupBy(*by).agg(F.sum((F.col("lo") + F.col("hi")) / 2.0 * F.col("unit")).alias("_s"))
     s = s.withColumn("year", F.explode(F.sequence(F.lit(y0), F.lit(y1))))
-    d = dynamic.groupBy(*by, "year").agg((F.sum("value") / F.lit(float(n))).alias("_d"))
-    j = s.join(d, [*by, "year"], "full")
+    n = draws.agg(F.count("*").cast("double").alias("_n"))                     # one row
+    d = dynamic.groupBy(*by, "year").agg(F.sum("value").alias("_d")).crossJoin(F.broadcast(n))
+    j = s.join(d.select(*by, "year", (F.col("_d") / F.col("_n")).alias("_d")), [*by, "year"], "full")
     return j.select(*by, "year", (F.coalesce("_s", F.lit(0.0)) + F.coalesce("_d", F.lit(0.0))).alias("mean"))

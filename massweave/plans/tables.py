@@ -117,8 +117,9 @@ def build_area(areas: DataFrame, by: Sequence[str], pilot: int) -> DataFrame:
     return gw.join_on(gw.join_on(out, vs, [*by, "size"]), co, [*by, "size"])
 
 
-def build_year_scale(static: DataFrame, dynamic: DataFrame, by: Sequence[str], n: int, years: tuple[int, int], base_year: int) -> DataFrame:
-    m = st.mean_by_year(static, dynamic, by, n, *years)
+def build_year_scale(static: DataFrame, dynamic: DataFrame, by: Sequence[str], draws: DataFrame, years: tuple[int, int], base_year: int) -> DataFrame:
+    """Mean area per key and year, and its ratio to the base year; `draws` are counted."""
+    m = st.mean_by_year(static, dynamic, by, draws, *years)
     return gw.index_to_base(m, by, "year", "mean", base_year, "scale")
 
 

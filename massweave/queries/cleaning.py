@@ -37,6 +37,13 @@ def b03(spark, sf):
     return cl.dedup_exact(li, ["l_partkey", "l_returnflag", "l_linestatus"], ["first_order"])
 
 
+@query("b03_dedup_report", """
+SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_distinct, CAST(sum(n) - count(*) AS BIGINT) AS n_copies, max(n) AS most
+FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey, l_returnflag, l_linestatus)""")
+def b03_report(spark, sf):
+    return cl.dedup_report(table(spark, sf, "lineitem"), ["l_partkey", "l_returnflag", "l_linestatus"])
+
+
 @query("b04_dedup_signature", """
 SELECT l_suppkey, l_quantity, l_discount + 0.0 AS l_discount, l_tax + 0.0 AS l_tax, min(l_orderkey) AS l_orderkey
 FROM (SELECT l_suppkey, l_quantity, abs(l_discount) AS l_discount, abs(l_tax) AS l_tax, l_orderkey FROM lineitem) GROUP BY ALL""")

@@ -192,4 +192,5 @@ def a16(spark, sf):
 @query("a17_require", "SELECT s_suppkey, s_name, s_nationkey FROM supplier")
 def a17(spark, sf):
     cols = ["s_suppkey", "s_name", "s_nationkey"]
+    rd.require_files(spark, [f"{sf}/supplier.parquet"])
     return rd.require(table(spark, sf, "supplier"), cols, "supplier").select(*cols)

@@ -7,6 +7,7 @@ from massweave.operators import groupwise as gw
 from massweave.operators import histogram as hg
 from massweave.operators import stats as st
 from massweave.operators import windows as wn
+from massweave.queries import curves as qc
 from massweave.queries import draws as qd
 from massweave.queries._base import (COMPONENTS_SQL, RANGES_SQL, SEG_SQL, components, query, r, ranges, segment_col, sql_at,
                                      sql_md5, sql_uni, table)
@@ -374,14 +375,31 @@ def g35(spark, sf):
     return hg.merge_hist(a, b, by=KEY).select(*KEY, "bin", "count", "under", "over")
 
 
-@query("g36_mean_by_year", "WITH " + qd.CALIB_SQL + """, s AS (SELECT brand AS comp, sum((medium_min + medium_max) / 2 * 12.5::DOUBLE) AS s FROM components GROUP BY 1),
- k AS (SELECT comp, year, sum(presence * 30.0::DOUBLE) / 1000 AS d FROM calib GROUP BY ALL), k2 AS (SELECT 'Brand#' || (ix + 1) AS comp, year, d FROM k JOIN t_vec USING (comp))
-SELECT s.comp, CAST(y AS INTEGER) AS year, round(s + coalesce(d, 0), 5) AS mean FROM s CROSS JOIN range(1993, 2005) t(y) LEFT JOIN k2 ON k2.comp = s.comp AND k2.year = y""")
-def g36(spark, sf):
-    static = components(spark, sf).select(F.col("brand").alias("comp"), F.col("medium_min").alias("lo"), F.col("medium_max").alias("hi"), F.lit(12.5).alias("unit"))
+#: Unit area of a board by size.
+UNIT = {"small": 5.0, "medium": 12.5, "large": 30.0}
+YEARS_SQL = qd.CALIB_SQL + ", s AS (" + " UNION ALL ".join(
+    f"SELECT brand AS comp, '{z}' AS size, sum(({z}_min + {z}_max) / 2 * {u}::DOUBLE) AS s FROM components GROUP BY 1" for z, u in UNIT.items()) + """),
+ units(size, unit) AS (VALUES """ + ", ".join(f"('{z}', {u}::DOUBLE)" for z, u in UNIT.items()) + """),
+ k AS (SELECT comp, size, year, sum(presence * 2 * unit) / (SELECT count(*) FROM vehicles) AS d FROM calib CROSS JOIN units GROUP BY ALL),
+ k2 AS (SELECT 'Brand#' || (ix + 1) AS comp, size, year, d FROM k JOIN t_vec USING (comp)),
+ my AS (SELECT s.comp, s.size, CAST(y AS INTEGER) AS year, s + coalesce(d, 0) AS mean FROM s CROSS JOIN range(1993, 2005) t(y) LEFT JOIN k2 ON k2.comp = s.comp AND k2.size = s.size AND k2.year = y)"""
+
+
+def year_parts(spark, sf):
+    """Static and dynamic part of the board area by component and size, and the vehicles that were drawn."""
+    per = lambda f: F.explode(F.array(*[f(z, u) for z, u in UNIT.items()])).alias("e")
+    static = components(spark, sf).select(F.col("brand").alias("comp"), per(lambda z, u: F.struct(
+        F.lit(z).alias("size"), F.col(f"{z}_min").alias("lo"), F.col(f"{z}_max").alias("hi"), F.lit(u).alias("unit")))).select("comp", "e.*")
     names = F.create_map(*[F.lit(x) for i, n, *_ in qd.PRES_ROWS for x in (n, f"Brand#{i + 1}")])
-    dyn = qd.calibrated(spark, sf).select(F.try_element_at(names, F.col("comp")).alias("comp"), "year", (F.col("presence") * 30.0).alias("value"))
-    return st.mean_by_year(static, dyn, ["comp"], 1000, 1993, 2004).withColumn("mean", r("mean", 5))
+    # the year curve of a component is averaged once; sizes multiply the small result
+    dyn = qd.calibrated(spark, sf).groupBy("comp", "year").agg(F.sum("presence").alias("p")).select(
+        F.try_element_at(names, F.col("comp")).alias("comp"), "year", "p", per(lambda z, u: F.struct(F.lit(z).alias("size"), F.lit(2 * u).alias("unit"))))
+    return static, dyn.select("comp", "e.size", "year", (F.col("p") * F.col("e.unit")).alias("value")), qc.vehicles(spark, sf)
+
+
+@query("g36_mean_by_year", "WITH " + YEARS_SQL + " SELECT comp, size, year, round(mean, 5) AS mean FROM my")
+def g36(spark, sf):
+    return st.mean_by_year(*year_parts(spark, sf)[:2], ["comp", "size"], qc.vehicles(spark, sf), 1993, 2004).withColumn("mean", r("mean", 5))
 
 
 # ---- W ---------------------------------------------------------------------------

@@ -62,11 +62,11 @@ def sensor_counts(spark, sf):
     return tb.build_sensor_counts(stored(sensor_params(spark, sf), "sensors"), stored(qc.composed(spark, sf), "presence"), stored(volt, "volt"), N3, (qc.Y0, qc.Y1), "PROMO", "Brand#3", (1.8, 1.9, 2.0), PILOT3)
 
 
-# binned values may move by one bin where a sum lands on an edge: compare what is exact
-@query("k03_sensor_counts", "WITH " + K03_SQL + " SELECT segment, level, name, year, n, round(mean, 6) AS mean, round(std, 6) AS std, round(median, 2) AS median FROM sensor_years")
+# binned values may move by a little where a sum lands on an edge: compared to two digits
+@query("k03_sensor_counts", "WITH " + K03_SQL + " SELECT segment, level, name, year, n, round(mean, 6) AS mean, round(std, 6) AS std, round(p025, 2) AS p025, round(median, 2) AS median, round(p975, 2) AS p975, round(mode, 2) AS mode FROM sensor_years")
 def k03(spark, sf):
     k = sensor_counts(spark, sf)
-    return k.select("segment", "level", "name", "year", "n", r("mean").alias("mean"), r("std").alias("std"), r("median", 2).alias("median"))
+    return k.select("segment", "level", "name", "year", "n", r("mean").alias("mean"), r("std").alias("std"), *[r(c, 2).alias(c) for c in ("p025", "median", "p975", "mode")])
 
 
 # ---- sensor elements -------------------------------------------------------------
@@ -89,28 +89,23 @@ K05_SQL = qs.AREA_TOTAL_SQL.replace("range(20)", "range(60)") + ", long AS (" +
  vs AS (""" + " UNION ALL ".join(f"SELECT brand, '{s}' AS size, var_pop({s}) / nullif(var_pop(total), 0) AS variance_share, CASE WHEN var_pop({s}) <= 0 OR var_pop(total) <= 0 THEN NULL ELSE corr({s}, total) END AS corr FROM tot GROUP BY brand" for s in ("small", "medium", "large")) + ")"
 
 
-@query("k05_board_area", "WITH " + K05_SQL + " SELECT mo.brand, mo.size, n, round(mean, 5) AS mean, round(std, 5) AS std, round(median, 1) AS median, round(variance_share, 7) AS variance_share, round(corr, 7) AS corr FROM mo JOIN p ON p.brand = mo.brand AND p.size = mo.size LEFT JOIN vs ON vs.brand = mo.brand AND vs.size = mo.size")
+@query("k05_board_area", "WITH " + K05_SQL + " SELECT mo.brand, mo.size, n, round(mean, 5) AS mean, round(std, 5) AS std, round(p025, 1) AS p025, round(median, 1) AS median, round(p975, 1) AS p975, round(variance_share, 7) AS variance_share, round(corr, 7) AS corr FROM mo JOIN p ON p.brand = mo.brand AND p.size = mo.size LEFT JOIN vs ON vs.brand = mo.brand AND vs.size = mo.size")
 def k05(spark, sf):
     t = tb.build_area(qd.areas(spark, sf, 60), ["brand"], 20)
-    return t.select("brand", "size", "n", r("mean", 5).alias("mean"), r("std", 5).alias("std"), r("median", 1).alias("median"), r("variance_share", 7).alias("variance_share"), r("corr", 7).alias("corr"))
+    return t.select("brand", "size", "n", r("mean", 5).alias("mean"), r("std", 5).alias("std"), *[r(c, 1).alias(c) for c in ("p025", "median", "p975")], r("variance_share", 7).alias("variance_share"), r("corr", 7).alias("corr"))
 
 
-YSCALE_SQL = qd.CALIB_SQL + """, s AS (SELECT brand AS comp, sum((medium_min + medium_max) / 2 * 12.5::DOUBLE) AS s FROM components GROUP BY 1),
- k AS (SELECT comp, year, sum(presence * 30.0::DOUBLE) / 100 AS d FROM calib GROUP BY ALL), k2 AS (SELECT 'Brand#' || (ix + 1) AS comp, year, d FROM k JOIN t_vec USING (comp)),
- my AS (SELECT s.comp, CAST(y AS INTEGER) AS year, s + coalesce(d, 0) AS mean FROM s CROSS JOIN range(1993, 2005) t(y) LEFT JOIN k2 ON k2.comp = s.comp AND k2.year = y),
- yscale AS (SELECT comp, year, mean, mean / max(CASE WHEN year = 1997 THEN mean END) OVER (PARTITION BY comp) AS scale FROM my)"""
+YSCALE_SQL = qs.YEARS_SQL + ", yscale AS (SELECT comp, size, year, mean, mean / max(CASE WHEN year = 1997 THEN mean END) OVER (PARTITION BY comp, size) AS scale FROM my)"
 
 
 def year_scale(spark, sf):
-    static = components(spark, sf).select(F.col("brand").alias("comp"), F.col("medium_min").alias("lo"), F.col("medium_max").alias("hi"), F.lit(12.5).alias("unit"))
-    names = F.create_map(*[F.lit(x) for i, n, *_ in qd.PRES_ROWS for x in (n, f"Brand#{i + 1}")])
-    dyn = qd.calibrated(spark, sf).select(F.try_element_at(names, F.col("comp")).alias("comp"), "year", (F.col("presence") * 30.0).alias("value"))
-    return tb.build_year_scale(static, dyn, ["comp"], 100, (1993, 2004), 1997)
+    static, dyn, vehicles = qs.year_parts(spark, sf)
+    return tb.build_year_scale(static, dyn, ["comp", "size"], vehicles, (1993, 2004), 1997)
 
 
-@query("k05_year_scale", "WITH " + YSCALE_SQL + " SELECT comp, year, round(mean, 5) AS mean, round(scale, 9) AS scale FROM yscale")
+@query("k05_year_scale", "WITH " + YSCALE_SQL + " SELECT comp, size, year, round(mean, 5) AS mean, round(scale, 9) AS scale FROM yscale")
 def k05_scale(spark, sf):
-    return year_scale(spark, sf).select("comp", "year", r("mean", 5).alias("mean"), r("scale", 9).alias("scale"))
+    return year_scale(spark, sf).select("comp", "size", "year", r("mean", 5).alias("mean"), r("scale", 9).alias("scale"))
 
 
 # ---- board elements --------------------------------------------------------------

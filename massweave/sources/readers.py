@@ -136,3 +136,17 @@ def require(df: DataFrame, cols: Sequence[str], what: str = "input") -> DataFram
     if missing:
         raise ValueError(f"{what}: missing column(s) {missing}; available: {df.columns}")
     return df
+
+
+def require_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Plan-time contract: every path or glob names at least one file; all that do not are named together."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    missing = []
+    for p in paths:
+        path = hadoop.Path(p)
+        if not path.getFileSystem(conf).globStatus(path):
+            missing.append(p)
+    if missing:
+        raise FileNotFoundError(f"missing input: {', '.join(missing)}")
+    return list(paths)

@@ -246,9 +246,59 @@ def test_draws_of_few_rows_use_all_tasks(spark):
     assert e.count() == 400_000 and e.select("id", "draw").distinct().count() == 400_000
     assert e.groupBy("p").count().agg(F.max("count")).first()[0] < 100_000
     assert jn.expand_draws(df, 3).schema == jn.expand_draws(df, 20_000).schema
-    with pytest.raises(ValueError):
-        jn.draws_over(df, 5, max_rows=1)
-    assert jn.draws_over(df, 5).dtypes[0] == ("draw", "bigint")
+    a, b = jn.draws_over(df, 5), jn.draws_over(df, 5, max_rows=1)              # a table above the limit takes the other way
+    assert a.schema == b.schema and a.dtypes[0] == ("draw", "bigint")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_bracket_join_keeps_every_point(spark):
+    points = spark.createDataFrame([("a", 1.5, 0), ("a", 9.0, 1), ("a", None, 2), ("none", 1.0, 3), (None, 2.0, 4)], "k string, x double, id int")
+    anchors = spark.createDataFrame([("a", 1, 10.0), ("a", 2, 20.0), (None, 2, 7.0)], "k string, yr int, v double")
+    got = {r.id: (r.x_lo, r.x_hi, r.v_lo, r.v_hi) for r in jn.bracket_join(points, anchors, ["k"], "x", "yr", ["v"], 1.0).collect()}
+    assert got == {0: (1.0, 2.0, 10.0, 20.0), 1: (2.0, 2.0, 20.0, 20.0), 2: (None,) * 4, 3: (None,) * 4, 4: (2.0, 2.0, 7.0, 7.0)}
+
+
+def test_mean_by_year_counts_the_draws(spark):
+    static = spark.createDataFrame([("k", 1.0, 3.0, 10.0)], "k string, lo double, hi double, unit double")
+    dynamic = spark.createDataFrame([("k", 2000, 4.0), ("k", 2000, 8.0), ("other", 2001, 6.0)], "k string, year int, value double")
+    for n in (2, 6):                                          # a draw without a row counts as zero
+        m = {(r.k, r.year): r["mean"] for r in st.mean_by_year(static, dynamic, ["k"], spark.range(n), 2000, 2001).collect()}
+        assert m == {("k", 2000): 20 + 12 / n, ("k", 2001): 20.0, ("other", 2001): 6 / n}
+
+
+def test_dedup_reports_copies(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (1, None), (2, "b")], "x int, y string")
+    assert cl.dedup_report(df, ["x", "y"]).first().asDict() == {"n_rows": 5, "n_distinct": 3, "n_copies": 2, "most": 2}
+
+
+def test_require_names_missing_files(spark, tmp_path):
+    (tmp_path / "here.csv").write_text("a\n1\n")
+    assert rd.require_files(spark, [f"{tmp_path}/here.csv", f"{tmp_path}/*.csv"]) == [f"{tmp_path}/here.csv", f"{tmp_path}/*.csv"]
+    with pytest.raises(FileNotFoundError, match="gone.csv.*nothing"):
+        rd.require_files(spark, [f"{tmp_path}/here.csv", f"{tmp_path}/gone.csv", f"{tmp_path}/nothing*.csv"])
+
+
+def test_fused_stats_equal_two_passes(skewed):
+    pdf, df = skewed
+    by = ["k"]
+    h, m = hg.fused_stats(df, by, "w", F.col("id") % 2 == 0)
+    rng = hg.pilot_range(df, by, "w", F.col("id") % 2 == 0)
+    want = {(r.k, r.bin): r["count"] for r in hg.hist_acc(df, by, "w", rng).collect()}
+    assert {(r.k, r.bin): r["count"] for r in h.collect()} == want
+    for r in m.collect():
+        w = pdf[pdf.k == r.k].w
+        assert r.n == len(w) and abs(r["mean"] - w.mean()) < 1e-9 and abs(r["std"] - w.std(ddof=0)) < 1e-9 and (r["min"], r["max"]) == (w.min(), w.max())
+    _, m = hg.fused_stats(df, by, "w", F.col("k") == "hot")   # a series without a pilot row keeps its moments
+    assert {r.k: r.n for r in m.collect()} == {"hot": 20000, "cold": 4}
+
+
+def test_classify_finds_words_in_order(spark):
+    from massweave.operators.cleaning import classify
+    rules = [("component", "fan.*belt|^x[0-9]+$", "A"), ("both", "charge port|charge", "B"), ("component", "arg", "C"), ("domain", "hv", "D")]
+    rows = ["a fan and a belt", "belt before fan", "x12", "chargeport", "a charge  port", "large", "fanbelt", "fabelt", None, "fan"]
+    df = spark.createDataFrame([("HV" if i % 2 else "", t) for i, t in enumerate(rows)], "d string, c string")
+    got = [r.category for r in classify(df, "d", "c", rules, "-").collect()]
+    assert got == ["A", "D", "A", "B", "B", "C", "A", "D", "-", "D"]
 
 
 def test_tier_and_architecture_are_apart(spark, sf):

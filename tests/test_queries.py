@@ -30,5 +30,5 @@ def test_every_query_has_sql():
 
 def test_entry_has_rows(spark):
     df = entry.entry(spark)
-    assert df.columns == ["segment", "level", "name", "year", "n", "mean", "std", "median"]
+    assert df.columns == ["segment", "level", "name", "year", "n", "mean", "std", "p025", "median", "p975", "mode"]
     assert df.count() > 0
