@@ -19,7 +19,7 @@ from massweave.operators import sampling as sp
 from massweave.operators import sets as ss
 from massweave.operators import stats as st
 from massweave.plans import literals as lit
-from massweave.scale import checked_broadcast
+from massweave.scale import checked_broadcast, stored
 
 SEGS = ("ab", "cd", "ef")
 SIZES = ("small_min", "small_max", "medium_min", "medium_max", "large_min", "large_max")
@@ -294,3 +294,45 @@ def build_tier_table(shares: DataFrame) -> DataFrame:
         e = F.col(t) * F.lit(lit.TIER_RANGING[t])
         ranging = e if ranging is None else ranging + e
     return w.withColumns({"sum": total, "ranging_derived": ranging})
+
+
+#: Streams whose named element takes what the others leave.
+BALANCED = ("Electrical Steel", "Cast Fe Steel")
+
+
+def stream_weights(motors: Sequence[str], segments: Sequence[str]) -> list[tuple[str, str, str, str, float]]:
+    """(stream, motor, segment, grade, weight): copper and cast steel alike everywhere, steel by segment, magnets by motor and segment."""
+    out = []
+    for m in motors:
+        for s in segments:
+            out += [("Copper", m, s, g, w) for g, w in lit.COPPER_WEIGHTS.items()]
+            out += [("Electrical Steel", m, s, g, w) for g, w in lit.STEEL_WEIGHTS[s].items()]
+            out += [("NdFeB", m, s, g, w) for g, w in lit.MAGNET_WEIGHTS[m][s].items()]
+            out.append(("Cast Fe Steel", m, s, "DC01", 1.0))
+    return out
+
+
+def build_streams(mass: DataFrame, grades: DataFrame, weights: DataFrame, n: int, balance: str = "Fe", seed: int = 42) -> DataFrame:
+    """Element mass of all material streams by motor type and, draw by draw, in total (motor 'ALL').
+
+    mass: stream, motor, segment, draw, value (kg); grades: grade, element, lo,
+    hi, in parts of one, or of a million where the element's name ends in `_ppm`;
+    weights: stream, motor, segment, grade, weight. A draw's composition is the
+    weighted mean of its grades' draws; in `BALANCED` streams the balance element
+    takes the rest, so their parts add up to one. Mass and composition are paired
+    on the draw id. `TotalMass` is the stream itself.
+    """
+    c, by = F.col, ["stream", "motor", "segment"]
+    ppm = F.when(c("element").endswith("_ppm"), F.lit(1e-6)).otherwise(F.lit(1.0))
+    g = grades.select("grade", F.regexp_replace("element", "_ppm$", "").alias("element"), (c("lo") * ppm).alias("lo"), (c("hi") * ppm).alias("hi"))
+    mix = sp.grade_mix(g, weights, n, by, seed, balance=None)
+    rest = mix.filter(c("stream").isin(*BALANCED)).groupBy(*by, "draw").agg(
+        F.least(F.greatest(F.lit(1.0) - F.sum("fraction"), F.lit(0.0)), F.lit(1.0)).alias("fraction"))
+    mix = mix.unionByName(rest.withColumn("element", F.lit(balance))).unionByName(
+        weights.select(*by).distinct().withColumns({"draw": F.explode(F.sequence(F.lit(0), F.lit(n - 1))), "element": F.lit("TotalMass"), "fraction": F.lit(1.0)}))
+    one = mass.join(mix, [*by, "draw"]).select(*by, "element", "draw", (c("value") * c("fraction")).alias("elem_mass"), c("value").alias("stream_mass"))
+    total = one.groupBy("stream", F.lit("ALL").alias("motor"), "segment", "element", "draw").agg(F.sum("elem_mass").alias("elem_mass"), F.sum("stream_mass").alias("stream_mass"))
+    t = stored(one.unionByName(total).withColumn("fraction", c("elem_mass") / F.nullif(c("stream_mass"), F.lit(0.0))), "streams")
+    key = [*by, "element"]
+    m = t.groupBy(*key).agg(F.count("*").alias("n"), F.avg("elem_mass").alias("mean_mass_kg"), F.stddev_pop("elem_mass").alias("std_mass_kg"), F.avg("fraction").alias("mean_fraction"))
+    return gw.join_on(m, st.exact_percentiles(t, key, "elem_mass", {"p05_mass_kg": 5, "p50_mass_kg": 50, "p95_mass_kg": 95}), key)

@@ -12,7 +12,7 @@ from massweave.plans import tables as tb
 from massweave.queries import curves as qc
 from massweave.queries import draws as qd
 from massweave.queries import stats as qs
-from massweave.queries._base import (RANGES_SQL, components, query, r, ranges, sql_at,
+from massweave.queries._base import (RANGES_SQL, SEG_SQL, components, query, r, ranges, segment_col, sql_at,
                                      sql_keyed, sql_md5, sql_norm, sql_tri, sql_uni, table)
 from massweave.queries.cleaning import classify_sql
 from massweave.queries.reshape import FACTORS_SQL, SIZES
@@ -184,6 +184,49 @@ def k08(spark, sf):
     return stream_elements(spark, sf).select("segment", "element", "stream", *[r(c, 8).alias(c) for c in ECOLS])
 
 
+# all four streams: motor by supplier, stream by line number, a grade's ranges from one part brand; the type PROMO is given in parts of a million
+N8 = 60
+MOTORS = ("small", "medium")
+STREAMS = ("Copper", "Electrical Steel", "NdFeB", "Cast Fe Steel")
+W8 = tb.stream_weights(MOTORS, ("AB", "CD", "EF"))
+GRADES8 = sorted({g for *_, g, _ in W8})
+_MOTOR8 = "CASE l_suppkey % 2 WHEN 0 THEN 'small' ELSE 'medium' END"
+_STREAM8 = "CASE l_linenumber % 4 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(STREAMS[:3])) + f" ELSE '{STREAMS[3]}' END"
+_B8 = "stream, motor, segment"
+K08_STREAMS_SQL = "w8(stream, motor, segment, grade, weight) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', '{g}', {w!r}::DOUBLE)" for a, b, c, g, w in W8) + """),
+ n8(grade, brand) AS (VALUES """ + ", ".join(f"('{g}', 'Brand#{i % 25 + 1}')" for i, g in enumerate(GRADES8)) + f"""),
+ g8 AS (SELECT grade, p_type AS element, min(p_size) / 1000.0::DOUBLE * f AS lo, max(p_size) / 400.0::DOUBLE * f AS hi FROM (SELECT *, CASE WHEN p_type = 'PROMO' THEN 1e-6::DOUBLE ELSE 1.0::DOUBLE END AS f FROM part) JOIN n8 ON p_brand = brand GROUP BY grade, p_type, f),
+ wn8 AS (SELECT {_B8}, grade, weight / sum(weight) OVER (PARTITION BY {_B8}) AS weight FROM w8),
+ d8 AS (SELECT {_B8}, element, CAST(draw AS INTEGER) AS draw, weight * """ + sql_uni(sql_at("h"), "lo", "hi") + " AS x FROM (SELECT *, " + sql_md5(42, "grade", "stream", "motor", "segment", "grade", "element") + f""" AS h FROM wn8 JOIN g8 USING (grade)), range({N8}) t(draw)),
+ m8 AS (SELECT {_B8}, draw, element, sum(x) AS fraction FROM d8 GROUP BY ALL),
+ f8 AS (SELECT * FROM m8 UNION ALL SELECT {_B8}, draw, 'Fe', least(greatest(1 - sum(fraction), 0), 1) FROM m8 WHERE stream IN ('Electrical Steel', 'Cast Fe Steel') GROUP BY ALL
+   UNION ALL SELECT DISTINCT {_B8}, draw, 'TotalMass', 1.0::DOUBLE FROM m8),
+ h8 AS (SELECT {_STREAM8} AS stream, {_MOTOR8} AS motor, {SEG_SQL} AS segment, floor(l_quantity / 1.25) * 1.25 AS bin_left, count(*) AS count FROM lineitem GROUP BY ALL),
+ c8 AS (SELECT *, CAST(sum(count) OVER (PARTITION BY {_B8} ORDER BY bin_left) AS DOUBLE) AS c_hi, CAST(sum(count) OVER (PARTITION BY {_B8}) AS DOUBLE) AS tot FROM h8),
+ r8 AS (SELECT {_B8}, CAST(draw AS INTEGER) AS draw, """ + sql_at(sql_md5(42, "bin", "stream", "motor", "segment")) + " AS u, " + sql_at(sql_md5(42, "inside", "stream", "motor", "segment")) + f""" AS v FROM (SELECT DISTINCT {_B8} FROM h8), range({N8}) t(draw)),
+ v8 AS (SELECT r8.stream, r8.motor, r8.segment, draw, bin_left + v * 1.25 AS value FROM r8 JOIN c8 ON r8.stream = c8.stream AND r8.motor = c8.motor AND r8.segment = c8.segment AND u * tot >= c_hi - count AND u * tot < c_hi),
+ e8 AS (SELECT {_B8}, element, draw, value * fraction AS em, value AS sm FROM v8 JOIN f8 USING (stream, motor, segment, draw)),
+ a8 AS (SELECT * FROM e8 UNION ALL SELECT stream, 'ALL', segment, element, draw, sum(em), sum(sm) FROM e8 GROUP BY ALL)"""
+
+
+def streams(spark, sf):
+    f = F.when(F.col("p_type") == "PROMO", F.lit("_ppm")).otherwise(F.lit(""))
+    names = F.create_map(*[F.lit(x) for i in range(25) for x in (f"Brand#{i + 1}", "|".join(g for j, g in enumerate(GRADES8) if j % 25 == i))])
+    g = table(spark, sf, "part").groupBy("p_brand", F.concat("p_type", f).alias("element")).agg((F.min("p_size").cast("double") / 1000).alias("lo"), (F.max("p_size").cast("double") / 400).alias("hi"))
+    g = g.withColumn("grade", F.explode(F.split(F.try_element_at(names, F.col("p_brand")), "[|]"))).drop("p_brand").filter("grade <> ''")
+    w = spark.createDataFrame(W8, "stream string, motor string, segment string, grade string, weight double")
+    left = F.floor(F.col("l_quantity") / 1.25) * 1.25
+    h = table(spark, sf, "lineitem").groupBy(F.expr(_STREAM8).alias("stream"), F.expr(_MOTOR8).alias("motor"), segment_col().alias("segment"), left.alias("bin_left")).agg(F.count("*").alias("count"))
+    mass = sp.resample(h.withColumn("bin_right", F.col("bin_left") + 1.25), ["stream", "motor", "segment"], N8, within=True)
+    return tb.build_streams(mass, g, w, N8)
+
+
+@query("k08_streams", "WITH " + K08_STREAMS_SQL + f""" SELECT {_B8}, element, count(*) AS n, round(avg(em), 7) AS mean_mass_kg, round(stddev_pop(em), 7) AS std_mass_kg, round(avg(em / sm), 7) AS mean_fraction,
+ round(quantile_cont(em, 0.05), 7) AS p05_mass_kg, round(quantile_cont(em, 0.5), 7) AS p50_mass_kg, round(quantile_cont(em, 0.95), 7) AS p95_mass_kg FROM a8 GROUP BY ALL""")
+def k08_streams(spark, sf):
+    return streams(spark, sf).select(*_B8.split(", "), "element", "n", *[r(c, 7).alias(c) for c in ECOLS])
+
+
 # ---- wiring ----------------------------------------------------------------------
 UPLIFT = {"AB": 2485 / 1392, "CD": 4144 / 2486, "EF": 4610 / 3546}
 CALIBRATION = {"AB": 1.0, "CD": 1.0, "EF": 3546 / 3646}

@@ -305,3 +305,21 @@ def test_tier_and_architecture_are_apart(spark, sf):
     from massweave.queries import draws as qd
     f = qd.fleet(spark, sf).filter(f"year = {qd.Y0}")
     assert abs(f.stat.corr("tier", "state")) < 0.35
+
+
+def test_streams_add_up(spark):
+    from massweave.plans import tables as tb
+    w = [(s, m, g, x, k) for s, m, g, x, k in tb.stream_weights(("small", "medium"), ("AB", "CD"))]
+    weights = spark.createDataFrame(w, "stream string, motor string, segment string, grade string, weight double")
+    grades = spark.createDataFrame([(g, e, lo, hi) for g in sorted({x[3] for x in w}) for e, lo, hi in (("Si", 0.01, 0.03), ("Mn", 0.0, 0.02), ("S_ppm", 10.0, 80.0))],
+                                   "grade string, element string, lo double, hi double")
+    mass = weights.select("stream", "motor", "segment").distinct().join(spark.range(20).select(F.col("id").cast("int").alias("draw")), how="cross").withColumn("value", F.lit(2.0) + F.col("draw"))
+    t = tb.build_streams(mass, grades, weights, 20).toPandas().set_index(["stream", "motor", "segment", "element"])
+    assert set(t.index.get_level_values("motor")) == {"small", "medium", "ALL"} and (t.n == 20).all()
+    for s in tb.BALANCED:
+        for m in ("small", "medium", "ALL"):
+            one = t.loc[(s, m, "AB")]
+            assert abs(one.drop("TotalMass").mean_fraction.sum() - 1) < 1e-9 and abs(one.drop("TotalMass").mean_mass_kg.sum() - one.loc["TotalMass"].mean_mass_kg) < 1e-9
+    assert "Fe" not in t.loc[("Copper", "small", "AB")].index and t.loc[("Copper", "ALL", "CD", "S")].mean_fraction < 1e-4
+    assert abs(t.loc[("NdFeB", "ALL", "AB", "TotalMass")].mean_mass_kg - 2 * t.loc[("NdFeB", "small", "AB", "TotalMass")].mean_mass_kg) < 1e-9
+    assert t.loc[("Copper", "ALL", "AB", "TotalMass")].p50_mass_kg == 2 * (2 + 9.5)
