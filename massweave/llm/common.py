@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from massweave.scale import stored
 
-__all__ = ["ascii_lower", "components", "doc_key", "importable", "release", "stored"]
+__all__ = ["ascii_lower", "components", "doc_key", "importable", "only", "release", "stored"]
 
 
 def importable(spark: SparkSession) -> SparkSession:
@@ -31,6 +31,16 @@ def release(*tables: DataFrame) -> None:
             path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+_state: dict[str, dict] = {}
+
+
+def only(owner: str) -> dict:
+    """What this Python worker keeps for one operator from task to task; what it kept for others is let go."""
+    for k in [k for k in _state if k != owner]:
+        del _state[k]
+    return _state.setdefault(owner, {})
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; null stays null."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)

@@ -83,7 +83,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     gens = [matches(text, k, j, p[kind]) for k, kind in enumerate(KINDS) for j, p in enumerate((STRICT, LOOSE))]
     some = F.concat(F.array(none), *[F.coalesce(g, F.filter(F.array(none), lambda _: F.lit(False))) for g in gens])
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-            .select("doc_id", doc_key(text).alias("key"), F.explode(some).alias("c")).select("doc_id", "key", "c.*")
+            .select("doc_id", doc_key(text).alias("key"), "text")          # hashed once, below the explode, so no candidate carries its text
+            .select("doc_id", "key", F.explode(some).alias("c")).select("doc_id", "key", "c.*")
             .filter("m is not null or i > 0"))
     rows = rows.repartition("doc_id", "key").groupBy("doc_id", "key", "gen", "i").agg(
         F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("gap", "before", "first", "m")])

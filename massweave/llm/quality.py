@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massweave.llm.common import doc_key, stored
+from massweave.llm.common import doc_key, only, stored
 
 
 @dataclass(frozen=True)
@@ -151,16 +151,13 @@ class Evidence(dict):
         return v.real / v.imag if v.imag else 0.0
 
 
-_last: dict[int, Evidence] = {}
-
-
 def remembered(evidence: np.ndarray, p: Params) -> Evidence:
     """The words of the last model this Python worker scored with, across tasks."""
-    key = zlib.crc32(evidence.tobytes())
-    if key not in _last:
-        _last.clear()
-        _last[key] = Evidence(evidence, p)
-    return _last[key]
+    key, last = zlib.crc32(evidence.tobytes()), only("quality")
+    if key not in last:
+        last.clear()
+        last[key] = Evidence(evidence, p)
+    return last[key]
 
 
 def score(docs: DataFrame, evidence: np.ndarray, p: Params, threshold: float = 0.3) -> DataFrame:
