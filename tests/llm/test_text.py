@@ -330,3 +330,10 @@ def test_perfect_hash_is_minimal(n):
     d = disp[(h1 % np.uint64(groups)).astype(np.int64)].astype(np.int64)
     found = np.where(d < 0, -1 - d, (tokenstore.mixed(h1, h2, np.maximum(d, 0)) % np.uint64(n)).astype(np.int64))
     assert (found == slot).all()
+
+
+def test_pii_hashes_a_text_below_the_explode(docs):
+    """A candidate carries no text: time grows with the text, not with its square."""
+    plan = pii.candidates(docs)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    explode = next(i for i, x in enumerate(plan) if "Generate" in x)
+    assert any("xxhash64" in x for x in plan[explode + 1:]) and not any("xxhash64" in x for x in plan[:explode])
