@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -53,23 +53,50 @@ def compose(counts: DataFrame, comp: DataFrame, on: Sequence[str], stats: Sequen
     return j.withColumns({c: F.col(c) * F.col(mass) for c in stats})
 
 
-def contains_lookup(left: DataFrame, text: str, right: DataFrame, token: str, order: Sequence[str],
-                    left_key: Sequence[str]) -> DataFrame:
-    """First right row, in `order`, whose token is contained in the left text.
+def grams_of(text, lens: Column) -> Column:
+    """Distinct substrings of `text`, a Column, of every length in the array `lens`; length 0 gives the empty one."""
+    cut = lambda n: F.when(n == 0, F.array(F.lit(""))).when(
+        F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)))
+    return F.array_distinct(F.flatten(F.transform(lens, lambda n: F.coalesce(cut(n), F.array().cast("array<string>")))))
 
-    A containment test is a non-equi join. Here the left text is cut into its
-    substrings of the token lengths that occur, and the join is on equality.
+
+def contains_lookup(left: DataFrame, text: str, right: DataFrame, token: str, order: Sequence[str], left_key: Sequence[str],
+                    narrow: Column | None = None, strict: bool = False, gram: int = 3) -> DataFrame:
+    """First right row, in `order`, whose token is contained in the left text, whatever the case.
+
+    A containment test is a non-equi join. Here every token is listed under one
+    of its substrings of `gram` characters (all of it, if shorter), the one that
+    the fewest texts hold; a text looks up its distinct substrings of that one
+    length, and what they find is verified. A text costs its length, not its
+    length times the token lengths, and only keys are carried to the join.
+
+    `narrow`, a condition over columns of both sides, decides where several rows
+    match: the first that meets it is taken, none if no row does. With `strict`
+    a left row without a result fails and names its key. A NULL text or token
+    matches nothing; the empty token is contained in every text.
     """
-    r = right.withColumn("_tok", F.lower(F.col(token)))
-    lens = r.agg(F.sort_array(F.collect_set(F.length("_tok"))).alias("_lens"))      # one row, one entry per length
     low = F.lower(F.col(text))
-    grams = F.flatten(F.transform("_lens", lambda n: F.when(
-        F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, n))
-    ).otherwise(F.array().cast("array<string>"))))
-    cut = left.crossJoin(F.broadcast(lens)).withColumn("_tok", F.explode(F.array_distinct(grams))).drop("_lens")
-    hits = first_per_key(cut.join(r, "_tok"), left_key, order).drop("_tok")
+    r = right.withColumn("_tok", F.lower(F.col(token))).filter(F.col("_tok").isNotNull())
+    lens = r.agg(F.sort_array(F.collect_set(F.least(F.length("_tok"), F.lit(gram)))).alias("_lens"))       # one row, at most gram + 1 lengths
+    cut = left.filter(F.col(text).isNotNull()).select(*left_key, low.alias("_low")).crossJoin(F.broadcast(lens))
+    cut = cut.select(*left_key, F.explode(grams_of(F.col("_low"), F.col("_lens"))).alias("_g"))
+    own = r.select("_tok").distinct()
+    own = own.select("_tok", F.explode(grams_of(F.col("_tok"), F.array(F.least(F.length("_tok"), F.lit(gram))))).alias("_g"))
+    held = cut.join(own.select("_g").distinct(), "_g", "left_semi").groupBy("_g").agg(F.count("*").alias("_n"))
+    place = own.join(held, "_g", "left").groupBy("_tok").agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)), "_g")).alias("_g"))
     extra = [c for c in right.columns if c not in left.columns]
-    return left.join(hits.select(*left_key, *extra), list(left_key), "left")
+    found = cut.join(place, "_g").select(*left_key, "_tok")
+    both = found.join(left, list(left_key)).filter(F.contains(low, F.col("_tok"))).join(r.select("_tok", *extra), "_tok")
+    row = F.struct(*order, *[c for c in extra if c not in order])
+    narrowed = row if narrow is None else F.when(narrow, row)
+    hit = both.groupBy(*left_key).agg(F.count("*").alias("_n"), F.min(row).alias("_one"), F.min(narrowed).alias("_row"))
+    hit = hit.select(*left_key, F.when(F.col("_n") > 1, F.col("_row")).otherwise(F.col("_one")).alias("_hit"))
+    out = left.join(hit, list(left_key), "left")
+    if strict:
+        key = F.concat_ws(", ", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in left_key])
+        miss = F.raise_error(F.concat(F.lit("nothing contained for (" + ", ".join(left_key) + ") = "), key))
+        out = out.filter(F.when(F.col("_hit").isNull(), miss.cast("boolean")).otherwise(F.lit(True)))
+    return out.select(*[F.col(c) for c in left.columns], *[F.col("_hit")[c].alias(c) for c in extra])
 
 
 def attach_stats(src: DataFrame, stats: DataFrame, on: Sequence[str], order: Sequence[str],
@@ -88,6 +115,12 @@ def period_delta(df: DataFrame, by: Sequence[str], year: str, val: str, a: int,
             .withColumn("delta", F.col("value_b") - F.col("value_a")))
 
 
+def period_table(df: DataFrame, by: Sequence[str], year: str, vals: Sequence[str], a: int, b: int) -> DataFrame:
+    """Both periods of several values, as `<value>_a` and `<value>_b`; a key that one period lacks counts 0 there."""
+    at = lambda v, y: F.sum(F.when(F.col(year) == y, F.col(v)).otherwise(F.lit(0.0)))
+    return df.filter(F.col(year).isin(a, b)).groupBy(*by).agg(*[at(v, y).alias(f"{v}_{n}") for v in vals for n, y in (("a", a), ("b", b))])
+
+
 def expand_draws(df: DataFrame, n: int, draw: str = "draw", block: int = 8192) -> DataFrame:
     """Rows x draws; a task expands (row, block of draws) pairs.
 

@@ -88,17 +88,15 @@ def _year_stats(s: DataFrame, key: Sequence[str], val: str, pilot: int | None =
 
 
 def build_sensor_elements(masses: DataFrame) -> DataFrame:
-    """Element mass per segment and element, and per sensor type with its share of the variance.
+    """Element mass per segment and element, and per sensor type with its share of the variance: all ten statistics.
 
     masses: segment, sensor_type, comp_id, element, draw, value.
     """
     fine = masses.groupBy("segment", "element", "sensor_type", "draw").agg(F.sum("value").alias("value"))
     sets = fine.groupingSets([[F.col(c) for c in ("segment", "element", "sensor_type", "draw")], [F.col(c) for c in ("segment", "element", "draw")]],
                              *[F.col(c) for c in ("segment", "element", "sensor_type", "draw")]).agg(F.sum("value").alias("value"))
-    s = sets.withColumn("sensor_type", F.coalesce("sensor_type", F.lit("ALL")))
-    m = st.moments(s, ["segment", "element", "sensor_type"], "value")
-    p = st.exact_percentiles(s, ["segment", "element", "sensor_type"], "value", {"p025": 2.5, "p50": 50, "p975": 97.5})
-    t = gw.join_on(m, p, ["segment", "element", "sensor_type"])
+    s = stored(sets.withColumn("sensor_type", F.coalesce("sensor_type", F.lit("ALL"))), "sensor_masses")
+    t = st.summary_stats(s, ["segment", "element", "sensor_type"], "value").withColumn("var", F.col("std") * F.col("std"))
     t = gw.with_group(t, ["segment", "element"], {"_tv": F.max(F.when(F.col("sensor_type") == "ALL", F.col("var")))}, bounded=True)
     loc = masses.groupBy("segment", "element", "sensor_type").agg(F.countDistinct("comp_id").alias("n_locations"))
     t = gw.join_on(t, loc, ["segment", "element", "sensor_type"])

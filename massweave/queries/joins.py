@@ -80,6 +80,20 @@ def d06(spark, sf):
     return jn.contains_lookup(p, "url", tok, "token", ["first_page", "token"], ["page_id"]).select("page_id", "token", "first_page")
 
 
+# several brands of one type: the one whose number the part's name holds is taken
+@query("d06_contains_narrowed", """
+WITH tok AS (SELECT p_type AS token, p_brand AS brand, split_part(p_brand, '#', 2) AS num, min(p_size) AS size FROM part GROUP BY ALL),
+ src AS (SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_brand AS label FROM part),
+ m AS (SELECT p_partkey, t.*, contains(label, '#' || num) AS ok, count(*) OVER (PARTITION BY p_partkey) AS n FROM src JOIN tok t ON contains(lower(label), lower(token)))
+SELECT p_partkey, token, brand, size FROM m WHERE n = 1 OR ok QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY brand, token, num, size) = 1""")
+def d06_narrowed(spark, sf):
+    p = table(spark, sf, "part")
+    tok = p.groupBy(F.col("p_type").alias("token"), F.col("p_brand").alias("brand"), F.element_at(F.split("p_brand", "#"), 2).alias("num")).agg(F.min("p_size").alias("size"))
+    src = p.select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("label"))
+    t = jn.contains_lookup(src, "label", tok, "token", ["brand", "token"], ["p_partkey"], F.contains("label", F.concat(F.lit("#"), "num")), strict=True)
+    return t.select("p_partkey", "token", "brand", "size")
+
+
 @query("d07_attach_stats", """
 WITH s AS (SELECT l_suppkey, l_returnflag, avg(l_quantity) AS mean, stddev_pop(l_quantity) AS std FROM lineitem GROUP BY ALL),
  one AS (SELECT l_suppkey, arg_min(mean, l_returnflag) AS m, arg_min(std, l_returnflag) AS u FROM s WHERE l_suppkey % 7 <> 0 GROUP BY 1)

@@ -70,17 +70,24 @@ def k03(spark, sf):
 
 
 # ---- sensor elements -------------------------------------------------------------
+TEN = ["mean", "std", "min", "max", *st.TEN, "mode"]
+
+
+def ten_sql(v):
+    return ", ".join(f"quantile_cont({v}, {q / 100!r}) AS {c}" for c, q in st.TEN.items())
+
+
 K04_SQL = qd.MASS_SQL.replace("range(4)", "range(12)") + """, f AS (SELECT segment, element, sensor_type, draw, sum(value) AS v FROM masses GROUP BY ALL),
  s AS (SELECT * FROM f UNION ALL SELECT segment, element, 'ALL', draw, sum(v) FROM f GROUP BY ALL),
- m AS (SELECT segment, element, sensor_type, count(v) AS n, avg(v) AS mean, stddev_pop(v) AS std, var_pop(v) AS var, quantile_cont(v, 0.025) AS p025, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.975) AS p975 FROM s GROUP BY ALL),
+ m AS (SELECT segment, element, sensor_type, count(v) AS n, avg(v) AS mean, stddev_pop(v) AS std, var_pop(v) AS var, min(v) AS min, max(v) AS max, """ + ten_sql("v") + """ FROM s GROUP BY ALL), """ + qs.exact_hist_sql("s", "segment, element, sensor_type", "v", 200, "x4") + ", " + qs.mode_sql("x4", "segment, element, sensor_type", name="m4") + """,
  loc AS (SELECT segment, element, sensor_type, count(DISTINCT comp_id) AS n_locations FROM masses GROUP BY ALL)"""
 
 
-@query("k04_sensor_elements", "WITH " + K04_SQL + """ SELECT m.segment, m.element, m.sensor_type, n, round(mean, 4) AS mean, round(std, 4) AS std, round(p025, 4) AS p025, round(p50, 4) AS p50, round(p975, 4) AS p975, n_locations,
- round(var / max(CASE WHEN m.sensor_type = 'ALL' THEN var END) OVER (PARTITION BY m.segment, m.element), 7) AS variance_share FROM m LEFT JOIN loc ON loc.segment = m.segment AND loc.element = m.element AND loc.sensor_type = m.sensor_type""")
+@query("k04_sensor_elements", "WITH " + K04_SQL + """ SELECT m.segment, m.element, m.sensor_type, n, """ + ", ".join(f"round({c}, 4) AS {c}" for c in TEN) + """, n_locations,
+ round(var / max(CASE WHEN m.sensor_type = 'ALL' THEN var END) OVER (PARTITION BY m.segment, m.element), 7) AS variance_share FROM m JOIN m4 USING (segment, element, sensor_type) LEFT JOIN loc ON loc.segment = m.segment AND loc.element = m.element AND loc.sensor_type = m.sensor_type""")
 def k04(spark, sf):
     t = tb.build_sensor_elements(qd.masses(spark, sf, 12))
-    return t.select("segment", "element", "sensor_type", "n", *[r(c, 4).alias(c) for c in ("mean", "std", "p025", "p50", "p975")], "n_locations", r("variance_share", 7).alias("variance_share"))
+    return t.select("segment", "element", "sensor_type", "n", *[r(c, 4).alias(c) for c in TEN], "n_locations", r("variance_share", 7).alias("variance_share"))
 
 
 # ---- board area ------------------------------------------------------------------
@@ -109,18 +116,28 @@ def k05_scale(spark, sf):
 
 
 # ---- board elements --------------------------------------------------------------
-K06_SQL = qs.GT_SQL + """, e6 AS (SELECT segment, category, size, element, count(*) AS n, avg(mass) AS mean, stddev_pop(mass) AS std, quantile_cont(mass, 0.025) AS p025, quantile_cont(mass, 0.5) AS p50, quantile_cont(mass, 0.975) AS p975 FROM gt GROUP BY ALL)"""
+K06_SQL = qs.GT_SQL + """, e6 AS (SELECT segment, category, size, element, count(*) AS n, avg(mass) AS mean, stddev_pop(mass) AS std, min(mass) AS min, max(mass) AS max, """ + ten_sql("mass") + " FROM gt GROUP BY ALL), " + qs.exact_hist_sql("gt", "segment, category, size, element", "mass", 200, "x6") + ", " + qs.mode_sql("x6", "segment, category, size, element", name="m6")
 
 
 def board_elements(spark, sf):
-    t, key = qs.totals(spark, sf), ["segment", "category", "size", "element"]
-    m = st.moments(t, key, "mass").select(*key, "n", "mean", "std")
-    return gw.join_on(m, st.exact_percentiles(t, key, "mass", {"p025": 2.5, "p50": 50, "p975": 97.5}), key)
+    return st.summary_stats(stored(qs.totals(spark, sf), "board_totals"), ["segment", "category", "size", "element"], "mass")
 
 
-@query("k06_board_elements", "WITH " + K06_SQL + " SELECT segment, category, size, element, n, round(mean, 6) AS mean, round(std, 6) AS std, round(p025, 6) AS p025, round(p50, 6) AS p50, round(p975, 6) AS p975 FROM e6")
+@query("k06_board_elements", "WITH " + K06_SQL + " SELECT segment, category, size, element, n, " + ", ".join(f"round({c}, 6) AS {c}" for c in TEN) + " FROM e6 JOIN m6 USING (segment, category, size, element)")
 def k06(spark, sf):
-    return board_elements(spark, sf).select("segment", "category", "size", "element", "n", *[r(c).alias(c) for c in ("mean", "std", "p025", "p50", "p975")])
+    return board_elements(spark, sf).select("segment", "category", "size", "element", "n", *[r(c).alias(c) for c in TEN])
+
+
+def rhos_sql(src, by, drivers, result, digits=7):
+    parts = [qs.spearman_sql(src, by, d, result, f"rho_{d}") for d in drivers]
+    rows = " UNION ALL ".join(f"SELECT {by}, '{d}' AS driver, rho FROM rho_{d}" for d in drivers)
+    return ", ".join(parts) + f", rhos AS ({rows}) SELECT {by}, driver, round(rho, {digits}) AS rho, round(coalesce(rho * rho / nullif(sum(rho * rho) OVER (PARTITION BY {by}), 0), 0), {digits}) AS share FROM rhos"
+
+
+@query("k06_board_sensitivity", "WITH " + qd.EMASS_SQL + ", " + rhos_sql("emass2", "segment, element", ["area", "conc"], "mass_g"))
+def k06_sensitivity(spark, sf):
+    t = st.rho_shares(stored(qd.element_masses(spark, sf), "element_masses"), ["segment", "element"], ["area", "conc"], "mass_g")
+    return t.select("segment", "element", "driver", r("rho", 7).alias("rho"), r("share", 7).alias("share"))
 
 
 @query("k06_board_elements_by_year", "WITH " + qd.EMASS_SQL + ", st_ AS (SELECT segment, element, avg(mass_g) AS mean, stddev_pop(mass_g) AS std FROM emass2 GROUP BY ALL), " + RANGES_SQL + """,
@@ -158,6 +175,12 @@ def k07(spark, sf):
     return motor_years(spark, sf).select("segment", "quantity", "year", "n", *[r(c).alias(c) for c in ("mean", "std", "p025", "p50", "p975")])
 
 
+@query("k07_motor_sensitivity", "WITH " + qd.MASSD_SQL + ", " + rhos_sql("motor_mass", "segment, motor", ["count", "unit_mass_g"], "mass_kg"))
+def k07_sensitivity(spark, sf):
+    t = st.rho_shares(stored(qd.motor_mass(spark, sf), "motor_mass"), ["segment", "motor"], ["count", "unit_mass_g"], "mass_kg")
+    return t.select("segment", "motor", "driver", r("rho", 7).alias("rho"), r("share", 7).alias("share"))
+
+
 @query("k07_motor_materials", "WITH " + qd.MATD_SQL + """, g AS (SELECT segment, material, draw, sum(mass_kg) AS v, avg(ratio) AS ratio FROM matd GROUP BY ALL)
 SELECT segment, material, count(*) AS n, round(avg(v), 4) AS mean, round(stddev_pop(v), 5) AS std, round(quantile_cont(v, 0.5), 4) AS p50, round(avg(ratio), 8) AS mean_ratio FROM g GROUP BY ALL""")
 def k07_materials(spark, sf):
@@ -335,9 +358,9 @@ def k11_snapshot(spark, sf):
     return st.rollup_rounded(lower(composition(spark, sf)), ["year", "segment", "domain"], ["mean", "lo", "hi"], [1997, 1999, 2001], 4)
 
 
-@query("k11_detail", "WITH " + K10_SQL + " SELECT year, segment, domain, ctype, element, round(sum(mean), 6) AS mean FROM kcomp WHERE year IN (1997, 2001) GROUP BY ALL")
+@query("k11_detail", "WITH " + K10_SQL + " SELECT year, segment, domain, ctype, element, round(sum(mean), 6) AS mean, round(sum(lo), 6) AS lo, round(sum(hi), 6) AS hi FROM kcomp WHERE year IN (1997, 2001) GROUP BY ALL")
 def k11_detail(spark, sf):
-    return st.rollup_rounded(lower(composition(spark, sf)), ["year", "segment", "domain", "ctype", "element"], ["mean"], [1997, 2001], 6)
+    return st.rollup_rounded(lower(composition(spark, sf)), ["year", "segment", "domain", "ctype", "element"], ["mean", "lo", "hi"], [1997, 2001], 6)
 
 
 @query("k11_change", "WITH " + K10_SQL + """, d AS (SELECT domain, ctype, round(sum(CASE WHEN year = 1997 THEN mean ELSE 0 END), 5) AS value_a, round(sum(CASE WHEN year = 2001 THEN mean ELSE 0 END), 5) AS value_b,
@@ -348,6 +371,14 @@ def k11_change(spark, sf):
     return rk.top_changes(d.withColumns({c: r(c, 5) for c in ("value_a", "value_b", "delta")}), "delta", 16, ["domain", "ctype"])
 
 
+@query("k11_change_table", "WITH " + K10_SQL + " SELECT segment, domain, ctype, " + ", ".join(f"round(sum(CASE WHEN year = 1997 THEN {c} ELSE 0 END), 5) AS {c}_a, round(sum(CASE WHEN year = 2001 THEN {c} ELSE 0 END), 5) AS {c}_b" for c in ("mean", "lo", "hi"))
+       + ", round(sum(CASE WHEN year = 2001 THEN mean ELSE 0 END) - sum(CASE WHEN year = 1997 THEN mean ELSE 0 END), 5) AS delta FROM kcomp WHERE year IN (1997, 2001) GROUP BY ALL")
+def k11_change_table(spark, sf):
+    t = jn.period_table(lower(composition(spark, sf)), ["segment", "domain", "ctype"], "year", ["mean", "lo", "hi"], 1997, 2001)
+    t = t.withColumn("delta", F.col("mean_b") - F.col("mean_a"))
+    return t.withColumns({c: r(c, 5) for c in t.columns[3:]})
+
+
 # ---- consolidated templates ------------------------------------------------------
 @query("k12_board_template", """
 WITH src AS (SELECT p_partkey, p_type, p_name, CASE WHEN contains(upper(p_brand), '#1') THEN 'AB' WHEN contains(upper(p_brand), '#2') THEN 'CD' ELSE 'EF' END AS segment FROM part),

@@ -323,3 +323,42 @@ def test_streams_add_up(spark):
     assert "Fe" not in t.loc[("Copper", "small", "AB")].index and t.loc[("Copper", "ALL", "CD", "S")].mean_fraction < 1e-4
     assert abs(t.loc[("NdFeB", "ALL", "AB", "TotalMass")].mean_mass_kg - 2 * t.loc[("NdFeB", "small", "AB", "TotalMass")].mean_mass_kg) < 1e-9
     assert t.loc[("Copper", "ALL", "AB", "TotalMass")].p50_mass_kg == 2 * (2 + 9.5)
+
+
+def test_contains_lookup_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(rng.choice(list("abC"), n))
+    texts = [(i, word(int(rng.integers(0, 12)))) for i in range(80)] + [(80, None), (81, "")]
+    toks = [(word(int(n)), int(o)) for n, o in zip(rng.integers(1, 6, 25), rng.integers(0, 9, 25))] + [(None, 0)]
+    left, right = spark.createDataFrame(texts, "id int, t string"), spark.createDataFrame(toks, "tok string, o int")
+    want = {i: min(((o, k) for k, o in toks if k is not None and t is not None and k.lower() in t.lower()), default=None) for i, t in texts}
+    got = jn.contains_lookup(left, "t", right, "tok", ["o", "tok"], ["id"]).collect()
+    assert len(got) == len(texts) and {r.id: None if r.tok is None else (r.o, r.tok) for r in got} == want
+    every = jn.contains_lookup(left, "t", spark.createDataFrame([("", 1)], "tok string, o int"), "tok", ["o"], ["id"]).collect()
+    assert {r.id for r in every if r.o == 1} == {i for i, t in texts if t is not None}
+
+
+def test_contains_lookup_narrows_only_where_several_match(spark):
+    left = spark.createDataFrame([(1, "step motor", "metal"), (2, "dc motor", "wood"), (3, "step motor", "wood")], "id int, t string, gear string")
+    right = spark.createDataFrame([("STEP", "Metal", 5), ("step", "plastic", 6), ("dc", "plastic", 7)], "tok string, kind string, mass int")
+    same = F.lower(F.col("kind")) == F.col("gear")
+    got = {r.id: r.mass for r in jn.contains_lookup(left, "t", right, "tok", ["mass"], ["id"], same).collect()}
+    assert got == {1: 5, 2: 7, 3: None}
+    with pytest.raises(Exception, match=r"nothing contained for \(id\) = 3"):
+        jn.contains_lookup(left, "t", right, "tok", ["mass"], ["id"], same, strict=True).count()
+    assert jn.contains_lookup(left, "t", right.limit(0), "tok", ["mass"], ["id"]).filter("mass is null").count() == 3
+
+
+def test_contains_lookup_explodes_one_length_of_substrings(spark):
+    from pyspark.sql import Row
+    left = spark.createDataFrame([Row(id=1, t="x" * 40 + "needle" + "".join(chr(97 + i % 26) for i in range(400)))])
+    right = spark.createDataFrame([("needle" + "y" * i, i) for i in range(50)], "tok string, o int")
+    assert jn.contains_lookup(left, "t", right, "tok", ["o"], ["id"]).first().o == 0
+    grams = left.select(F.size(jn.grams_of(F.col("t"), F.array(F.lit(3)))).alias("n")).first().n
+    assert grams <= 40
+
+
+def test_period_table_counts_a_missing_period_as_zero(spark):
+    df = spark.createDataFrame([("a", 1, 2.0, 1.0), ("a", 2, 5.0, 4.0), ("b", 2, 7.0, 6.0), ("c", 3, 9.0, 9.0)], "k string, year int, m double, lo double")
+    got = {r.k: tuple(r)[1:] for r in jn.period_table(df, ["k"], "year", ["m", "lo"], 1, 2).collect()}
+    assert got == {"a": (2.0, 5.0, 1.0, 4.0), "b": (0.0, 7.0, 0.0, 6.0)}

@@ -12,7 +12,7 @@ SAMPLE = ["a02_clean_table", "a08_parse_series_name", "a11_flatten_composition",
           "c02_override_or_scale", "c11_balance", "c12_normalise", "d01_strict_lookup", "d06_contains_lookup", "d10_bracket_join", "d12_max_abs_diff",
           "e01_monotone_curve", "e02_shift_curve", "e05_substitute_marker", "e09_anchor_to_base", "f03_triangular", "f09_range_draws", "f18_calibrated_presence",
           "f21_material_draws", "f24_resample_bins", "g01_series_totals", "g02_hist_acc", "g05_hist_percentile", "g06_exact_percentiles", "g07_coarse",
-          "g14_spearman", "g35_stream_hist", "w01_running_sum", "w03_row_id", "h02_top_k_per", "k02_motor_distribution", "k08_stream_elements", "k08_streams", "b03_dedup_report", "g36_mean_by_year", "j07_binned_against_exact"]
+          "g14_spearman", "g35_stream_hist", "w01_running_sum", "w03_row_id", "h02_top_k_per", "k02_motor_distribution", "k08_stream_elements", "k08_streams", "b03_dedup_report", "d06_contains_narrowed", "k06_board_sensitivity", "k07_motor_sensitivity", "k11_change_table", "g36_mean_by_year", "j07_binned_against_exact"]
 NAMES = sorted(ORACLES) if os.environ.get("FULL") else SAMPLE
 
 
