@@ -2,13 +2,13 @@
 
 DataFrame functions only. The schedule has a fixed number of slots; a slot
 stands for one block of words, so blocks grow with the corpus and the schedule
-does not. A source whose target is a small number of slots is cut by its own
-words instead: whole passes, and an exact part of one.
+does not. A source's blocks are of one size: its target over its slots. Every
+source gets slots enough, whatever its share of the mix.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from massweave.llm.common import doc_key, stored
@@ -16,8 +16,10 @@ from massweave.llm.common import doc_key, stored
 WORD = r"[^\x20\x09-\x0D]+"
 #: Slots of the schedule: the resolution of the mix.
 SLOTS = 1 << 18
-#: A source with a target of so many slots comes from the schedule, within a few of them.
-FINE = 1 << 12
+#: A source's stretch of the schedule is at least one in so many of the mix, so a small source's blocks are small.
+FLOOR = 64
+#: Slots there are at least for each source.
+PER_SOURCE = 16
 #: Golden-ratio points i * GOLDEN mod 2^31, exact in BIGINT.
 GOLDEN, TURN = 1_327_217_885, 1 << 31
 #: Hash ranges a source's shuffled order is cut into.
@@ -36,7 +38,10 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 
 def targets(per: DataFrame, share: float, most: float, weights: tuple[int, ...]) -> DataFrame:
-    """One row per source: s (its rank), source_size, target, lo and hi (its stretch of the mix), total.
+    """One row per source: s (its rank), source_size, target, lo and hi (its stretch of the schedule), total (all stretches).
+
+    A stretch is as long as the target, or the FLOOR-th part of the mix if that is
+    longer; a source without words has none. The windows run over the sources, one row each, in one task.
 
     Filling by weight until a source holds `most` times its words: sources in
     order of size by weight are full as long as the level of the rest is above them.
@@ -54,50 +59,37 @@ def targets(per: DataFrame, share: float, most: float, weights: tuple[int, ...])
     src = src.select("*", F.max(F.when(F.col("i") == F.col("first"), F.col("level"))).over(everything).alias("rest"))
     t = F.when(F.col("i") < F.coalesce("first", F.lit(1 << 30)), full).otherwise(F.col("rest") * F.col("w"))
     src = src.select("sk", "sn", "s", "source_size", "total", t.alias("target"))
+    src = src.select("*", F.when(F.col("target") > 0, F.greatest("target", F.col("total") / F.lit(float(FLOOR)))).otherwise(F.lit(0.0)).alias("wide"))
     run = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    src = src.select("*", F.sum("target").over(run).alias("top"), F.max("s").over(everything).alias("last"))
-    return src.select("sk", "sn", "s", "source_size", "target", "total", (F.col("top") - F.col("target")).alias("lo"),
-                      F.when(F.col("s") == F.col("last"), F.col("total") * 2).otherwise(F.col("top")).alias("hi"))
-
-
-def block(slots: int) -> Column:
-    """Words of a block, not rounded."""
-    return F.col("total") / F.lit(float(slots))
-
-
-def coarse(beta: Column) -> Column:
-    """Whether blocks of `beta` words are too large for the source's target."""
-    return F.col("target") < beta * F.lit(float(FINE))
-
-
-def own_passes() -> Column:
-    """Words a source cut by its own words gives of a document: its rounded target is whole passes and the first words of the next."""
-    goal = F.least(F.round("target").cast("long"), 2 * F.col("source_size"))
-    part = F.pmod(goal, F.col("source_size"))
-    return (F.col("size") * F.floor(goal / F.col("source_size"))
-            + F.greatest(F.least(F.col("end"), part) - (F.col("end") - F.col("size")), F.lit(0))).cast("long")
+    src = src.select("*", F.sum("wide").over(run).alias("top"), F.max(F.when(F.col("wide") > 0, F.col("s"))).over(everything).alias("last"))
+    src = src.select("*", F.max("top").over(everything).alias("all"))
+    return src.select("sk", "sn", "s", "source_size", "target", F.col("all").alias("total"), (F.col("top") - F.col("wide")).alias("lo"),
+                      F.when(F.col("s") == F.col("last"), F.col("all") * 2).otherwise(F.col("top")).alias("hi"))
 
 
 def schedule(src: DataFrame, slots: int) -> DataFrame:
-    """(s, block, uses): how often the schedule takes each block of each source.
+    """(i, s, chunk): the source that takes slot i.
 
-    Slot i falls at the i-th golden-ratio point of the mix; the source whose
-    stretch holds the point gets it. The n-th slot of a source takes its block
-    n modulo its number of blocks.
+    Slot i falls at the i-th golden-ratio point of the schedule; the source whose
+    stretch holds the point gets it.
     """
-    spark = src.sparkSession
-    slot = spark.range(slots).select(F.col("id").alias("i"), (F.col("id") * GOLDEN % TURN).alias("u"))
+    slot = src.sparkSession.range(slots).select(F.col("id").alias("i"), (F.col("id") * GOLDEN % TURN).alias("u"))
     slot = slot.select("i", "u", F.floor(F.col("u") / (TURN // CELLS)).cast("int").alias("cell"))
-    stretch = src.filter("total > 0 and target > 0").filter(~coarse(block(slots))).select("*", F.explode(F.sequence(
+    stretch = src.filter("total > 0 and target > 0").select("*", F.explode(F.sequence(
         F.floor(F.col("lo") / F.col("total") * CELLS).cast("int"), F.least(F.floor(F.col("hi") / F.col("total") * CELLS), F.lit(CELLS - 1)).cast("int"))).alias("cell"))
     x = F.col("u") / F.lit(float(TURN)) * F.col("total")
-    of = slot.join(stretch, "cell").filter((x >= F.col("lo")) & (x < F.col("hi"))).select("i", "s", F.ceil(F.col("source_size") / block(slots)).alias("blocks"))
-    of = stored(of.select("*", F.shiftright("i", 11).alias("chunk")), "slots")
+    of = slot.join(stretch, "cell").filter((x >= F.col("lo")) & (x < F.col("hi")))
+    return of.select("i", "s", F.shiftright("i", 11).alias("chunk"))
+
+
+def uses(of: DataFrame, src: DataFrame) -> DataFrame:
+    """(s, block, uses): how often the schedule takes each block of each source; the n-th slot of a source takes its block n modulo its number of blocks."""
     before = of.groupBy("s", "chunk").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("s").orderBy("chunk")
     before = before.select("s", "chunk", (F.sum("n").over(w) - F.col("n")).alias("before"))
     rank = F.col("before") + F.row_number().over(Window.partitionBy("s", "chunk").orderBy("i")) - 1
-    ranked = of.join(before, ["s", "chunk"]).select("s", "blocks", rank.alias("rank")).filter("rank < 2 * blocks")
+    blocks = src.select("s", F.ceil(F.col("source_size") / F.col("beta")).alias("blocks"))
+    ranked = of.join(before, ["s", "chunk"]).select("s", rank.alias("rank")).join(blocks, "s").filter("rank < 2 * blocks")
     return ranked.groupBy("s", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count(F.lit(1)).alias("uses"))
 
 
@@ -107,8 +99,10 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     Sources in code point order, null last, take `weights` in turn and share
     `share` of all words; a target stops at `most` (2 at least as the schedule
     goes) times its source's words. taken counts the words the schedule takes
-    of a document, repeats included: never above twice its size. A source with
-    a target below FINE slots gives its rounded target to the word.
+    of a document, repeats included: never above twice its size. A source comes
+    within a block a pass of its target, and a block is the target over the
+    source's slots, which are about one in FLOOR + sources of all, or more. The
+    schedule is longer where sources are so many that they need it.
 
     A null text has no word, and a document without words is taken nowhere. A
     null doc_id keeps its row. Rows that repeat are rows of their own that
@@ -118,24 +112,27 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     d = stored(sizes(docs), "sizes")
     per = stored(d.groupBy("sk", "sn", "bucket").agg(F.sum("size").alias("words")), "ranges")
     src = stored(targets(per, share, most, weights), "targets")
+    slots = max(slots, PER_SOURCE * src.count())
+    of = stored(schedule(src, slots), "slots")
+    beta = F.col("target") / F.col("n")                    # words of a block, not rounded
+    src = stored(src.join(of.groupBy("s").agg(F.count(F.lit(1)).alias("n")), "s", "left").select("sk", "sn", "s", "source_size", "target", beta.alias("beta")), "blocks")
     order = Window.partitionBy("sk", "sn").orderBy("bucket")
     per = per.select("*", (F.sum("words").over(order) - F.col("words")).alias("ahead")).join(src, ["sk", "sn"])
-    per = stored(per.select("sk", "sn", "bucket", "ahead", "s", "source_size", "target", block(slots).alias("beta")), "ahead")
+    per = stored(per.select("sk", "sn", "bucket", "ahead", "s", "source_size", "target", "beta"), "ahead")
     w = Window.partitionBy("sk", "sn", "bucket").orderBy("h", "doc_id", "size", "key")
     d = d.join(per, ["sk", "sn", "bucket"]).select(
         "*", F.row_number().over(w).alias("r"),
         (F.col("ahead") + F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("end"))
     start, beta = F.col("end") - F.col("size"), F.col("beta")
-    d = d.select("*", F.when(coarse(beta) & (F.col("size") > 0), own_passes()).alias("own"))
-    reach = F.when((F.col("size") > 0) & F.isnull("own"), F.sequence(
+    reach = F.when(F.col("size") > 0, F.sequence(
         F.greatest(F.floor(start / beta) - 1, F.lit(0)), F.floor(F.col("end") / beta) + 1))
     piece = d.select("*", F.explode_outer(reach).alias("block"))
     words = F.least(F.col("end"), F.floor((F.col("block") + 1) * beta)) - F.greatest(start, F.floor(F.col("block") * beta))
     piece = piece.select("*", words.alias("words")).filter("block is null or words > 0")
-    same = ["sk", "sn", "bucket", "r", "doc_id", "key", "size", "source_size", "target", "own"]
-    taken = (piece.join(schedule(src, slots), ["s", "block"], "left").groupBy(*same)
+    same = ["sk", "sn", "bucket", "r", "doc_id", "key", "size", "source_size", "target"]
+    taken = (piece.join(uses(of, src), ["s", "block"], "left").groupBy(*same)
              .agg(F.sum(F.coalesce(F.col("words") * F.col("uses"), F.lit(0))).cast("long").alias("taken")))
-    return taken.select("doc_id", "size", "source_size", "target", F.coalesce("own", "taken").alias("taken"), "key", "sk", "sn")
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "key", "sk", "sn")
 
 
 def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, slots: int = SLOTS) -> DataFrame:
@@ -168,12 +165,14 @@ s3 AS (SELECT *, row_number() OVER (ORDER BY source_size * 2.0::DOUBLE / w, s) A
 s4 AS (SELECT a.*, (a.total - coalesce((SELECT sum(b.source_size) * 2.0::DOUBLE FROM s3 b WHERE b.i < a.i), 0)) / (SELECT sum(b.w) FROM s3 b WHERE b.i >= a.i) AS level FROM s3 a),
 s5 AS (SELECT min(i) AS first FROM s4 WHERE source_size * 2.0::DOUBLE > level * w),
 s6 AS (SELECT s4.*, CASE WHEN i < coalesce(first, 1 << 30) THEN source_size * 2.0::DOUBLE ELSE (SELECT level FROM s4 z WHERE z.i = first) * w END AS target FROM s4, s5),
-s7 AS (SELECT a.*, (SELECT sum(b.target) FROM s6 b WHERE b.s <= a.s) AS top, total / {float(SLOTS)}::DOUBLE AS beta FROM s6 a),
-s8 AS (SELECT *, top - target AS lo, CASE WHEN s = max(s) OVER () THEN total * 2 ELSE top END AS hi, ceil(source_size / beta)::BIGINT AS blocks FROM s7),
+w6 AS (SELECT *, CASE WHEN target > 0 THEN greatest(target, total / {float(FLOOR)}::DOUBLE) ELSE 0.0::DOUBLE END AS wide FROM s6),
+s7 AS (SELECT a.*, (SELECT sum(b.wide) FROM w6 b WHERE b.s <= a.s) AS top FROM w6 a),
+w7 AS (SELECT *, top - wide AS lo, max(top) OVER () AS every, CASE WHEN s = max(CASE WHEN wide > 0 THEN s END) OVER () THEN max(top) OVER () * 2 ELSE top END AS hi FROM s7),
 slot AS (SELECT i, (i * {GOLDEN}) % {TURN} AS u FROM range({SLOTS}) r(i)),
-of AS (SELECT slot.i, s8.s, blocks, row_number() OVER (PARTITION BY s8.s ORDER BY slot.i) - 1 AS rank
-       FROM slot JOIN s8 ON u / {float(TURN)}::DOUBLE * total >= lo AND u / {float(TURN)}::DOUBLE * total < hi WHERE total > 0 AND target > 0),
-uses AS (SELECT s, rank % blocks AS block, count(*) AS uses FROM of WHERE rank < 2 * blocks GROUP BY ALL),
+of AS (SELECT slot.i, w7.s, row_number() OVER (PARTITION BY w7.s ORDER BY slot.i) - 1 AS rank
+       FROM slot JOIN w7 ON u / {float(TURN)}::DOUBLE * every >= lo AND u / {float(TURN)}::DOUBLE * every < hi WHERE every > 0 AND target > 0),
+s8 AS (SELECT w7.s, source, source_size, target, target / n AS beta, ceil(source_size / (target / n))::BIGINT AS blocks FROM w7 LEFT JOIN (SELECT s, count(*) AS n FROM of GROUP BY s) c USING (s)),
+uses AS (SELECT s, rank % blocks AS block, count(*) AS uses FROM of JOIN s8 USING (s) WHERE rank < 2 * blocks GROUP BY ALL),
 p AS (SELECT h.doc_id, h.size, s8.*, row_number() OVER () AS r,
              sum(h.size) OVER (PARTITION BY s8.s ORDER BY h.h, h.doc_id, h.size ROWS UNBOUNDED PRECEDING)::BIGINT AS stop
       FROM h JOIN s8 ON h.source IS NOT DISTINCT FROM s8.source),
