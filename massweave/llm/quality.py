@@ -1,9 +1,8 @@
-"""Quality classifier: supervised subword embeddings, averaged per document, softmax output."""
+"""Quality classifier: supervised embeddings of words, word pairs and character n-grams, averaged per document, softmax output."""
 
 from __future__ import annotations
 
 import math
-import operator
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -19,18 +18,15 @@ from massweave.llm.common import doc_key, only, stored
 
 @dataclass(frozen=True)
 class Params:
-    """`sample` bounds the labelled rows learned from; `cache` the words a task remembers.
-
-    `repeat` is how often the n-gram of a word and itself counts, whatever the word.
-    """
+    """`sample` bounds the labelled rows learned from; `cache` the words a task remembers; `pair` is how often a word bigram counts."""
     buckets: int = 1 << 16
     dim: int = 8
     shortest: int = 3
     longest: int = 5
-    sample: int = 2500
+    sample: int = 4000
     epochs: int = 6
     rate: float = 0.5
-    repeat: int = 8
+    pair: int = 4
     seed: int = 42
     cache: int = 400_000
 
@@ -45,13 +41,19 @@ def features(word: str, p: Params) -> list[int]:
     return [x % p.buckets for x in out]
 
 
-def repeats(words: list[str]) -> int:
-    """Word bigrams whose words are equal; they share one bucket."""
-    return sum(map(operator.eq, words, words[1:]))
+def word_hash(word: str) -> int:
+    return zlib.crc32(word.encode())
 
 
-def same_bucket(p: Params) -> int:
-    return zlib.crc32(b"same again") % p.buckets
+def pair_buckets(h: np.ndarray, p: Params) -> np.ndarray:
+    """Buckets of the word bigrams of a text, from the hashes of its words in order (uint32).
+
+    Bigrams of two equal words share one bucket, so that what is learned of some
+    words that follow themselves holds for all.
+    """
+    mixed = (h[:-1] * np.uint32(2_654_435_761)) ^ (h[1:] * np.uint32(2_246_822_519))
+    mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(3_266_489_917) >> np.uint32(7)
+    return np.where(h[:-1] == h[1:], zlib.crc32(b"same again"), mixed) % p.buckets
 
 
 def bags(rows: DataFrame, p: Params) -> DataFrame:
@@ -65,7 +67,9 @@ def bags(rows: DataFrame, p: Params) -> DataFrame:
                 found = [features(w, p) for w in count]
                 times = np.repeat(list(count.values()), [len(f) for f in found]) if found else np.zeros(0)
                 bag = np.bincount(np.array([x for f in found for x in f], dtype=np.int64), weights=times, minlength=p.buckets).astype(np.int32)
-                bag[same_bucket(p)] += p.repeat * repeats(words)
+                h = {w: word_hash(w) for w in count}
+                pairs = pair_buckets(np.fromiter(map(h.__getitem__, words), np.uint32, len(words)), p)
+                bag += (p.pair * np.bincount(pairs, minlength=p.buckets)).astype(np.int32)
                 at = np.flatnonzero(bag)
                 ids.append(at.astype(np.int32).tobytes())
                 counts.append(bag[at].tobytes())
@@ -89,17 +93,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
     return d.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))   # at most `sample` rows
 
 
-def fit(docs: DataFrame, labels: DataFrame, p: Params) -> np.ndarray:
-    """Learned evidence of each bucket for label 1: its embedding times the difference of the output rows.
+def learned(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Embeddings of the buckets and the output rows of labels 0 and 1.
 
     Stochastic gradient descent in numpy, one document a step, on the bounded
-    sample's bags. Without both labels nothing is learned and all evidence is 0.
+    sample's bags. Without both labels nothing is learned and both are 0.
     """
     rows = stored(bags(training_rows(docs, labels, p), p), "bags").collect()
     rows.sort(key=lambda r: r.doc_id)
     y = np.array([r.quality for r in rows], dtype=np.int64).clip(0, 1)
     if len(set(y.tolist())) < 2:
-        return np.zeros(p.buckets)
+        return np.zeros((p.buckets, p.dim)), np.zeros((p.dim, 2))
     xs = [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.counts, np.int32)) for r in rows]
     rng = np.random.default_rng(p.seed)
     emb = rng.uniform(-1 / p.dim, 1 / p.dim, (p.buckets, p.dim))
@@ -124,31 +128,43 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params) -> np.ndarray:
             back = out @ g
             out -= np.outer(hidden, g)
             emb[ids] -= np.outer(c * len(ids) ** 0.5, back)
+    return emb, out
+
+
+def fit(docs: DataFrame, labels: DataFrame, p: Params) -> np.ndarray:
+    """Learned evidence of each bucket for label 1: its embedding times the difference of the output rows."""
+    emb, out = learned(docs, labels, p)
     return emb @ (out[:, 1] - out[:, 0])
 
 
 class Evidence(dict):
-    """A word's (sum of evidence, number of buckets); forgets all when full."""
+    """word -> row of `sums` (evidence of its buckets), `sizes` (their number) and `hashes`; forgets all between texts when full."""
 
     def __init__(self, evidence: np.ndarray, p: Params):
         super().__init__()
-        self.evidence, self.p = evidence, p
-
-    def __missing__(self, word: str) -> complex:
-        f = features(word, self.p)
-        if len(self) >= self.p.cache:
-            self.clear()
-        v = complex(float(self.evidence[f].sum()), len(f))   # one addition sums both
-        if len(word) <= 64:
-            self[word] = v
-        return v
+        self.evidence, self.p, self.chars = evidence, p, 0
+        self.sums, self.sizes, self.hashes = np.zeros(1024), np.zeros(1024, np.int64), np.zeros(1024, np.uint32)
+
+    def __missing__(self, word: str) -> int:
+        f, i = features(word, self.p), len(self)
+        if i == len(self.sums):
+            self.sums, self.sizes, self.hashes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.sizes, self.hashes))
+        self.sums[i], self.sizes[i], self.hashes[i] = self.evidence[f].sum(), len(f), word_hash(word)
+        self[word] = i
+        self.chars += len(word)
+        return i
 
     def logit(self, text: str | None) -> float:
         """Evidence of a whole text, averaged over its features; 0 where it has none."""
+        if len(self) >= self.p.cache or self.chars >= 32 * self.p.cache:
+            self.clear()
+            self.chars = 0
         words = (text or "").split()
-        n = self.p.repeat * repeats(words)
-        v = sum(map(self.__getitem__, words), complex(n * float(self.evidence[same_bucket(self.p)]), n))
-        return v.real / v.imag if v.imag else 0.0
+        if not words:
+            return 0.0
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        pairs = self.evidence[pair_buckets(self.hashes[at], self.p)]
+        return float((self.sums[at].sum() + self.p.pair * pairs.sum()) / (self.sizes[at].sum() + self.p.pair * len(pairs)))
 
 
 def remembered(evidence: np.ndarray, p: Params) -> Evidence:
@@ -183,7 +199,7 @@ def score(docs: DataFrame, evidence: np.ndarray, p: Params, threshold: float = 0
 def classify(docs: DataFrame, labels: DataFrame, p: Params | None = None, threshold: float = 0.3) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, key (names the text), score, predicted.
 
-    Only the text makes a score. Empty and null texts, and all texts where the
+    Only the text makes a score. Words are what white space leaves. Empty and null texts, and all texts where the
     labels hold a single class, score 0.5. Repeated rows score alike; rows with
     a null doc_id are scored and never learned from; label rows with nulls are
     not learned from; of several labels of one document the largest counts.
@@ -193,7 +209,11 @@ def classify(docs: DataFrame, labels: DataFrame, p: Params | None = None, thresh
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, p: Params | None = None, threshold: float = 0.3) -> DataFrame:
-    """The rows of `docs`, all columns, that the classifier does not reject."""
+    """The rows of `docs`, all columns, that the classifier does not reject.
+
+    Null and empty texts score 0.5 and stay; repeated rows stay or go together; an
+    empty table gives an empty one.
+    """
     p = p or Params()
     evidence = fit(docs, labels, p)
 

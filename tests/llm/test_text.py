@@ -139,6 +139,35 @@ def test_quality_never_learns_the_held_out(docs, labels):
     assert np.array_equal(quality.fit(docs, labels, SMALL), quality.fit(docs, lies, SMALL))
 
 
+def test_quality_is_a_softmax_of_averaged_vectors():
+    import math
+    import zlib
+    p = quality.Params(buckets=256, dim=4, cache=5)
+    rng = np.random.default_rng(1)
+    emb, out = rng.normal(size=(p.buckets, p.dim)), rng.normal(size=(p.dim, 2))
+    known = quality.Evidence(emb @ (out[:, 1] - out[:, 0]), p)
+    h = lambda w: zlib.crc32(w.encode())
+
+    def direct(text):
+        words, total, n = text.split(), np.zeros(p.dim), 0
+        for w in words:
+            m = f"<{w}>"
+            for g in [m] + [m[i:i + k] for k in (3, 4, 5) for i in range(max(len(m) - k + 1, 0))]:
+                total, n = total + emb[h(g) % p.buckets], n + 1
+        for a, b in zip(words, words[1:]):
+            x = ((h(a) * 2654435761) ^ (h(b) * 2246822519)) & 0xFFFFFFFF
+            x = (((x ^ (x >> 15)) * 3266489917) & 0xFFFFFFFF) >> 7
+            total, n = total + p.pair * emb[(h("same again") if a == b else x) % p.buckets], n + p.pair
+        z = total / max(n, 1) @ out
+        e = np.exp(z - z.max())
+        return (e / e.sum())[1]
+
+    texts = ["", " \t\n", "one", "a a a a", "the cat sat on the mat the cat", "x" * 5000 + " é 漢字 x", " ".join(f"w{i % 7}" for i in range(3000))]
+    texts += [" ".join(rng.choice(["ab", "abc", "Zz", "q,", "ω"], 20)) for _ in range(20)]
+    for t in [*texts, *texts]:
+        assert abs(1 / (1 + math.exp(-known.logit(t))) - direct(t)) < 1e-9, t[:40]
+
+
 def test_quality_held_out_accuracy(spark, sf):
     d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     r = quality.classify(d, lab).filter("held_out").join(lab, "doc_id").collect()
