@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from massweave.functions import text as tx
 from massweave.operators.cleaning import first_per_key
 from massweave.operators.groupwise import join_on
 from massweave.scale import checked_broadcast
@@ -104,7 +105,7 @@ def attach_stats(src: DataFrame, stats: DataFrame, on: Sequence[str], order: Seq
     """First statistics row per key; unmatched rows stay, and read 'N/A'."""
     one = first_per_key(stats, on, order).select(*on, F.col(mean).alias("_m"), (F.lit(2.0) * F.col(std)).alias("_u"))
     j = src.join(one, list(on), "left")
-    show = lambda c: F.when(F.col(c).isNull(), F.lit("N/A")).otherwise(F.format_string("%.4f", F.col(c)))
+    show = lambda c: F.when(F.col(c).isNull(), F.lit("N/A")).otherwise(tx.four_places(c))
     return j.withColumns({"value": show("_m"), "uncertainty": show("_u")}).drop("_m", "_u")
 
 

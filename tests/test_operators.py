@@ -362,3 +362,13 @@ def test_period_table_counts_a_missing_period_as_zero(spark):
     df = spark.createDataFrame([("a", 1, 2.0, 1.0), ("a", 2, 5.0, 4.0), ("b", 2, 7.0, 6.0), ("c", 3, 9.0, 9.0)], "k string, year int, m double, lo double")
     got = {r.k: tuple(r)[1:] for r in jn.period_table(df, ["k"], "year", ["m", "lo"], 1, 2).collect()}
     assert got == {"a": (2.0, 5.0, 1.0, 4.0), "b": (0.0, 7.0, 0.0, 6.0)}
+
+
+def test_attached_statistics_round_by_exact_value(spark):
+    rng = np.random.default_rng(5)
+    x = [25.65625, 25.00625, 25.00635, 0.00005, 0.00015, 0.03125, 0.99995, 7.99995, 0.0, -2.65625, 1e-9, 4503599627370495.5, 123456.78125]
+    x += [float(a) / int(b) for a, b in zip(rng.integers(1, 10000, 2000), rng.choice([32, 64, 96, 160, 320, 800], 2000))]
+    src = spark.createDataFrame([(i,) for i in range(len(x) + 1)], "k int")
+    stats = spark.createDataFrame([(i, v, abs(v) / 2) for i, v in enumerate(x)], "k int, mean double, std double")
+    got = {r.k: (r.value, r.uncertainty) for r in jn.attach_stats(src, stats, ["k"], ["mean"]).collect()}
+    assert got == {**{i: (f"{v:.4f}", f"{abs(v):.4f}") for i, v in enumerate(x)}, len(x): ("N/A", "N/A")}
