@@ -122,14 +122,23 @@ def period_table(df: DataFrame, by: Sequence[str], year: str, vals: Sequence[str
     return df.filter(F.col(year).isin(a, b)).groupBy(*by).agg(*[at(v, y).alias(f"{v}_{n}") for v in vals for n, y in (("a", a), ("b", b))])
 
 
+#: Up to so many draws a row makes where it is: moving it would cost more than its draws.
+IN_PLACE = 16
+
+
 def expand_draws(df: DataFrame, n: int, draw: str = "draw", block: int = 8192) -> DataFrame:
     """Rows x draws; a task expands (row, block of draws) pairs.
 
-    The pairs are dealt by a hash of the row's own values and the block, over a
-    fixed number of tasks: few rows with very many draws use every task, and a
-    retried task deals them the same way.
+    A few draws (`IN_PLACE`) are made in the row's own task, without a shuffle.
+    For more, the pairs are dealt by a hash of the row's own values and the
+    block, over the session's shuffle partitions or all cores, whichever are
+    more: few rows with very many draws use every task, many rows take as many
+    tasks as any other shuffle, and a retried task deals them the same way.
     """
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-n // block))
+    if n <= min(IN_PLACE, block):
+        return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(draw))
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // block))
     keys = [c for c, t in df.dtypes if not t.startswith(("map", "struct", "array"))]
     blocks = df.select("*", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // block))).alias("_b")).repartition(tasks, *[F.col(f"`{c}`") for c in keys], "_b")
     first = F.col("_b") * block

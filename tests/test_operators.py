@@ -372,3 +372,20 @@ def test_attached_statistics_round_by_exact_value(spark):
     stats = spark.createDataFrame([(i, v, abs(v) / 2) for i, v in enumerate(x)], "k int, mean double, std double")
     got = {r.k: (r.value, r.uncertainty) for r in jn.attach_stats(src, stats, ["k"], ["mean"]).collect()}
     assert got == {**{i: (f"{v:.4f}", f"{abs(v):.4f}") for i, v in enumerate(x)}, len(x): ("N/A", "N/A")}
+
+
+def test_a_few_draws_move_no_row(spark):
+    p = spark.range(100).select(F.col("id").alias("key"), F.lit(1.0).alias("lo"), F.lit(3.0).alias("hi"), F.lit(1.0).alias("factor"))
+    plan = lambda n: sp.range_draws(p, n, ["key"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(8) and "Exchange" in plan(100)
+    few, many = (sp.range_draws(p, n, ["key"]).filter("draw < 8").select("key", "draw", "value") for n in (8, 100))
+    assert few.schema == many.schema and sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_more_draws_follow_the_shuffle_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        assert jn.expand_draws(spark.range(10), 40).rdd.getNumPartitions() == 37
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
