@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -126,7 +126,7 @@ def period_table(df: DataFrame, by: Sequence[str], year: str, vals: Sequence[str
 IN_PLACE = 16
 
 
-def expand_draws(df: DataFrame, n: int, draw: str = "draw", block: int = 8192) -> DataFrame:
+def expand_draws(df: DataFrame, n: int, draw: str = "draw", block: int = 8192, per_row: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows x draws; a task expands (row, block of draws) pairs.
 
     A few draws (`IN_PLACE`) are made in the row's own task, without a shuffle.
@@ -134,16 +134,19 @@ def expand_draws(df: DataFrame, n: int, draw: str = "draw", block: int = 8192) -
     block, over the session's shuffle partitions or all cores, whichever are
     more: few rows with very many draws use every task, many rows take as many
     tasks as any other shuffle, and a retried task deals them the same way.
+    `per_row` adds columns, such as streams, after the rows are dealt: they are
+    not moved, and a small file read by one task is not hashed in that task.
     """
+    per_row = per_row or (lambda d: d)
     if n <= min(IN_PLACE, block):
-        return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(draw))
+        return per_row(df).select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(draw))
     spark = df.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // block))
     keys = [c for c, t in df.dtypes if not t.startswith(("map", "struct", "array"))]
     blocks = df.select("*", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // block))).alias("_b")).repartition(tasks, *[F.col(f"`{c}`") for c in keys], "_b")
     first = F.col("_b") * block
     last = F.least(first + (block - 1), F.lit(n - 1))
-    return blocks.select("*", F.explode(F.sequence(first, last)).alias(draw)).drop("_b")
+    return per_row(blocks).select("*", F.explode(F.sequence(first, last)).alias(draw)).drop("_b")
 
 
 def draws_over(params: DataFrame, n: int, draw: str = "draw", max_rows: int = 20_000, per_task: int = 1 << 20) -> DataFrame:

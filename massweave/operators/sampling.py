@@ -40,7 +40,7 @@ def area_draws(df: DataFrame, n: int, keys: Sequence[str], sizes: Mapping[str, t
     `sizes` maps a class to (lo column, hi column, length triple, width triple).
     """
     names = [f"{s}_{v}" for s in sizes for v in ("n", "l", "w")]
-    t = expand_draws(dr.with_streams(df, seed, keys, names), n)
+    t = expand_draws(df, n, per_row=lambda d: dr.with_streams(d, seed, keys, names))
     t = dr.draw_uniforms(t, {f"_{v}": (f"u_{v}", "draw") for v in names})
     t = t.withColumns({f"n_{s}": dr.uniform(f"_{s}_n", F.coalesce(F.col(a), F.lit(0.0)), F.coalesce(F.col(b), F.lit(0.0)))
                        for s, (a, b, _, _) in sizes.items()})

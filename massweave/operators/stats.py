@@ -214,9 +214,13 @@ def summary_matrix(df: DataFrame, measures: Mapping[str, Mapping[str, str]], tot
 
 
 def grand_totals(draws: DataFrame, segment: str, category: str, size: str, item: str, val: str) -> DataFrame:
-    """Draw-wise totals: per size, per category ('all' sizes) and per segment ('TOTAL'); all-zero series are left out."""
+    """Draw-wise totals: per size, per category ('all' sizes) and per segment ('TOTAL'); all-zero series are left out.
+
+    The draws are summed once and these sums are written, since what follows
+    and most readers pass over them several times.
+    """
     base = [segment, item, "draw"]
-    fine = draws.groupBy(*base, category, size).agg(F.sum(val).alias(val))
+    fine = stored(draws.groupBy(*base, category, size).agg(F.sum(val).alias(val)), "totals")
     c = F.col
     sets = [[c(x) for x in (*base, category, size)], [c(x) for x in (*base, size)], [c(x) for x in (*base, category)], [c(x) for x in base]]
     t = fine.groupingSets(sets, *[c(x) for x in (*base, category, size)]).agg(F.sum(val).alias(val))

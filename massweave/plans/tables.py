@@ -104,9 +104,13 @@ def build_sensor_elements(masses: DataFrame) -> DataFrame:
 
 
 def build_area(areas: DataFrame, by: Sequence[str], pilot: int) -> DataFrame:
-    """Board area per group: per size and in total, with variance share and correlation."""
+    """Board area per group: per size and in total, with variance share and correlation.
+
+    The draws of the components are made once; their sums, a row per group and
+    draw, are written and read by every statistic.
+    """
     sizes = ["small", "medium", "large"]
-    t = areas.groupBy(*by, "draw").agg(*[F.sum(f"area_{s}").alias(s) for s in sizes])
+    t = stored(areas.groupBy(*by, "draw").agg(*[F.sum(f"area_{s}").alias(s) for s in sizes]), "areas")
     t = t.withColumn("total", F.col("small") + F.col("medium") + F.col("large"))
     long = t.unpivot([*by, "draw"], [*sizes, "total"], "size", "area")
     out = _year_stats(long, [*by, "size"], "area", pilot)

@@ -389,3 +389,25 @@ def test_more_draws_follow_the_shuffle_partitions(spark):
         assert jn.expand_draws(spark.range(10), 40).rdd.getNumPartitions() == 37
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def drawn_rows(df, build, spark):
+    """Rows of `df` that `build` and a count of its result read, counted by the tasks."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    build(df.mapInArrow(run, df.schema)).count()
+    return seen.value
+
+
+def test_totals_and_areas_make_the_draws_once(spark):
+    from massweave.plans import tables as tb
+    parts = spark.createDataFrame([("AB", "c%d" % (i % 3), "small", "Cu", i % 4, float(i)) for i in range(60)], "segment string, category string, size string, element string, draw int, mass double")
+    key = ["segment", "category", "size", "element"]
+    assert drawn_rows(parts, lambda d: st.summary_stats(st.grand_totals(d, "segment", "category", "size", "element", "mass"), key, "mass", "element"), spark) == 60
+    areas = spark.createDataFrame([("b%d" % (i % 3), i % 5, float(i), 2.0 * i, 3.0) for i in range(60)], "brand string, draw int, area_small double, area_medium double, area_large double")
+    assert drawn_rows(areas, lambda d: tb.build_area(d, ["brand"], 3), spark) == 60
