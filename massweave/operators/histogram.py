@@ -6,7 +6,7 @@ micro-batches, and its size does not depend on the number of draws.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -55,30 +55,48 @@ def moments_and_range(df: DataFrame, by: Sequence[str], val: str, pilot: Column
     return _widen(g, by, pad, bins, ["n", "mean", "std", "min", "max"]).persist()
 
 
-def fused_stats(df: DataFrame, by: Sequence[str], val: str, pilot: Column, pad: float = PILOT_PAD, bins: int = N_FINE_BINS) -> tuple[DataFrame, DataFrame]:
+def fused_stats(df: DataFrame, by: Sequence[str], val: str | Sequence[tuple[Mapping[str, Column], Column]], pilot: Column, pad: float = PILOT_PAD,
+                bins: int = N_FINE_BINS) -> tuple[DataFrame, DataFrame]:
     """Histogram and exact moments (n, mean, std, min, max) of each series, from one aggregation over all rows.
 
     The `pilot` rows are aggregated first and set each series' range and number.
-    Then a row is its series' number, a bin and sums, so the keys of the one
-    large aggregation are two numbers and its result has at most `bins` rows a
-    series. Values out of range are counted in the end bins. A series without a
-    pilot row keeps its moments; it has one bin without a range, so its
-    percentiles are NULL. NULL, NaN and infinite values do not count.
+    Then a value is a cell, which is its series' number and bin, and sums, so
+    the key of the one large aggregation is a number and its result has at most
+    `bins` rows a series. Values out of range are counted in the end bins. A
+    series without a pilot row keeps its moments; it has one bin without a
+    range, so its percentiles are NULL. NULL, NaN and infinite values do not count.
+
+    `val` is a column, or the several values of a row as (labels, value): the
+    labels are columns of `by` that replace the row's or come to it, and must
+    tell its values' series apart. Such a row looks its ranges up once and
+    carries none of its keys on.
     """
-    v = F.col(val).cast("double")
-    known = df.filter(finite(val))
-    rng = _widen(known.filter(pilot).groupBy(*by).agg(F.min(v).alias("_mn"), F.max(v).alias("_mx")), by, pad, bins)
-    rng = stored(rng.select(*by, "lo", "width", F.row_number().over(W.orderBy(*by)).alias("_s")), "ranges")      # one row a series
-    t = join_on(known.select(*by, v.alias("_v")), rng, by, "left")
-    i = F.floor((F.col("_v") - F.col("lo")) / F.col("width"))
-    u = F.col("_v") - F.coalesce("lo", F.lit(0.0))
-    other = {f"_o_{k}": F.when(F.col("_s").isNull(), F.col(k)) for k in by}
-    cells = t.select("_s", i.alias("_i"), u.alias("_u"), *[c.alias(k) for k, c in other.items()]).groupBy(
-        "_s", *other, F.least(F.greatest(F.col("_i"), F.lit(0)), F.lit(bins - 1)).cast("bigint").alias("bin")).agg(
-        F.count("*").alias("count"), F.count_if(F.col("_i") < 0).alias("under"), F.count_if(F.col("_i") >= bins).alias("over"),
-        F.sum("_u").alias("_s1"), F.sum(F.col("_u") * F.col("_u")).alias("_s2"), F.min("_u").alias("_lo"), F.max("_u").alias("_hi"))
-    cells = stored(cells, "cells").join(rng, "_s", "left")
-    cells = cells.select(*[F.coalesce(F.col(k), F.col(f"_o_{k}")).alias(k) for k in by], "lo", "width", "bin", "count", "under", "over", "_s1", "_s2", "_lo", "_hi")
+    c = F.col
+    facets = [({}, c(val))] if isinstance(val, str) else list(val)
+    own = [k for k in by if k in df.columns]
+    wide = df.select(*own, pilot.alias("_p"), *[v.cast("double").alias(f"_v{j}") for j, (_, v) in enumerate(facets)],
+                     *[F.struct(*[labels.get(k, c(k)).alias(k) for k in by]).alias(f"_k{j}") for j, (labels, _) in enumerate(facets)])
+    first = wide.filter("_p").select(*own, F.explode(F.array(*[F.struct(F.lit(j).alias("_j"), c(f"_v{j}").alias("_v"), c(f"_k{j}").alias("_k")) for j in range(len(facets))])).alias("_e"))
+    first = first.select(*own, "_e.*").filter(finite("_v")).groupBy(*own, "_j", "_k").agg(F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
+    rng = _widen(first, [*own, "_j", "_k"], pad, bins)
+    rng = stored(rng.select(*own, "_j", "_k", "lo", "width", F.row_number().over(W.orderBy(*own, "_j")).alias("_s")), "ranges")      # one row a series
+    at = lambda j: F.max(F.when(c("_j") == j, F.struct("_s", "lo", "width"))).alias(f"_r{j}")
+    t = join_on(wide, rng.groupBy(*own).agg(*[at(j) for j in range(len(facets))]), own, "left")
+
+    def cell(j: int) -> Column:
+        r, v = c(f"_r{j}"), c(f"_v{j}")
+        i = F.least(F.greatest(F.floor((v - r["lo"]) / r["width"]), F.lit(-1)), F.lit(bins)) + 1                      # 0 and bins + 1: out of range
+        return F.struct((r["_s"] * F.lit(bins + 2).cast("bigint") + i).alias("_cell"), (v - F.coalesce(r["lo"], F.lit(0.0))).alias("_u"),
+                        F.when(r.isNull(), c(f"_k{j}")).alias("_other"))
+
+    e = t.select(F.explode(F.array(*[cell(j) for j in range(len(facets))])).alias("_e")).select("_e.*").filter(finite("_u"))
+    cells = e.groupBy("_cell", "_other").agg(F.count("*").alias("count"), F.sum("_u").alias("_s1"), F.sum(c("_u") * c("_u")).alias("_s2"), F.min("_u").alias("_lo"), F.max("_u").alias("_hi"))
+    i = c("_cell") % (bins + 2) - 1
+    cells = cells.select("*", F.floor(c("_cell") / (bins + 2)).alias("_s"), F.least(F.greatest(i, F.lit(0)), F.lit(bins - 1)).cast("bigint").alias("bin"),
+                         F.when(i < 0, c("count")).otherwise(0).alias("under"), F.when(i >= bins, c("count")).otherwise(0).alias("over"))
+    cells = cells.join(rng.select("_s", "_k", "lo", "width"), "_s", "left").withColumn("_k", F.coalesce("_k", "_other"))
+    cells = stored(cells.groupBy(*[c(f"_k.{k}").alias(k) for k in by], "lo", "width", "bin").agg(
+        *[F.sum(x).alias(x) for x in ("count", "under", "over", "_s1", "_s2")], F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")), "cells")
     n, base = F.sum("count"), F.coalesce(F.first("lo"), F.lit(0.0))
     m = F.sum("_s1") / n
     moments = cells.groupBy(*by).agg(n.alias("n"), (base + m).alias("mean"), F.sqrt(F.greatest(F.sum("_s2") / n - m * m, F.lit(0.0))).alias("std"),

@@ -161,7 +161,7 @@ def build_stream_elements(mass: DataFrame, mix: DataFrame, by: Sequence[str], st
 
 def wiring_rows(fleet: DataFrame, cats: DataFrame, volt: DataFrame, uplift: Mapping[str, float],
                 calibration: Mapping[str, float], base_year: int, seed: int = 42) -> DataFrame:
-    """Length and copper of every vehicle, category and year.
+    """Length and copper of every vehicle, category and year, with `taller`, the vehicle's factor in a derived segment.
 
     fleet: segment, vehicle, pilot, year, state, shares of the three states,
     length_m (sensor wiring); cats: category, ix, grp, base_m, sdv, g_lo, g_hi; volt:
@@ -185,6 +185,7 @@ def wiring_rows(fleet: DataFrame, cats: DataFrame, volt: DataFrame, uplift: Mapp
     t = t.withColumn("_ud", k(seed, "depth", "vehicle"))
     t = t.withColumns({"depth": dr.triangular("_ud", F.lit(0.4), F.lit(0.7), F.lit(1.0)),
                        "shared": dr.normal(k(seed, "veh1", "vehicle"), k(seed, "veh2", "vehicle"), 1.0, lit.CV_VEHICLE)})
+    t = t.withColumn("_uh", k(seed, "height", "vehicle")).withColumn("taller", F.lit(1.0) + dr.triangular("_uh", *[F.lit(float(x)) for x in lit.HEIGHT_ADDER])).drop("_uh")
     t = dr.with_streams(t, seed, ["vehicle"], ["cat1", "cat2", "gauge"])
     t = t.crossJoin(checked_broadcast(cats))                        # the categories of one harness
     t = dr.draw_uniforms(t, {"_c1": ("u_cat1", "ix"), "_c2": ("u_cat2", "ix"), "_ug": ("u_gauge", "ix")})
@@ -194,7 +195,7 @@ def wiring_rows(fleet: DataFrame, cats: DataFrame, volt: DataFrame, uplift: Mapp
     own = dr.normal("_c1", "_c2", 1.0, cv_ind)
     gauge = dr.triangular("_ug", c("g_lo"), (c("g_lo") + c("g_hi")) / 2.0, F.greatest(c("g_hi"), c("g_lo") + 1e-9))
     deep = F.when(c("sdv") < 1.0, F.greatest(F.lit(0.0), F.lit(1.0) - (F.lit(1.0) - c("sdv")) * c("depth"))).otherwise(c("sdv"))
-    t = t.select("segment", "vehicle", "pilot", "category", "grp", "_lm", *[f"b_{s}" for s in lit.ARCH_STATES],
+    t = t.select("segment", "vehicle", "pilot", "taller", "category", "grp", "_lm", *[f"b_{s}" for s in lit.ARCH_STATES],
                  (c("base_m") * pick(calibration) * F.greatest(c("shared") * own, F.lit(lit.VARIABILITY_FLOOR))).alias("metres"),
                  (gauge * F.lit(tx.COPPER_DENSITY_G_PER_CM3)).alias("rate"),
                  F.when(adas, F.lit(1.0)).otherwise(pick(uplift)).alias("l0"), F.lit(1.0).alias("l1"), deep.alias("l2"), F.explode("_y").alias("_y"))
@@ -203,7 +204,7 @@ def wiring_rows(fleet: DataFrame, cats: DataFrame, volt: DataFrame, uplift: Mapp
     factor = F.when(adas, c("length_m") / F.greatest(c("_lm"), F.lit(1e-9))).otherwise(c("fac"))
     t = t.withColumn("length", F.greatest(c("metres") * factor, F.lit(0.0)))
     rate = c("rate") * F.when(c("grp") == "HV Power", c("hv")).otherwise(F.lit(1.0))
-    return t.select("segment", "vehicle", "pilot", "year", "category", "grp", "length", (c("length") * rate / 1000.0).alias("copper"))
+    return t.select("segment", "vehicle", "pilot", "taller", "year", "category", "grp", "length", (c("length") * rate / 1000.0).alias("copper"))
 
 
 def with_pilot(fleet: DataFrame, base_year: int, n: int = 1000) -> DataFrame:
@@ -212,29 +213,30 @@ def with_pilot(fleet: DataFrame, base_year: int, n: int = 1000) -> DataFrame:
     return fleet.join(F.broadcast(first.withColumn("pilot", F.lit(True))), ["segment", "vehicle"], "left").withColumn("pilot", F.coalesce("pilot", F.lit(False)))   # n rows a segment
 
 
-def build_wiring(rows: DataFrame, derived: Mapping[str, str], seed: int = 42) -> DataFrame:
+def build_wiring(rows: DataFrame, derived: Mapping[str, str]) -> DataFrame:
     """Wiring statistics by category, group and total, for base and derived segments.
 
     Category rows are series values as they stand. Groups and totals are summed
     per vehicle first (the categories of a vehicle come from one task, so most
     of that happens before the shuffle), and the derived segments, a factor per
-    vehicle, are applied to the sums. One pass over the values of all vehicles
-    gives moments and bins; the pilot vehicles set the bins before.
+    vehicle (`taller`), are applied to the sums. A row is both metrics of its
+    segment and of the derived one, four values. One pass over the values of all
+    vehicles gives moments and bins; the pilot vehicles set the bins before.
     """
     c = F.col
-    key = ["segment", "vehicle", "pilot", "year"]
+    key = ["segment", "vehicle", "pilot", "taller", "year"]
     grp = rows.groupBy(*key, "grp").agg(F.sum("length").alias("length"), F.sum("copper").alias("copper"))
     sets = [[c(x) for x in (*key, "grp")], [c(x) for x in key]]
     tot = grp.groupingSets(sets, *[c(x) for x in (*key, "grp")]).agg(F.sum("length").alias("length"), F.sum("copper").alias("copper"))
     name = F.coalesce("grp", F.lit("TOTAL"))
     tot = tot.select(*key, F.when(c("grp").isNull(), "Total").otherwise("Group").alias("level"), name.alias("code"), name.alias("functional_group"), "length", "copper")
     cat = rows.select(*key, F.lit("Category").alias("level"), c("category").alias("code"), c("grp").alias("functional_group"), "length", "copper")
-    t = sp.derive_segments(cat.unionByName(tot), derived, ["length", "copper"], ["vehicle"], seed=seed)
-    m = F.explode(F.array(F.struct(F.lit("Length (m)").alias("metric"), c("length").alias("value")),
-                          F.struct(F.lit("Cu (kg)").alias("metric"), c("copper").alias("value")))).alias("m")
-    t = t.select(*key, "level", "code", "functional_group", m).select(*key, "level", "code", "functional_group", "m.*")
+    twin = F.try_element_at(F.create_map(*[F.lit(x) for kv in derived.items() for x in kv]), c("segment"))
+    values = []
+    for metric, v in (("Length (m)", "length"), ("Cu (kg)", "copper")):
+        values += [({"metric": F.lit(metric)}, c(v)), ({"metric": F.lit(metric), "segment": twin}, F.when(twin.isNotNull(), c(v) * c("taller")))]
     by = ["level", "segment", "code", "functional_group", "metric", "year"]
-    hist, m = hg.fused_stats(t, by, "value", c("pilot"))
+    hist, m = hg.fused_stats(cat.unionByName(tot), by, values, c("pilot"))
     return hg.year_stats(hist, m.select(*by, c("n").alias("n_iter"), "mean", "std"), by)
 
 

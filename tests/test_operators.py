@@ -411,3 +411,16 @@ def test_totals_and_areas_make_the_draws_once(spark):
     assert drawn_rows(parts, lambda d: st.summary_stats(st.grand_totals(d, "segment", "category", "size", "element", "mass"), key, "mass", "element"), spark) == 60
     areas = spark.createDataFrame([("b%d" % (i % 3), i % 5, float(i), 2.0 * i, 3.0) for i in range(60)], "brand string, draw int, area_small double, area_medium double, area_large double")
     assert drawn_rows(areas, lambda d: tb.build_area(d, ["brand"], 3), spark) == 60
+
+
+def test_fused_stats_of_several_values_a_row(skewed):
+    pdf, df = skewed
+    by, pilot = ["k", "kind"], F.col("id") % 2 == 0
+    twin = F.when(F.col("k") == "hot", F.lit("twin"))
+    wide = [({"kind": F.lit("w")}, F.col("w")), ({"kind": F.lit("w"), "k": twin}, F.when(twin.isNotNull(), F.col("w") * 1.5)), ({"kind": F.lit("v")}, F.col("v"))]
+    long = df.select("id", F.explode(F.array(*[F.struct(labels.get("k", F.col("k")).alias("k"), labels["kind"].alias("kind"), x.alias("x")) for labels, x in wide])).alias("e")).select("id", "e.*").filter("x is not null")
+    rows = lambda t: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in t.collect())
+    for got, want in zip(hg.fused_stats(df, by, wide, pilot), hg.fused_stats(long, by, "x", pilot)):
+        assert rows(got) == rows(want)
+    plan = hg.fused_stats(df, by, wide, pilot)[0]
+    assert plan.columns == ["k", "kind", "lo", "width", "bin", "count", "under", "over"]
