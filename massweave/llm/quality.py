@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import math
+import tempfile
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massweave.llm.common import doc_key, only, stored
+from massweave.llm.common import doc_key, only, release, stored
 
 
 @dataclass(frozen=True)
@@ -93,27 +95,53 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
     return d.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))   # at most `sample` rows
 
 
+def unloaded(rows: DataFrame, file: BinaryIO) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Write the bags to `file`, a part of the rows at a time; labels, and start and size of each bag in it, by doc_id.
+
+    A bag is its ids, then as many counts, as int32. The driver never holds the
+    sample's bags, whatever the length of its texts.
+    """
+    at, places = 0, []
+    for r in rows.toLocalIterator():
+        file.write(r.ids)
+        file.write(r.counts)
+        n = len(r.ids) // 4
+        places.append((r.doc_id, r.quality, at, n))
+        at += 2 * n
+    file.flush()
+    places.sort()
+    return np.array([q for _, q, _, _ in places], dtype=np.int64).clip(0, 1), [(start, n) for _, _, start, n in places]
+
+
 def learned(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
     """Embeddings of the buckets and the output rows of labels 0 and 1.
 
     Stochastic gradient descent in numpy, one document a step, on the bounded
-    sample's bags. Without both labels nothing is learned and both are 0.
+    sample's bags, read from a file. Without both labels nothing is learned and
+    both are 0.
     """
-    rows = stored(bags(training_rows(docs, labels, p), p), "bags").collect()
-    rows.sort(key=lambda r: r.doc_id)
-    y = np.array([r.quality for r in rows], dtype=np.int64).clip(0, 1)
+    rows = stored(bags(training_rows(docs, labels, p), p), "bags")
+    with tempfile.TemporaryFile() as file:
+        y, places = unloaded(rows, file)
+        release(rows)
+        return descended(y, places, file, p)
+
+
+def descended(y: np.ndarray, places: list[tuple[int, int]], file: BinaryIO, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """The descent of `learned`, over the bags at `places` of `file`."""
     if len(set(y.tolist())) < 2:
         return np.zeros((p.buckets, p.dim)), np.zeros((p.dim, 2))
-    xs = [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.counts, np.int32)) for r in rows]
     rng = np.random.default_rng(p.seed)
     emb = rng.uniform(-1 / p.dim, 1 / p.dim, (p.buckets, p.dim))
     out = np.zeros((p.dim, 2))
     share = np.bincount(y, minlength=2) / len(y)
     weight = np.sqrt(0.5 / share)                       # the rarer label counts somewhat more
-    steps, done = p.epochs * len(xs), 0
+    steps, done = p.epochs * len(places), 0
     for _ in range(p.epochs):
-        for i in rng.permutation(len(xs)):
-            ids, c = xs[i]
+        for i in rng.permutation(len(places)):
+            start, n = places[i]
+            file.seek(4 * start)
+            ids, c = np.frombuffer(file.read(8 * n), np.int32).reshape(2, n)
             rate = p.rate * (1 - done / steps)
             done += 1
             if not len(ids):

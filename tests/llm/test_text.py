@@ -139,6 +139,21 @@ def test_quality_never_learns_the_held_out(docs, labels):
     assert np.array_equal(quality.fit(docs, labels, SMALL), quality.fit(docs, lies, SMALL))
 
 
+def test_quality_does_not_hold_the_sample(spark, docs, labels, monkeypatch):
+    import tracemalloc
+    from pyspark.sql import functions as F
+    bag = F.unhex(F.repeat(F.lit("01000000"), 12_500))                                    # 50,000 bytes of ids and of counts: 20 MB in all
+    many = spark.range(200, numPartitions=4).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), bag.alias("ids"), bag.alias("counts"))
+    monkeypatch.setattr(quality, "stored", lambda df, name: many)
+    tracemalloc.start()
+    try:
+        emb, out = quality.learned(docs, labels, SMALL)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 12e6 and out.any()
+
+
 def test_quality_is_a_softmax_of_averaged_vectors():
     import math
     import zlib
