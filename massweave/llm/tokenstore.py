@@ -18,6 +18,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of payload at which a shard is closed; keys in a bucket of the index, on average.
 SHARD, BUCKET = 4 << 20, 40_000
-#: Words a task remembers.
-WORDS = 600_000
+#: Words a task remembers, and as many from before these.
+WORDS = 500_000
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 
@@ -60,7 +61,8 @@ class Encoder:
         self.tokens = Words(self.token)
 
     def token(self, t: str) -> bytes:
-        return array(self.code, [x.id for x in self.model.tokenize(t.encode().decode("latin1").translate(self.alphabet))]).tobytes()
+        shown = t.replace(" ", self.alphabet[32]) if t.isascii() and t.isprintable() else t.encode().decode("latin1").translate(self.alphabet)
+        return array(self.code, map(attrgetter("id"), self.model.tokenize(shown))).tobytes()
 
     def part(self, rest: str, lead: str = " ") -> bytes:
         p = lead + rest
@@ -77,16 +79,19 @@ class Encoder:
 
 
 class Words(dict):
-    """Remembers up to WORDS short keys; forgets all when full."""
+    """Remembers up to WORDS short keys, and those of the WORDS before that; a key of these that comes again is kept on."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.before = make, {}
 
     def __missing__(self, key: str) -> bytes:
-        v = self.make(key)
+        v = self.before.get(key)
+        if v is None:
+            v = self.make(key)
         if len(key) <= 40:
             if len(self) >= WORDS:
+                self.before = dict(self)
                 self.clear()
             self[key] = v
         return v

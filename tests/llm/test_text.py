@@ -365,6 +365,21 @@ def test_token_store(spark, docs, none):
     assert tokenstore.read(spark, empty, none).count() == 0
 
 
+def test_words_that_come_again_are_made_once(monkeypatch):
+    monkeypatch.setattr(tokenstore, "WORDS", 10)
+    made = Counter()
+
+    def make(k):
+        made[k] += 1
+        return k.encode()
+
+    words = tokenstore.Words(make)
+    for i in range(200):
+        assert [words["often"], words[f"w{i}"], words["x" * 41]] == [b"often", f"w{i}".encode(), b"x" * 41]
+        assert len(words) <= 10 and "x" * 41 not in words
+    assert made["often"] == 1
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 50, 3000])
 def test_perfect_hash_is_minimal(n):
     rng = np.random.default_rng(n)
