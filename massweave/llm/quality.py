@@ -6,7 +6,7 @@ import math
 import tempfile
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
 
@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from massweave.llm.common import doc_key, only, release, stored
 
 
+#: Words that are looked up at a time; characters whose n-grams are hashed at a time, or else one word.
+GROUP, CHARS = 1 << 15, 1 << 17
+
+
 @dataclass(frozen=True)
 class Params:
     """`sample` bounds the labelled rows learned from; `cache` the words a task remembers; `pair` is how often a word bigram counts."""
@@ -43,6 +47,44 @@ def features(word: str, p: Params) -> list[int]:
     return [x % p.buckets for x in out]
 
 
+def crc_table() -> np.ndarray:
+    """CRC-32 of each byte, the step that `zlib.crc32` takes."""
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, t >> 1 ^ np.uint32(0xEDB88320), t >> 1)
+    return t
+
+
+CRC = crc_table()
+
+
+def all_features(words: list[str], p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(position in `words`, bucket) of all `features` of all words, for many words at once.
+
+    CRC-32 runs on from every character's first byte, and is read where an
+    n-gram of characters ends.
+    """
+    marked = [f"<{w}>" for w in words]
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    raw = "".join(marked).encode()
+    data = np.frombuffer(raw + bytes(4 * p.longest), np.uint8)
+    start = np.flatnonzero((data[:len(raw)] & 0xC0) != 0x80)                 # of characters
+    ends = np.concatenate([start, np.full(p.longest, len(raw))])
+    word = np.repeat(np.arange(len(marked)), size)
+    left = np.cumsum(size)[word] - np.arange(len(start))                    # characters to the end of the word
+    lengths = {k: np.where(left >= k, ends[k:k + len(start)] - start, 0) for k in range(p.shortest, p.longest + 1)}
+    at, bucket = [np.arange(len(marked))], [np.fromiter((zlib.crc32(m.encode()) for m in marked), np.int64, len(marked))]
+    state = np.full(len(start), 0xFFFFFFFF, np.uint32)
+    for n in range(1, max(int(x.max(initial=0)) for x in lengths.values()) + 1):
+        state = CRC[(state ^ data[start + n - 1]) & 0xFF] ^ (state >> np.uint32(8))
+        for x in lengths.values():
+            i = np.flatnonzero(x == n)
+            if len(i):
+                at.append(word[i])
+                bucket.append((~state[i]).astype(np.int64))
+    return np.concatenate(at), np.concatenate(bucket) % p.buckets
+
+
 def word_hash(word: str) -> int:
     return zlib.crc32(word.encode())
 
@@ -166,34 +208,64 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params) -> np.ndarray:
 
 
 class Evidence(dict):
-    """word -> row of `sums` (evidence of its buckets), `sizes` (their number) and `hashes`; forgets all between texts when full."""
+    """word -> row of `sums` (evidence of its buckets), `sizes` (their number) and `hashes`; forgets all between groups of texts when full."""
 
     def __init__(self, evidence: np.ndarray, p: Params):
         super().__init__()
-        self.evidence, self.p, self.chars = evidence, p, 0
+        self.evidence, self.p, self.chars, self.new = evidence, p, 0, []
         self.sums, self.sizes, self.hashes = np.zeros(1024), np.zeros(1024, np.int64), np.zeros(1024, np.uint32)
 
     def __missing__(self, word: str) -> int:
-        f, i = features(word, self.p), len(self)
-        if i == len(self.sums):
-            self.sums, self.sizes, self.hashes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.sizes, self.hashes))
-        self.sums[i], self.sizes[i], self.hashes[i] = self.evidence[f].sum(), len(f), word_hash(word)
-        self[word] = i
-        self.chars += len(word)
+        i = self[word] = len(self)
+        self.new.append(word)
         return i
 
-    def logit(self, text: str | None) -> float:
-        """Evidence of a whole text, averaged over its features; 0 where it has none."""
-        if len(self) >= self.p.cache or self.chars >= 32 * self.p.cache:
-            self.clear()
-            self.chars = 0
-        words = (text or "").split()
-        if not words:
+    def learn(self) -> None:
+        """Fill the rows of the words that came since the last call."""
+        if not self.new:
+            return
+        n = len(self)
+        if n > len(self.sums):
+            self.sums, self.sizes, self.hashes = (np.concatenate([x, np.zeros(n, x.dtype)]) for x in (self.sums, self.sizes, self.hashes))
+        size = np.cumsum(np.fromiter(map(len, self.new), np.int64, len(self.new)))
+        cuts = [*np.flatnonzero(np.diff(size // CHARS, prepend=-1)), len(self.new)]
+        for at, to in zip(cuts, cuts[1:]):
+            some = self.new[at:to]
+            word, bucket = all_features(some, self.p)
+            rows = slice(n - len(self.new) + at, n - len(self.new) + to)
+            self.sums[rows] = np.bincount(word, self.evidence[bucket], len(some))
+            self.sizes[rows] = np.bincount(word, minlength=len(some))
+            self.hashes[rows] = np.fromiter(map(word_hash, some), np.uint32, len(some))
+        self.chars += int(size[-1])
+        self.new.clear()
+
+    def average(self, at: np.ndarray) -> float:
+        """Evidence of a whole text, given as the rows of its words, averaged over its features; 0 where it has none."""
+        if not len(at):
             return 0.0
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         pairs = self.evidence[pair_buckets(self.hashes[at], self.p)]
         return float((self.sums[at].sum() + self.p.pair * pairs.sum()) / (self.sizes[at].sum() + self.p.pair * len(pairs)))
 
+    def logits(self, texts: Iterable[str | None]) -> Iterator[float]:
+        """`average` of every text; about GROUP words are looked up before the new ones among them are learned."""
+        some, words = [], 0
+        for t in texts:
+            if not some and (len(self) >= self.p.cache or self.chars >= 32 * self.p.cache):
+                self.clear()
+                self.chars = 0
+            w = (t or "").split()
+            some.append(np.fromiter(map(self.__getitem__, w), np.int32, len(w)))
+            words += len(w)
+            if words >= GROUP:
+                self.learn()
+                yield from map(self.average, some)
+                some, words = [], 0
+        self.learn()
+        yield from map(self.average, some)
+
+    def logit(self, text: str | None) -> float:
+        return next(self.logits([text]))
+
 
 def remembered(evidence: np.ndarray, p: Params) -> Evidence:
     """The words of the last model this Python worker scored with, across tasks."""
@@ -213,10 +285,8 @@ def score(docs: DataFrame, evidence: np.ndarray, p: Params, threshold: float = 0
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = remembered(evidence, p)
         for b in batches:
-            out = []
-            for t in b.column("text"):
-                out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, known.logit(t.as_py()))))))
-            s = np.array(out, dtype=np.float64)
+            logits = known.logits(t.as_py() for t in b.column("text"))
+            s = np.array([1 / (1 + math.exp(-max(-700.0, min(700.0, x)))) for x in logits], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), b.column("key"), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
                                              names=["doc_id", "held_out", "key", "score", "predicted"])
 
@@ -249,6 +319,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, p: Params | None = None, thres
         known = remembered(evidence, p)
         cut = math.log(threshold / (1 - threshold))
         for b in batches:
-            yield b.filter(pa.array([known.logit(t.as_py()) >= cut for t in b.column("text")], pa.bool_()))
+            yield b.filter(pa.array([x >= cut for x in known.logits(t.as_py() for t in b.column("text"))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

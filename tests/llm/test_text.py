@@ -183,6 +183,21 @@ def test_quality_is_a_softmax_of_averaged_vectors():
         assert abs(1 / (1 + math.exp(-known.logit(t))) - direct(t)) < 1e-9, t[:40]
 
 
+def test_quality_learns_new_words_together():
+    """Many words at once have the buckets that one has, and a text's score does not depend on those beside it."""
+    p = quality.Params(buckets=1 << 12)
+    rng = np.random.default_rng(3)
+    words = ["", "a", "é", "漢字", "𝒳y", "x" * 300, "naïve", "<>"] + ["".join(rng.choice(list("abcé漢𝒳<"), rng.integers(1, 15))) for _ in range(500)]
+    at, bucket = quality.all_features(words, p)
+    for i, w in enumerate(words):
+        assert sorted(bucket[at == i].tolist()) == sorted(quality.features(w, p))
+    texts = [None, ""] + [" ".join(rng.choice(words, 40)) for _ in range(300)]
+    evidence = rng.normal(size=p.buckets)
+    together = list(quality.Evidence(evidence, p).logits(texts))
+    assert together == [quality.Evidence(evidence, p).logit(t) for t in texts]
+    assert together == list(quality.Evidence(evidence, quality.Params(buckets=1 << 12, cache=10)).logits(texts))
+
+
 def test_quality_held_out_accuracy(spark, sf):
     d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     r = quality.classify(d, lab).filter("held_out").join(lab, "doc_id").collect()
