@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from massweave.scale import stored
 
-__all__ = ["ascii_lower", "components", "doc_key", "importable", "only", "release", "stored"]
+__all__ = ["ascii_lower", "components", "doc_key", "importable", "only", "release", "small_batches", "stored"]
+
+#: Bytes of rows sent to a Python worker at a time, or else one row.
+BATCH = 4 << 20
 
 
 def importable(spark: SparkSession) -> SparkSession:
@@ -22,6 +25,18 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """`importable`, and from now on whole texts go to the session's Python workers `BATCH` bytes at a time, unless it asks for fewer.
+
+    Spark's own limit is 64 MB. The executor holds a batch outside its heap while it
+    grows, the worker holds it again, and neither gives all of it back.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= BATCH:
+        spark.conf.set(limit, BATCH)
+    return importable(spark)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete the files of tables from `stored` that no later step reads: what was made of them has been written itself."""
     for t in tables:

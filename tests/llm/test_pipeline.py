@@ -3,10 +3,13 @@
 from collections import defaultdict
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from massweave.llm import nearcopies, queries
+from massweave.llm.common import BATCH
 from tests.llm.test_text import brute_spans
 from tools.check import compare, duck
 
@@ -43,6 +46,26 @@ def test_stages_of_nothing(spark, sf):
         assert docs.count() == 0
 
 
+@pytest.mark.parametrize("stage", ["quality", "near_duplicates", "pieces"])
+def test_long_texts_reach_python_in_small_batches(spark, sf, stage):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "size"])
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        spark.conf.unset(limit)
+        dict(corpus_pipeline.STAGES)[stage](spark, spark.read.parquet(f"{sf}/documents.parquet").limit(0), sf)
+        texts = spark.range(4_000, numPartitions=1).select(F.repeat(F.lit("word "), 1_000).alias("text"))
+        got = texts.mapInArrow(sizes, "rows long, size long").collect()
+        assert sum(r.rows for r in got) == 4_000 and max(r.size for r in got) < 2 * BATCH
+        spark.conf.set(limit, 1 << 20)                       # a lower limit of the session stays
+        dict(corpus_pipeline.STAGES)[stage](spark, spark.read.parquet(f"{sf}/documents.parquet").limit(0), sf)
+        assert int(spark.conf.get(limit)) == 1 << 20
+    finally:
+        spark.conf.unset(limit)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_sql(spark, sf, name):
     out = compare(queries.QUERIES[name](spark, sf), duck(sf), queries.ORACLES[name])
